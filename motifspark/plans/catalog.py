@@ -1,8 +1,29 @@
 """Registered queries of the search engine and their SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from pyspark.sql import functions as F
+
+from motifspark.operators.hamming import kmismatch_scan
+
+
+def linear_scan(spark, sf_dir):
+    """Region names searched in nation names, two mismatches."""
+    texts = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("text_id"), F.col("n_name").alias("text"))
+    patterns = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("pattern_id"), F.expr("substring(r_name, 1, 4)").alias("pattern"))
+    return kmismatch_scan(texts, patterns, 2)
+
+
+QUERIES = {"linear_scan": linear_scan}
+
+ORACLE_SQL = {
+    "linear_scan": """
+SELECT text_id, pattern_id, CAST(pos AS BIGINT) AS pos, CAST(distance AS INTEGER) AS distance FROM (
+  SELECT text_id, pattern_id, pos, len(list_filter(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(substr(t, pos + 1, length(x)), i, 1))) AS distance
+  FROM (SELECT CAST(n_nationkey AS BIGINT) AS text_id, CAST(r_regionkey AS BIGINT) AS pattern_id, n_name AS t, substr(r_name, 1, 4) AS x,
+               unnest(range(0, greatest(0, length(n_name) - length(substr(r_name, 1, 4)) + 1))) AS pos
+        FROM nation, region WHERE length(r_name) > 0))
+WHERE distance <= 2"""
+}
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return linear_scan(spark, sf_dir)
