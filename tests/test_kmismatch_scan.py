@@ -1,0 +1,12 @@
+import pytest
+
+from motifspark.operators.hamming import kmismatch_scan
+
+
+@pytest.mark.parametrize(
+    "text,pattern,k,starts",
+    [("GGGTCTAGATCAAAT", "AGCTC", 2, [0, 6]), ("AC", "AB", 1, [0]), ("GTCACG", "ACAC", 1, [1]), ("AAAA", "AA", 0, [0, 1, 2]), ("AB", "ABC", 0, []), ("ABC", "XY", 2, [0, 1]), (None, "A", 0, [])],
+)
+def test_starts(spark, text, pattern, k, starts):
+    out = kmismatch_scan(spark.createDataFrame([(1, text)], "text_id long, text string"), spark.createDataFrame([(1, pattern)], "pattern_id long, pattern string"), k)
+    assert sorted(r.pos for r in out.collect()) == starts
