@@ -1,9 +1,13 @@
 """Registered queries of this subpackage, and SQL where SQL can express them."""
 
+from motifspark.llm import url_filters
 from motifspark.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op9_url_filters": url_filters.op9_url_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_url_filters": url_filters.ORACLE_SQL,
+}

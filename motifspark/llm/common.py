@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch handed to a Python worker; texts may be long, so it is small.
 BATCH_ROWS = 1000
@@ -51,3 +52,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 def sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+#: A key with at least 1/HOT of all rows is hot; there are at most HOT of them.
+HOT = 1000
+
+
+def lookup(rows: DataFrame, groups: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Left join of rows with groups, which has one row per non-null key and its number of rows in
+    `count`. The at most HOT keys with a share of 1/HOT of `total` or more are broadcast, so that no
+    task gets a hot key; the others are joined by a shuffle. Rows of null keys find nothing.
+    """
+    bound = max(1, -(-total // HOT))
+    hot = groups.where(F.col(count) >= bound)
+    cold = groups.where(F.col(count) < bound).withColumnRenamed(key, "_key")
+    marked = rows.join(F.broadcast(hot.select(F.col(key).alias("_hot"))), F.col("_hot").eqNullSafe(F.col(key)), "left")
+    spread = F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key))
+    direct = marked.where(F.col("_hot").isNotNull()).drop("_hot").join(F.broadcast(hot), key)
+    shuffled = marked.where(spread.isNotNull()).drop("_hot").join(cold, F.col(key) == F.col("_key"), "left").drop("_key")
+    none = rows.where(F.col(key).isNull()).select(*rows.columns, *(F.lit(None).cast(f.dataType).alias(f.name) for f in groups.schema if f.name != key))
+    names = [*rows.columns, *(c for c in groups.columns if c != key)]
+    return direct.select(names).unionByName(shuffled.select(names)).unionByName(none.select(names))
