@@ -1,13 +1,16 @@
 """Registered queries of this subpackage, and SQL where SQL can express them."""
 
-from motifspark.llm import url_filters
+from motifspark.llm import decontamination, url_filters, warc
 from motifspark.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op8_decontamination": decontamination.op8_decontamination,
     "op9_url_filters": url_filters.op9_url_filters,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op9_url_filters": url_filters.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
 }
