@@ -1,10 +1,12 @@
 """Registered queries of this subpackage, and SQL where SQL can express them."""
 
-from motifspark.llm import decontamination, secret_scans, url_filters, warc
+from motifspark.llm import decontamination, license_scans, quality_rules, secret_scans, url_filters, warc
 from motifspark.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_license_scans": license_scans.op2_license_scans,
+    "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_secret_scans": secret_scans.op6_secret_scans,
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_url_filters": url_filters.op9_url_filters,
