@@ -1,12 +1,13 @@
 """Registered queries of this subpackage, and SQL where SQL can express them."""
 
-from motifspark.llm import decontamination, html_extraction, license_scans, quality_rules, secret_scans, sentencepiece_codec, url_filters, warc
+from motifspark.llm import decontamination, html_extraction, jaccard_join, license_scans, quality_rules, secret_scans, sentencepiece_codec, url_filters, warc
 from motifspark.llm.token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scans": license_scans.op2_license_scans,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op6_secret_scans": secret_scans.op6_secret_scans,
     "op7_html_extraction": html_extraction.op7_html_extraction,
