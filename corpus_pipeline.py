@@ -1,8 +1,62 @@
-"""Stages of the corpus pipeline."""
+"""Stages of the corpus pipeline: quality rules, near duplicates, decontamination, secrets, encoding.
 
-STAGES = []
+Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
+columns of documents. Every stage works on all that the one before it kept.
+"""
+
+import public_tokenizers
+
+from motifspark.llm.common import cut, table
+from motifspark.llm.decontamination import decontaminate
+from motifspark.llm.jaccard_join import jaccard_join
+from motifspark.llm.quality_rules import judge
+from motifspark.llm.secret_scans import redact, scan
+from motifspark.llm.sentencepiece_codec import digest
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Documents that the rules reject go."""
+    return judge(docs).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Of each group of near duplicates the document of the smallest id stays, once. Rows of
+    null ids cannot be told apart and go."""
+    groups = jaccard_join(docs)
+    ids = groups.where("doc_id = component_id").select("doc_id").distinct()
+    one = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.select(*docs.columns)
+
+
+def decontamination(spark, docs, sf_dir):
+    """Words of benchmark windows go, and documents that hold little else."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+
+
+def secret_scans(spark, docs, sf_dir):
+    """Secrets are replaced by a mark."""
+    return scan(docs).withColumn("text", redact("text", "spans")).select(*docs.columns)
+
+
+def encoding(spark, docs, sf_dir):
+    """Number and digest of each document's token ids."""
+    return digest(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scans),
+    ("SentencePiece encoding", encoding),
+]
+
+#: The votes' expectation-maximisation and the tokenizer have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
