@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from motifspark.operators import index, prepare
 from motifspark.operators.hamming import kmismatch_scan
+from motifspark.operators.search import kmismatch, multi_pattern_scan
 
 
 def linear_scan(spark, sf_dir):
@@ -12,18 +14,105 @@ def linear_scan(spark, sf_dir):
     return kmismatch_scan(texts, patterns, 2)
 
 
-QUERIES = {"linear_scan": linear_scan}
+def _parts(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("text_id"), F.col("p_name").alias("text"))
 
-ORACLE_SQL = {
-    "linear_scan": """
+
+def _nations(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("text_id"), F.col("n_name").alias("text"))
+
+
+def _regions(spark, sf_dir, size=4):
+    return spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").cast("long").alias("pattern_id"), F.expr(f"substring(r_name, 1, {size})").alias("pattern"))
+
+
+def linear_seed(spark, sf_dir):
+    return kmismatch(_nations(spark, sf_dir), _regions(spark, sf_dir), 2)
+
+
+def linear_blocked(spark, sf_dir):
+    return kmismatch(_nations(spark, sf_dir), _regions(spark, sf_dir), 2, block_size=3)
+
+
+def circular_seed(spark, sf_dir):
+    return kmismatch(_nations(spark, sf_dir), _regions(spark, sf_dir), 2, circular=True)
+
+
+def circular_blocked(spark, sf_dir):
+    return kmismatch(_nations(spark, sf_dir), _regions(spark, sf_dir), 2, circular=True, block_size=3)
+
+
+def match_count(spark, sf_dir):
+    found = linear_seed(spark, sf_dir)
+    return found.groupBy("pattern_id", "distance").agg(F.count("*").alias("matches"))
+
+
+def exact_scan(spark, sf_dir):
+    """The regions' first letters in the names of all parts."""
+    return multi_pattern_scan(_parts(spark, sf_dir), _regions(spark, sf_dir, 1).withColumn("pattern", F.lower("pattern")))
+
+
+def document_search(spark, sf_dir):
+    """The first 24 characters of every benchmark item in all documents, two mismatches."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("text_id"), "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pattern_id"), F.expr("substring(text, 1, 24)").alias("pattern"))
+    return kmismatch(docs, items, 2)
+
+
+def pattern_fragments(spark, sf_dir):
+    return prepare.fragments(_parts(spark, sf_dir).toDF("pattern_id", "pattern"), 3)
+
+
+def pattern_rotations(spark, sf_dir):
+    return prepare.rotations(_regions(spark, sf_dir, 20))
+
+
+def prefix_array(spark, sf_dir):
+    return index.prefix_array(_parts(spark, sf_dir))
+
+
+def suffix_array(spark, sf_dir):
+    return index.suffix_array(_nations(spark, sf_dir))
+
+
+QUERIES = {q.__name__: q for q in (linear_scan, linear_seed, linear_blocked, circular_seed, circular_blocked, match_count, exact_scan, document_search, pattern_fragments, pattern_rotations, prefix_array, suffix_array)}
+
+_LINEAR = """
 SELECT text_id, pattern_id, CAST(pos AS BIGINT) AS pos, CAST(distance AS INTEGER) AS distance FROM (
   SELECT text_id, pattern_id, pos, len(list_filter(range(1, length(x) + 1), lambda i: substr(x, i, 1) <> substr(substr(t, pos + 1, length(x)), i, 1))) AS distance
   FROM (SELECT CAST(n_nationkey AS BIGINT) AS text_id, CAST(r_regionkey AS BIGINT) AS pattern_id, n_name AS t, substr(r_name, 1, 4) AS x,
                unnest(range(0, greatest(0, length(n_name) - length(substr(r_name, 1, 4)) + 1))) AS pos
         FROM nation, region WHERE length(r_name) > 0))
 WHERE distance <= 2"""
+
+_CIRCULAR = """
+WITH w AS (SELECT CAST(n_nationkey AS BIGINT) AS text_id, CAST(r_regionkey AS BIGINT) AS pattern_id, n_name AS t, substr(r_name, 1, 4) AS x,
+                  unnest(range(0, greatest(0, length(n_name) - length(substr(r_name, 1, 4)) + 1))) AS pos FROM nation, region WHERE length(r_name) > 0),
+r AS (SELECT *, unnest(range(0, length(x))) AS rotation FROM w),
+d AS (SELECT text_id, pattern_id, pos, rotation, len(list_filter(range(1, length(x) + 1), lambda i: substr(substr(x || x, rotation + 1, length(x)), i, 1) <> substr(t, pos + i, 1))) AS distance FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY text_id, pattern_id, pos ORDER BY distance, rotation) AS turn FROM d)
+SELECT text_id, pattern_id, CAST(pos AS BIGINT) AS pos, CAST(distance AS INTEGER) AS distance, CAST(rotation AS INTEGER) AS rotation FROM n WHERE turn = 1 AND distance <= 2"""
+
+ORACLE_SQL = {
+    "linear_scan": _LINEAR,
+    "linear_seed": _LINEAR,
+    "linear_blocked": _LINEAR,
+    "circular_seed": _CIRCULAR,
+    "circular_blocked": _CIRCULAR,
+    "match_count": f"SELECT pattern_id, distance, count(*) AS matches FROM ({_LINEAR}) GROUP BY pattern_id, distance",
+    "exact_scan": """
+SELECT text_id, pattern_id, CAST(pos AS BIGINT) AS pos, CAST(pos + length(x) AS BIGINT) AS end_pos FROM (
+  SELECT p_partkey AS text_id, CAST(r_regionkey AS BIGINT) AS pattern_id, p_name AS t, lower(substr(r_name, 1, 1)) AS x, unnest(range(0, length(p_name))) AS pos FROM part, region)
+WHERE substr(t, pos + 1, length(x)) = x""",
+    "pattern_fragments": """
+SELECT pattern_id, CAST(f AS INTEGER) AS frag_id, CAST(f * (m // 3) + least(f, m % 3) AS INTEGER) AS off,
+       substr(x, f * (m // 3) + least(f, m % 3) + 1, m // 3 + CASE WHEN f < m % 3 THEN 1 ELSE 0 END) AS fragment
+FROM (SELECT p_partkey AS pattern_id, p_name AS x, length(p_name) AS m, unnest(range(0, 3)) AS f FROM part WHERE length(p_name) > 0)""",
+    "pattern_rotations": """
+SELECT pattern_id, CAST(r AS INTEGER) AS rotation, substr(x || x, r + 1, length(x)) AS rotated
+FROM (SELECT CAST(r_regionkey AS BIGINT) AS pattern_id, r_name AS x, unnest(range(0, length(r_name))) AS r FROM region)""",
 }
 
 
 def flagship(spark, sf_dir):
-    return linear_scan(spark, sf_dir)
+    return linear_seed(spark, sf_dir)
