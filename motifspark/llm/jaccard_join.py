@@ -45,7 +45,7 @@ class Shingler:
         if not words:
             return np.empty(0, np.uint64)
         known = self.words
-        new = set(words) - known.keys()
+        new = [w for w in set(words) if w not in known]
         if len(known) + len(new) > CACHED:
             known.clear()
             new = set(words)
