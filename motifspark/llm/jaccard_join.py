@@ -25,7 +25,7 @@ from motifspark.llm.common import LOWER, cut, lookup, small_batches, table
 
 SHINGLE, PERCENT = 4, 85
 #: Cells of the table of shingle counts, by which rare shingles come first.
-CELLS = 1 << 16
+CELLS = 1 << 20
 #: Words whose hashes a worker keeps, and set keys by which it leaves out repeats.
 CACHED, SEEN = 300_000, 300_000
 #: Rounds with one pivot a region; what is left then is compared pair by pair within the windows.
@@ -90,20 +90,20 @@ def _cells(rows: DataFrame, size: int):
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["cell", "n"])
 
+    found = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CELLS, np.int64)
-    for r in rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        out[r["cell"]] = r["n"]
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
 def _sets(rows: DataFrame, size: int, pick) -> DataFrame:
-    """(key, hash array) of the sets, `pick` of each; repeats within a task are left out as far as SEEN goes."""
+    """(key, n, hash array) of the sets, `pick` of each; repeats within a task are left out as far as SEEN goes."""
     import numpy as np
 
     def run(batches):
         shingler, seen, chosen = Shingler(size), set(), pick()
         for batch in batches:
-            keys, values = [], []
+            keys, sizes, values = [], [], []
             for text in batch.column(1):
                 hashes = shingler.hashes(text.as_py())
                 if not len(hashes) or (key := _key(hashes)) in seen:
@@ -111,12 +111,13 @@ def _sets(rows: DataFrame, size: int, pick) -> DataFrame:
                 if len(seen) < SEEN:
                     seen.add(key)
                 keys.append(key)
+                sizes.append(len(hashes))
                 values.append(chosen(hashes).view(np.int64))
             offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
             flat = np.concatenate(values) if values else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["key", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["key", "n", "hashes"])
 
-    return rows.mapInArrow(run, "key binary, hashes array<long>")
+    return rows.mapInArrow(run, "key binary, n long, hashes array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -169,10 +170,12 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
 
         return pick
 
-    tokens = cut(_sets(rows, shingle, prefix).select("key", F.explode("hashes").alias("token")).distinct())
-    regions = tokens.groupBy("token").agg(F.min("key").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    regions = cut(lookup(tokens, regions, "token", "size", tokens.count()).where("pivot IS NOT NULL").select("token", "key", "pivot"))
-    pairs = cut(regions.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
+    tokens = cut(_sets(rows, shingle, prefix).select("key", "n", F.explode("hashes").alias("token")).distinct())
+    regions = tokens.groupBy("token").agg(F.min(F.struct("key", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
+    regions = cut(lookup(tokens, regions, "token", "size", tokens.count()).where("p IS NOT NULL").select("token", "key", "n", F.col("p.key").alias("pivot"), F.col("p.n").alias("pn")))
+    # Sets of too different sizes cannot link; their distance is not measured.
+    sized = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
+    pairs = cut(regions.where("key <> pivot AND " + sized.format("n", "pn")).select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
     involved = regions.select("key").distinct()
     sets = cut(_sets(rows, shingle, lambda: lambda h: h).join(involved, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")))
     linked = F.expr(f"100 * same >= {percent} * all")
@@ -181,22 +184,22 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     edges = measured.where(linked).select("a", "b")
     # Distance of each member to its region's first pivot.
     regions = regions.join(measured.select(F.col("a").alias("key"), F.col("b").alias("pivot"), (1 - F.col("same") / F.col("all")).alias("d")), ["key", "pivot"], "left")
-    regions = cut(regions.where("key <> pivot").select("token", "key", "d"))
-    window = f"abs(x.d - y.d) <= {1 - percent / 100 + 1e-9}D"
+    regions = cut(regions.where("key <> pivot").select("token", "key", "n", "d"))
+    window = f"coalesce(abs(x.d - y.d) <= {1 - percent / 100 + 1e-9}D, true) AND " + sized.format("x.n", "y.n")
     for turn in range(ROUNDS + 1):
         comps = components(edges)
-        parts = regions.join(comps, "key", "left").select("token", "key", "d", F.coalesce("comp", "key").alias("comp"))
-        sizes = parts.groupBy("token", "comp").agg(F.count("*").alias("n"), F.min(F.struct("key", "d")).alias("least"))
-        mixed = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.min(F.struct("n", "least.key", "least.d", "comp")).alias("x")).where("parts > 1")
+        parts = regions.join(comps, "key", "left").select("token", "key", "n", "d", F.coalesce("comp", "key").alias("comp"))
+        sizes = parts.groupBy("token", "comp").agg(F.count("*").alias("members"), F.min(F.struct("key", "n", "d")).alias("least"))
+        mixed = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.min(F.struct("members", "least.key", "least.n", "least.d", "comp")).alias("x")).where("parts > 1")
         mixed = cut(mixed)
         if mixed.isEmpty():
             break
         if turn < ROUNDS:
             # The pivot meets the members of the other parts; it is settled then.
             met = parts.join(mixed.select("token", "x"), "token").alias("r")
-            near = met.where("r.key <> x.key").where(F.expr(window.replace("y.d", "r.d")))
+            near = met.where("r.key <> x.key").where(F.expr(window.replace("y.", "r.")))
             new = near.where("r.comp <> x.comp").select(F.col("r.key").alias("a"), F.col("x.key").alias("b"))
-            regions = cut(met.where("r.key <> x.key").select("token", "key", "d"))
+            regions = cut(met.where("r.key <> x.key").select("token", "key", "n", "d"))
         else:
             left = cut(parts.join(mixed.select("token"), "token"))
             new = left.alias("x").join(left.alias("y"), F.expr(f"x.token = y.token AND x.key < y.key AND x.comp <> y.comp AND {window}")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
