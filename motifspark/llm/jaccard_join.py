@@ -4,8 +4,8 @@ Equal shingle sets form classes. Each class stands in one region for each shingl
 shingles that come first in a fixed global order, rare ones first; two sets of the wanted similarity
 share a region. In a region every member is compared with a pivot, never all with all. Jaccard
 distance is a metric: members whose distances to the first pivot differ by more than the threshold
-cannot link. Regions in which unlinked parts remain are joined again with a pivot from their
-smallest part, against other parts in the pivot's window only, until none remains.
+cannot link. Regions in which unlinked parts remain are joined again with four times as many pivots, each
+from a part of its own and against other parts in its window only, until none remains.
 
 Plain Voronoi regions of global pivots are not used: almost all documents have distance 1 from any
 pivot, so each would be a boundary document of every region.
@@ -25,11 +25,11 @@ from motifspark.llm.common import LOWER, cut, lookup, small_batches, table
 
 SHINGLE, PERCENT = 4, 85
 #: Cells of the table of shingle counts, by which rare shingles come first.
-CELLS = 1 << 20
+CELLS, CHUNK = 1 << 20, 1 << 12
 #: Words whose hashes a worker keeps, and set keys by which it leaves out repeats.
 CACHED, SEEN = 300_000, 300_000
-#: Rounds with one pivot a region; what is left then is compared pair by pair within the windows.
-ROUNDS = 12
+#: Round r has up to 4^r pivots a region; in the last, what is left is compared pair by pair within the windows.
+ROUNDS = 7
 
 
 class Shingler:
@@ -68,36 +68,59 @@ def _key(hashes) -> bytes:
 
 
 def _members(rows: DataFrame, size: int) -> DataFrame:
-    def run(batches):
-        shingler = Shingler(size)
-        for batch in batches:
-            sets = [shingler.hashes(t.as_py()) for t in batch.column(1)]
-            keys = pa.array([_key(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), keys], ["id", "n", "key"])
+    """(id, n, key) of each row; then, of each task, (chunk, counts): how many shingles of its distinct
+    sets, as far as SEEN goes, fall into each cell of a chunk."""
+    import numpy as np
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, key binary")
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, n long, key binary, chunk int, counts binary"
 
+    def run(batches):
+        shingler, total, seen, kind = Shingler(size), np.zeros(CELLS, np.int64), set(), pa.null()
 
-def _cells(rows: DataFrame, size: int):
-    """How many shingles fall into each cell; at most CELLS rows reach the driver."""
+        def batch_of(ids, n, keys, chunks, counts):
+            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(chunks, pa.int32()), pa.array(counts, pa.binary())], ["id", "n", "key", "chunk", "counts"])
+
+        for batch in batches:
+            kind, n, keys = batch.column(0).type, [], []
+            for text in batch.column(1):
+                hashes = shingler.hashes(text.as_py())
+                n.append(len(hashes))
+                keys.append(_key(hashes) if len(hashes) else None)
+                if len(hashes) and keys[-1] not in seen:
+                    if len(seen) < SEEN:
+                        seen.add(keys[-1])
+                    np.add.at(total, (hashes % CELLS).astype(np.int64), 1)
+            none = [None] * len(n)
+            yield batch_of(batch.column(0), n, keys, none, none)
+        parts = [(i, c.tobytes()) for i, c in enumerate(total.reshape(-1, CHUNK)) if c.any()]
+        if parts:
+            none = [None] * len(parts)
+            yield batch_of(pa.nulls(len(parts), kind), none, none, *zip(*parts))
+
+    return rows.mapInArrow(run, schema)
+
+
+def _cells(counted: DataFrame):
+    """Shingles in each cell, summed over the tasks by chunk; CELLS counts reach the driver."""
     import numpy as np
 
     def run(batches):
-        shingler, total = Shingler(size), np.zeros(CELLS, np.int64)
+        sums = {}
         for batch in batches:
-            for text in batch.column(1):
-                np.add.at(total, (shingler.hashes(text.as_py()) % CELLS).astype(np.int64), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["cell", "n"])
+            for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[i] = sums.get(i, 0) + np.frombuffer(counts, np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["chunk", "counts"])
 
-    found = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS, np.int64)
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out
+    out = np.zeros((CELLS // CHUNK, CHUNK), np.int64)
+    for row in counted.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(run, "chunk int, counts binary").collect():
+        out[row["chunk"]] = np.frombuffer(row["counts"], np.int64)
+    return out.reshape(-1)
 
 
-def _sets(rows: DataFrame, size: int, pick) -> DataFrame:
-    """(key, n, hash array) of the sets, `pick` of each; repeats within a task are left out as far as SEEN goes."""
+def _sets(rows: DataFrame, size: int, pick, wanted=None) -> DataFrame:
+    """(key, n, hash array) of the sets, `pick` of each; repeats within a task are left out as far as
+    SEEN goes, and so are keys that the broadcast filter `wanted` rules out."""
     import numpy as np
 
     def run(batches):
@@ -106,7 +129,7 @@ def _sets(rows: DataFrame, size: int, pick) -> DataFrame:
             keys, sizes, values = [], [], []
             for text in batch.column(1):
                 hashes = shingler.hashes(text.as_py())
-                if not len(hashes) or (key := _key(hashes)) in seen:
+                if not len(hashes) or (key := _key(hashes)) in seen or wanted and not _passes(wanted.value, key):
                     continue
                 if len(seen) < SEEN:
                     seen.add(key)
@@ -137,13 +160,61 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with the size of the union and of the intersection of their sets."""
+    """pairs (a, b, ...) with the size of the union and of the intersection of their sets."""
     total = pairs.count()
     loads = pairs.groupBy(F.col("b").alias("key")).agg(F.count("*").alias("load"))
     right = sets.join(loads, "key").select(F.col("key").alias("b"), F.col("hashes").alias("hb"), "load")
-    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a").select("a", "b", "ha")
+    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a").select(*pairs.columns, "ha")
     both = lookup(left, right, "b", "load", total).withColumn("same", F.size(F.array_intersect("ha", "hb")))
-    return both.select("a", "b", "same", (F.size("ha") + F.size("hb") - F.col("same")).alias("all"))
+    return both.select(*pairs.columns, "same", (F.size("ha") + F.size("hb") - F.col("same")).alias("all"))
+
+
+#: log2 of the bits of a filter of wanted keys or shingles.
+FILTER_BITS = 25
+#: The bits of a key and of a shingle.
+KEY_PLACE = f"shiftright(CAST(conv(hex(substring(key, 1, 4)), 16, 10) AS BIGINT), {32 - FILTER_BITS})"
+TOKEN_PLACE = f"shiftrightunsigned(token, {64 - FILTER_BITS})"
+
+
+def _filter(wanted: DataFrame, place: str):
+    """Which places are wanted, as bytes of bits; at most 2^FILTER_BITS / 64 rows reach the driver. What
+    passes it by chance is left to an exact join."""
+    import numpy as np
+
+    found = wanted.select(F.expr(place).alias("h")).groupBy(F.expr("h DIV 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(h % 64 AS INT)))").alias("bits")).toArrow()
+    out = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _passes(bits, key: bytes) -> bool:
+    at = int.from_bytes(key[:4], "big") >> (32 - FILTER_BITS)
+    return bool(bits[at >> 3] >> (at & 7) & 1)
+
+
+def _tokens(prefixes: DataFrame, wanted) -> DataFrame:
+    """(token, key, n, i) of the prefixes' shingles that pass the broadcast filter `wanted`; i is the place."""
+    import numpy as np
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
+            sizes = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = flat.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            keep = np.flatnonzero(wanted.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+            where = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), batch.column(0).take(where), batch.column(1).take(where), pa.array(place[keep].astype(np.int32))], ["token", "key", "n", "i"])
+
+    return prefixes.select("key", "n", "hashes").mapInArrow(run, "token long, key binary, n long, i int")
+
+
+def _merged(labels: DataFrame, links: DataFrame, at: str) -> DataFrame:
+    """labels with the column `at` moved to the component that `links` (key, comp) name for it."""
+    moved = links.select(F.col("key").alias(at), F.col("comp").alias("_to"))
+    return labels.join(moved, at, "left").withColumn(at, F.coalesce("_to", at)).drop("_to")
 
 
 def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,10 +227,12 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     import numpy as np
 
     small_batches(docs.sparkSession)
+    context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    members = cut(_members(rows, shingle))
+    counted = cut(_members(rows, shingle))
+    members = counted.where("chunk IS NULL").select("id", "n", "key")
     classes = members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    shared = docs.sparkSession.sparkContext.broadcast(_cells(rows, shingle))
+    shared = context.broadcast(_cells(counted))
 
     def prefix():
         counts = shared.value
@@ -170,43 +243,50 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
 
         return pick
 
-    tokens = cut(_sets(rows, shingle, prefix).select("key", "n", F.explode("hashes").alias("token")).distinct())
-    regions = tokens.groupBy("token").agg(F.min(F.struct("key", "n")).alias("p"), F.count("*").alias("size")).where("size > 1")
-    regions = cut(lookup(tokens, regions, "token", "size", tokens.count()).where("p IS NOT NULL").select("token", "key", "n", F.col("p.key").alias("pivot"), F.col("p.n").alias("pn")))
-    # Sets of too different sizes cannot link; their distance is not measured.
-    sized = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
-    pairs = cut(regions.where("key <> pivot AND " + sized.format("n", "pn")).select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct())
+    prefixes = cut(_sets(rows, shingle, prefix).groupBy("key").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")))
+    # In the region of its first shared shingle, a pair has at most the rest of either set in common;
+    # so one of the two stands there with a place in the short prefix.
+    short = F.bool_or(F.expr(f"{100 + percent} * (n - i) >= {2 * percent} * n"))
+    common = prefixes.select("n", F.posexplode("hashes").alias("i", "token")).groupBy("token").agg(F.count("*").alias("size"), short.alias("short")).where("size > 1 AND short")
+    tokens = cut(_tokens(prefixes, context.broadcast(_filter(common, TOKEN_PLACE))))
+    regions = tokens.groupBy("token").agg(F.min(F.struct("key", "n", "i")).alias("p"), F.count("*").alias("size"), short.alias("short")).where("size > 1 AND short").drop("short")
+    regions = cut(lookup(tokens, regions, "token", "size", tokens.count()).where("p IS NOT NULL").select("token", "key", "n", "i", "p"))
+    # Sets of too different sizes, or with too little left behind the shingle, cannot link there.
+    sized = f"100 * least({{0}}n, {{1}}n) >= {percent} * greatest({{0}}n, {{1}}n) AND {100 + percent} * least({{0}}n - {{0}}i, {{1}}n - {{1}}i) >= {percent} * ({{0}}n + {{1}}n)"
+    pairs = cut(regions.where("key <> p.key AND " + sized.format("", "p.")).select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct())
     involved = regions.select("key").distinct()
-    sets = cut(_sets(rows, shingle, lambda: lambda h: h).join(involved, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")))
+    wanted = context.broadcast(_filter(involved, KEY_PLACE))
+    sets = _sets(rows, shingle, lambda: lambda h: h, wanted)
+    sets = cut(sets.join(involved, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")))
     linked = F.expr(f"100 * same >= {percent} * all")
 
     measured = cut(_measured(pairs, sets))
-    edges = measured.where(linked).select("a", "b")
-    # Distance of each member to its region's first pivot.
-    regions = regions.join(measured.select(F.col("a").alias("key"), F.col("b").alias("pivot"), (1 - F.col("same") / F.col("all")).alias("d")), ["key", "pivot"], "left")
-    regions = cut(regions.where("key <> pivot").select("token", "key", "n", "d"))
-    window = f"coalesce(abs(x.d - y.d) <= {1 - percent / 100 + 1e-9}D, true) AND " + sized.format("x.n", "y.n")
-    for turn in range(ROUNDS + 1):
-        comps = components(edges)
-        parts = regions.join(comps, "key", "left").select("token", "key", "n", "d", F.coalesce("comp", "key").alias("comp"))
-        sizes = parts.groupBy("token", "comp").agg(F.count("*").alias("members"), F.min(F.struct("key", "n", "d")).alias("least"))
-        mixed = sizes.groupBy("token").agg(F.count("*").alias("parts"), F.min(F.struct("members", "least.key", "least.n", "least.d", "comp")).alias("x")).where("parts > 1")
-        mixed = cut(mixed)
-        if mixed.isEmpty():
+    comps = components(measured.where(linked).select("a", "b"))
+    # Distance of each member to its region's first pivot, where it was measured; that pivot is settled.
+    distances = measured.select(F.col("a").alias("key"), F.col("b").alias("pivot"), (1 - F.col("same") / F.col("all")).alias("d"))
+    regions = regions.select("token", "key", "n", "i", F.col("p.key").alias("pivot")).where("key <> pivot").join(distances, ["key", "pivot"], "left").join(comps, "key", "left")
+    regions = cut(regions.select("token", "key", "n", "i", "d", F.coalesce("comp", "key").alias("comp")))
+    window = f"coalesce(abs(r.d - x.d) <= {1 - percent / 100 + 1e-9}D, true) AND " + sized.format("r.", "x.")
+    for turn in range(1, ROUNDS + 1):
+        # Regions that are in more than one part go on with up to 4^turn pivots, each of a part of its own.
+        mixed = regions.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
+        regions = cut(regions.join(mixed, "token", "left_semi"))
+        if regions.isEmpty():
             break
-        if turn < ROUNDS:
-            # The pivot meets the members of the other parts; it is settled then.
-            met = parts.join(mixed.select("token", "x"), "token").alias("r")
-            near = met.where("r.key <> x.key").where(F.expr(window.replace("y.", "r.")))
-            new = near.where("r.comp <> x.comp").select(F.col("r.key").alias("a"), F.col("x.key").alias("b"))
-            regions = cut(met.where("r.key <> x.key").select("token", "key", "n", "d"))
-        else:
-            left = cut(parts.join(mixed.select("token"), "token"))
-            new = left.alias("x").join(left.alias("y"), F.expr(f"x.token = y.token AND x.key < y.key AND x.comp <> y.comp AND {window}")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
-        new = cut(new.distinct())
-        edges = cut(edges.unionByName(_measured(new, sets).where(linked).select("a", "b")))
-        if turn == ROUNDS:
-            comps = components(edges)
+        last = turn == ROUNDS
+        bucket = F.col("key") if last else F.pmod(F.xxhash64("comp", F.lit(turn)), F.lit(1 << 2 * turn))
+        pivots = cut(regions.groupBy("token", bucket.alias("bucket")).agg(F.min(F.struct("key", "n", "i", "d", "comp")).alias("x")).select("token", "x"))
+        met = regions.alias("r").join(pivots, "token").where(F.expr(f"r.comp <> x.comp AND {window}" + " AND r.key < x.key" * last))
+        new = cut(met.select(F.col("r.key").alias("a"), F.col("x.key").alias("b"), F.least("r.comp", "x.comp").alias("ca"), F.greatest("r.comp", "x.comp").alias("cb")).distinct())
+        if not last:
+            regions = regions.join(pivots.select("token", F.col("x.key").alias("key")), ["token", "key"], "left_anti")
+        links = cut(_measured(new, sets).where(linked).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        if not links.isEmpty():
+            # Parts that were single texts so far get their labels here too.
+            links = components(links)
+            single = links.join(comps, "key", "left_anti").select("key", "comp")
+            comps = cut(_merged(comps, links, "comp").unionByName(single))
+            regions = _merged(regions, links, "comp")
     named = classes.join(comps, "key", "left").select("key", "first", "copies", F.coalesce("comp", "key").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"), F.count("*").alias("keys"))
     ids = lookup(named, least, "comp", "keys", classes.count()).select("key", "copies", "component_id")
