@@ -4,8 +4,9 @@ Equal shingle sets form classes. Each class stands in one region for each shingl
 shingles that come first in a fixed global order, rare ones first; two sets of the wanted similarity
 share a region. In a region every member is compared with a pivot, never all with all. Jaccard
 distance is a metric: members whose distances to the first pivot differ by more than the threshold
-cannot link. Regions in which unlinked parts remain are joined again with four times as many pivots, each
-from a part of its own and against other parts in its window only, until none remains.
+cannot link. Regions in which unlinked parts remain are joined again with further pivots, each from a part of its own and against other parts in its window
+only, until none remains. The first pivots are those that differ least from other texts, as they link most. Before sets are compared, sketches bound what they can have
+in common.
 
 Plain Voronoi regions of global pivots are not used: almost all documents have distance 1 from any
 pivot, so each would be a boundary document of every region.
@@ -28,8 +29,9 @@ SHINGLE, PERCENT = 4, 85
 CELLS, CHUNK = 1 << 20, 1 << 12
 #: Words whose hashes a worker keeps, and set keys by which it leaves out repeats.
 CACHED, SEEN = 300_000, 300_000
-#: Round r has up to 4^r pivots a region; in the last, what is left is compared pair by pair within the windows.
-ROUNDS = 7
+#: Pivots a region in each round: one is of the largest part, more are of the smallest parts of as many
+#: buckets; in the last round what is left is compared pair by pair within the windows.
+PIVOTS = (1, 1, 8, 64, 512, None)
 
 
 class Shingler:
@@ -63,6 +65,19 @@ class Shingler:
         return np.unique(out)
 
 
+#: Words of 64 bits of a sketch: bit j is the parity of the number of shingles whose hash is j in its
+#: low bits. Bits that differ between two sketches are at most as many as shingles that only one set has.
+SKETCH = 8
+BITS = [f"s{j}" for j in range(SKETCH)]
+
+
+def _sketch(hashes):
+    import numpy as np
+
+    odd = np.bincount((hashes & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _key(hashes) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
@@ -119,14 +134,14 @@ def _cells(counted: DataFrame):
 
 
 def _sets(rows: DataFrame, size: int, pick, wanted=None) -> DataFrame:
-    """(key, n, hash array) of the sets, `pick` of each; repeats within a task are left out as far as
+    """(key, n, hash array, sketch) of the sets, `pick` of each; repeats within a task are left out as far as
     SEEN goes, and so are keys that the broadcast filter `wanted` rules out."""
     import numpy as np
 
     def run(batches):
         shingler, seen, chosen = Shingler(size), set(), pick()
         for batch in batches:
-            keys, sizes, values = [], [], []
+            keys, sizes, values, sketches = [], [], [], []
             for text in batch.column(1):
                 hashes = shingler.hashes(text.as_py())
                 if not len(hashes) or (key := _key(hashes)) in seen or wanted and not _passes(wanted.value, key):
@@ -136,11 +151,12 @@ def _sets(rows: DataFrame, size: int, pick, wanted=None) -> DataFrame:
                 keys.append(key)
                 sizes.append(len(hashes))
                 values.append(chosen(hashes).view(np.int64))
+                sketches.append(_sketch(hashes))
             offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
             flat = np.concatenate(values) if values else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["key", "n", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sketches, pa.list_(pa.int64()))], ["key", "n", "hashes", "sketch"])
 
-    return rows.mapInArrow(run, "key binary, n long, hashes array<long>")
+    return rows.mapInArrow(run, "key binary, n long, hashes array<long>, sketch array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,7 +209,8 @@ def _passes(bits, key: bytes) -> bool:
 
 
 def _tokens(prefixes: DataFrame, wanted) -> DataFrame:
-    """(token, key, n, i) of the prefixes' shingles that pass the broadcast filter `wanted`; i is the place."""
+    """(token, key, n, i, w, sketch words) of the prefixes' shingles that pass the broadcast filter `wanted`; i is the place
+    and w the share that does not pass: the less a text differs from others, the smaller."""
     import numpy as np
 
     def run(batches):
@@ -206,9 +223,11 @@ def _tokens(prefixes: DataFrame, wanted) -> DataFrame:
             at = flat.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
             keep = np.flatnonzero(wanted.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
             where = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), batch.column(0).take(where), batch.column(1).take(where), pa.array(place[keep].astype(np.int32))], ["token", "key", "n", "i"])
+            words = batch.column(3).flatten().to_numpy().reshape(-1, SKETCH)
+            apart = 1 - np.bincount(row[keep], minlength=len(sizes)) / sizes
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), batch.column(0).take(where), batch.column(1).take(where), pa.array(place[keep].astype(np.int32)), pa.array(apart[row[keep]]), *(pa.array(words[row[keep], j]) for j in range(SKETCH))], ["token", "key", "n", "i", "w", *BITS])
 
-    return prefixes.select("key", "n", "hashes").mapInArrow(run, "token long, key binary, n long, i int")
+    return prefixes.select("key", "n", "hashes", "sketch").mapInArrow(run, "token long, key binary, n long, i int, w double, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def _merged(labels: DataFrame, links: DataFrame, at: str) -> DataFrame:
@@ -243,14 +262,14 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
 
         return pick
 
-    prefixes = cut(_sets(rows, shingle, prefix).groupBy("key").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")))
+    prefixes = cut(_sets(rows, shingle, prefix).groupBy("key").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("sketch").alias("sketch")))
     # In the region of its first shared shingle, a pair has at most the rest of either set in common;
     # so one of the two stands there with a place in the short prefix.
     short = F.bool_or(F.expr(f"{100 + percent} * (n - i) >= {2 * percent} * n"))
     common = prefixes.select("n", F.posexplode("hashes").alias("i", "token")).groupBy("token").agg(F.count("*").alias("size"), short.alias("short")).where("size > 1 AND short")
     tokens = cut(_tokens(prefixes, context.broadcast(_filter(common, TOKEN_PLACE))))
-    regions = tokens.groupBy("token").agg(F.min(F.struct("key", "n", "i")).alias("p"), F.count("*").alias("size"), short.alias("short")).where("size > 1 AND short").drop("short")
-    regions = cut(lookup(tokens, regions, "token", "size", tokens.count()).where("p IS NOT NULL").select("token", "key", "n", "i", "p"))
+    regions = tokens.groupBy("token").agg(F.min(F.struct("w", "key", "n", "i")).alias("p"), F.count("*").alias("size"), short.alias("short")).where("size > 1 AND short").drop("short")
+    regions = cut(lookup(tokens, regions, "token", "size", tokens.count()).where("p IS NOT NULL").select("token", "key", "n", "i", "w", *BITS, "p"))
     # Sets of too different sizes, or with too little left behind the shingle, cannot link there.
     sized = f"100 * least({{0}}n, {{1}}n) >= {percent} * greatest({{0}}n, {{1}}n) AND {100 + percent} * least({{0}}n - {{0}}i, {{1}}n - {{1}}i) >= {percent} * ({{0}}n + {{1}}n)"
     pairs = cut(regions.where("key <> p.key AND " + sized.format("", "p.")).select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct())
@@ -264,18 +283,24 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     comps = components(measured.where(linked).select("a", "b"))
     # Distance of each member to its region's first pivot, where it was measured; that pivot is settled.
     distances = measured.select(F.col("a").alias("key"), F.col("b").alias("pivot"), (1 - F.col("same") / F.col("all")).alias("d"))
-    regions = regions.select("token", "key", "n", "i", F.col("p.key").alias("pivot")).where("key <> pivot").join(distances, ["key", "pivot"], "left").join(comps, "key", "left")
-    regions = cut(regions.select("token", "key", "n", "i", "d", F.coalesce("comp", "key").alias("comp")))
-    window = f"coalesce(abs(r.d - x.d) <= {1 - percent / 100 + 1e-9}D, true) AND " + sized.format("r.", "x.")
-    for turn in range(1, ROUNDS + 1):
-        # Regions that are in more than one part go on with up to 4^turn pivots, each of a part of its own.
-        mixed = regions.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("token")
-        regions = cut(regions.join(mixed, "token", "left_semi"))
-        if regions.isEmpty():
+    regions = regions.select("token", "key", "n", "i", "w", *BITS, F.col("p.key").alias("pivot")).where("key <> pivot").join(distances, ["key", "pivot"], "left").join(comps, "key", "left")
+    regions = cut(regions.select("token", "key", "n", "i", "w", "d", *BITS, F.coalesce("comp", "key").alias("comp")))
+    unlike = " + ".join(f"bit_count(r.{b} ^ x.{b})" for b in BITS)
+    window = f"{100 + percent} * ({unlike}) <= {100 - percent} * (r.n + x.n) AND coalesce(abs(r.d - x.d) <= {1 - percent / 100 + 1e-9}D, true) AND " + sized.format("r.", "x.")
+    for turn, count in enumerate(PIVOTS):
+        parts = regions.groupBy("token", "comp").agg(F.count("*").alias("members"), F.min(F.struct("w", "key", "n", "i", "d", "comp", *BITS)).alias("x"))
+        parts = cut(parts.join(parts.groupBy("token").count().where("count > 1"), "token", "left_semi"))
+        if parts.isEmpty():
             break
-        last = turn == ROUNDS
-        bucket = F.col("key") if last else F.pmod(F.xxhash64("comp", F.lit(turn)), F.lit(1 << 2 * turn))
-        pivots = cut(regions.groupBy("token", bucket.alias("bucket")).agg(F.min(F.struct("key", "n", "i", "d", "comp")).alias("x")).select("token", "x"))
+        regions = cut(regions.join(parts.select("token").distinct(), "token", "left_semi"))
+        last = count is None
+        if last:
+            pivots = regions.select("token", F.struct("w", "key", "n", "i", "d", "comp", *BITS).alias("x"))
+        elif count == 1:
+            pivots = cut(parts.groupBy("token").agg(F.max_by("x", F.struct("members", "comp")).alias("x")))
+        else:
+            bucket = F.pmod(F.xxhash64("comp", F.lit(turn)), F.lit(count))
+            pivots = cut(parts.groupBy("token", bucket.alias("bucket")).agg(F.min_by("x", F.struct("members", "comp")).alias("x")).select("token", "x"))
         met = regions.alias("r").join(pivots, "token").where(F.expr(f"r.comp <> x.comp AND {window}" + " AND r.key < x.key" * last))
         new = cut(met.select(F.col("r.key").alias("a"), F.col("x.key").alias("b"), F.least("r.comp", "x.comp").alias("ca"), F.greatest("r.comp", "x.comp").alias("cb")).distinct())
         if not last:
