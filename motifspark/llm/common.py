@@ -42,11 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
     return there or f"file://{tempfile.gettempdir()}/motifspark-checkpoints"
 
 
+#: Spark's setting that removes an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to a table in the shared folder and read it again: the lineage ends there, a lost
     executor loses nothing, and what stands above is not computed twice."""
     path = f"{shared_dir(df.sparkSession)}/motifspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # What the write shuffled is not needed after it, so it need not fill the executors' disks.
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -268,12 +268,15 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     short = F.bool_or(F.expr(f"{100 + percent} * (n - i) >= {2 * percent} * n"))
     common = prefixes.select("n", F.posexplode("hashes").alias("i", "token")).groupBy("token").agg(F.count("*").alias("size"), short.alias("short")).where("size > 1 AND short")
     tokens = cut(_tokens(prefixes, context.broadcast(_filter(common, TOKEN_PLACE))))
-    regions = tokens.groupBy("token").agg(F.min(F.struct("w", "key", "n", "i")).alias("p"), F.count("*").alias("size"), short.alias("short")).where("size > 1 AND short").drop("short")
-    regions = cut(lookup(tokens, regions, "token", "size", tokens.count()).where("p IS NOT NULL").select("token", "key", "n", "i", "w", *BITS, "p"))
+    regions = tokens.groupBy("token").agg(F.min(F.struct("w", "key", "n", "i", *BITS)).alias("p"), F.count("*").alias("size"), short.alias("short")).where("size > 1 AND short").drop("short")
+    regions = cut(lookup(tokens, regions, "token", "size", tokens.count()).where("p IS NOT NULL").select("token", "key", "n", "i", "w", *BITS, "p", "size"))
     # Sets of too different sizes, or with too little left behind the shingle, cannot link there.
     sized = f"100 * least({{0}}n, {{1}}n) >= {percent} * greatest({{0}}n, {{1}}n) AND {100 + percent} * least({{0}}n - {{0}}i, {{1}}n - {{1}}i) >= {percent} * ({{0}}n + {{1}}n)"
-    pairs = cut(regions.where("key <> p.key AND " + sized.format("", "p.")).select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct())
-    involved = regions.select("key").distinct()
+    unlike = " + ".join(f"bit_count({{0}}{b} ^ {{1}}{b})" for b in BITS)
+    alike = f"{100 + percent} * ({unlike}) <= {100 - percent} * ({{0}}n + {{1}}n) AND {sized}"
+    pairs = cut(regions.where("key <> p.key AND " + alike.format("", "p.")).select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct())
+    # A region of two is settled by its pivot; larger ones may compare any of their members later.
+    involved = cut(regions.where("size > 2").select("key").union(pairs.select("a")).union(pairs.select("b")).distinct())
     wanted = context.broadcast(_filter(involved, KEY_PLACE))
     sets = _sets(rows, shingle, lambda: lambda h: h, wanted)
     sets = cut(sets.join(involved, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")))
@@ -283,10 +286,9 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     comps = components(measured.where(linked).select("a", "b"))
     # Distance of each member to its region's first pivot, where it was measured; that pivot is settled.
     distances = measured.select(F.col("a").alias("key"), F.col("b").alias("pivot"), (1 - F.col("same") / F.col("all")).alias("d"))
-    regions = regions.select("token", "key", "n", "i", "w", *BITS, F.col("p.key").alias("pivot")).where("key <> pivot").join(distances, ["key", "pivot"], "left").join(comps, "key", "left")
+    regions = regions.select("token", "key", "n", "i", "w", *BITS, F.col("p.key").alias("pivot"), "size").where("key <> pivot AND size > 2").join(distances, ["key", "pivot"], "left").join(comps, "key", "left")
     regions = cut(regions.select("token", "key", "n", "i", "w", "d", *BITS, F.coalesce("comp", "key").alias("comp")))
-    unlike = " + ".join(f"bit_count(r.{b} ^ x.{b})" for b in BITS)
-    window = f"{100 + percent} * ({unlike}) <= {100 - percent} * (r.n + x.n) AND coalesce(abs(r.d - x.d) <= {1 - percent / 100 + 1e-9}D, true) AND " + sized.format("r.", "x.")
+    window = f"coalesce(abs(r.d - x.d) <= {1 - percent / 100 + 1e-9}D, true) AND " + alike.format("r.", "x.")
     for turn, count in enumerate(PIVOTS):
         parts = regions.groupBy("token", "comp").agg(F.count("*").alias("members"), F.min(F.struct("w", "key", "n", "i", "d", "comp", *BITS)).alias("x"))
         parts = cut(parts.join(parts.groupBy("token").count().where("count > 1"), "token", "left_semi"))
