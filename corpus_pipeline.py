@@ -13,6 +13,10 @@ from motifspark.llm.quality_rules import judge
 from motifspark.llm.secret_scans import redact, scan
 from motifspark.llm.sentencepiece_codec import digest
 
+#: Near duplicates share this percentage of their shingles of so many words; the limits of
+#: op4_jaccard_join hold for that query alone.
+NEAR_SHINGLE, NEAR_PERCENT = 5, 80
+
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that the rules reject go."""
@@ -22,7 +26,7 @@ def quality_rules(spark, docs, sf_dir):
 def near_duplicates(spark, docs, sf_dir):
     """Of each group of near duplicates the document of the smallest id stays, once. Rows of
     null ids cannot be told apart and go."""
-    groups = jaccard_join(docs)
+    groups = jaccard_join(docs, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
     ids = groups.where("doc_id = component_id").select("doc_id").distinct()
     one = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.select(*docs.columns)

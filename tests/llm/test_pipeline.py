@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline
 
 FAULT = " ".join("w%%%" for _ in range(60))
@@ -28,3 +30,37 @@ def test_stages_take_effect(spark, tmp_path):
     assert final[4].endswith("[SECRET]")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 4
+
+
+def test_near_copies_between_the_limits_go(spark):
+    def similar(a, b, size):
+        a, b = ({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} for w in (a.split(), b.split()))
+        return len(a & b) / len(a | b)
+
+    words = text(1, 52).split()
+    near = " ".join(words[:26] + ["other"] + words[27:])
+    far = " ".join(words[:12] + ["other"] + words[13:38] + ["another"] + words[39:])
+    assert similar(text(1, 52), near, 4) < 0.85 and similar(text(1, 52), near, 5) >= 0.8
+    assert max(similar(a, far, 5) for a in (text(1, 52), near)) < 0.8
+    docs = spark.createDataFrame([(1, text(1, 52)), (2, near), (3, far)], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, None).collect()} == {1, 3}
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(5):
+        words = [f"w{rng.randrange(60)}" for _ in range(rng.choice([8, 30, 90]))]
+        for _ in range(20):
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = f"w{rng.randrange(60)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((group[i], group[j]))
+                group = [a if g == b else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, None).collect()} == set(group)
