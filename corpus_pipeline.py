@@ -5,6 +5,7 @@ columns of documents. Every stage works on all that the one before it kept.
 """
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from motifspark.llm.common import cut, table
 from motifspark.llm.decontamination import decontaminate
@@ -24,12 +25,14 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Of each group of near duplicates the document of the smallest id stays, once. Rows of
-    null ids cannot be told apart and go."""
-    groups = jaccard_join(docs, shingle=NEAR_SHINGLE, percent=NEAR_PERCENT)
-    ids = groups.where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns)
+    """Of each group of near duplicates the row of the smallest id stays, null ids last; of equal
+    ids the first row. Rows are told apart by a written row number, so rows of null or repeated ids
+    stay if they are copies of nothing."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    groups = jaccard_join(rows.select(key.alias("key"), "text"), shingle=NEAR_SHINGLE, percent=NEAR_PERCENT, id_col="key")
+    first = groups.where("key._row = component_id._row").select("key._row")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark, docs, sf_dir):

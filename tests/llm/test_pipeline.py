@@ -64,3 +64,11 @@ def test_near_duplicates_equal_brute_force(spark):
                 group = [a if g == b else g for g in group]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, None).collect()} == set(group)
+
+
+def test_rows_of_null_and_repeated_ids(spark):
+    rows = [(3, text(3)), (5, text(5)), (5, text(3)), (5, text(6)), (None, text(7)), (None, text(8)), (None, text(8)), (None, text(6)), (9, text(7)), (None, None), (4, text(3)), (4, "")]
+    want = [(3, text(3)), (5, text(5)), (5, text(6)), (9, text(7)), (None, text(8)), (None, None), (4, "")]
+    for turn in (rows, rows[::-1]):
+        docs = spark.createDataFrame(turn, "doc_id long, text string")
+        assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, None).collect()), key=str) == sorted(want, key=str)
