@@ -1,9 +1,10 @@
 """License scans (operator 2): exact containment join of templates with blocks of text.
 
-Template words are ordered by how many rows of the corpus hold them, rarest first. A block (a line)
-becomes a candidate of a template only through the template's prefix; length and positional filters
-go before the exact count. Every block that holds at least `threshold` of a template's words is
-found. Broadcast are the templates alone, which are given with the query and do not grow.
+Template words are ordered by how many rows of the corpus hold them, rarest first. A block becomes a
+candidate of a template only through the template's prefix; length and positional filters go before
+the exact count. Blocks are the lines of a text and, as notices are wrapped over lines, all windows
+of 1/threshold times as many consecutive words as the template has, wherever lines end. Every block
+that holds at least `threshold` of a template's words is found. Broadcast are the templates alone, which are given with the query and do not grow.
 """
 
 from __future__ import annotations
@@ -52,9 +53,10 @@ class Matcher:
             for place, word in enumerate(ordered[: len(words) - need + 1]):
                 self.prefix.setdefault(word, []).append((len(self.sets), place))
             self.sets.append((label, words, need))
+        self.spans = [-(-len(w) * threshold.denominator // threshold.numerator) for w in (words_of(t.encode()) for _, t in templates) if w]
 
-    def match(self, block: list[bytes]) -> dict[str, float]:
-        """Labels of the templates that the block holds to the threshold, with the share held."""
+    def candidates(self, block) -> dict[int, int]:
+        """Numbers of the templates that the block holds to the threshold, with how many words it holds."""
         known = sorted(self.rank.keys() & set(block), key=self.rank.__getitem__)
         out, seen = {}, set()
         for at, word in enumerate(known):
@@ -64,9 +66,42 @@ class Matcher:
                     continue
                 seen.add(number)  # its first shared word: what is left on either side bounds the rest
                 if min(len(words) - place, len(known) - at) >= need and (shared := len(words.intersection(known))) >= need:
-                    out[label] = max(out.get(label, 0.0), shared / len(words))
+                    out[number] = shared
+        return out
+
+    def _shares(self, held: dict[int, int]) -> dict[str, float]:
+        out = {}
+        for number, shared in held.items():
+            label, words, _ = self.sets[number]
+            out[label] = max(out.get(label, 0.0), shared / len(words))
         return out
 
+    def match(self, block: list[bytes]) -> dict[str, float]:
+        """Labels of the templates that the block holds to the threshold, with the share held."""
+        return self._shares(self.candidates(block))
+
+    def windows(self, text: list[bytes]) -> dict[str, float]:
+        """Labels of the templates that a window of the text's words holds to the threshold, with the
+        largest share held. A text that does not hold enough words anywhere has no such window."""
+        held = {}
+        for number in self.candidates(text):
+            _, words, need = self.sets[number]
+            span, inside, best = self.spans[number], Counter(), 0
+            places = [i for i, word in enumerate(text) if word in words]
+            first = 0
+            for place in places:
+                inside[text[place]] += 1
+                while places[first] <= place - span:
+                    gone = text[places[first]]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                    first += 1
+                best = max(best, len(inside))
+            if best >= need:
+                held[number] = best
+        return self._shares(held)
+
 
 def phrase_starts(words: list[bytes], phrase: list[bytes]) -> list[int]:
     joined, wanted, out, at = b" " + b" ".join(words) + b" ", b" " + b" ".join(phrase) + b" ", [], -1
@@ -113,8 +148,8 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
                 starts += found
                 base.add(label)
         if not held.isdisjoint(matcher.prefix):
-            for block in text.split(b"\n"):
-                for label, share in matcher.match(words_of(block)).items():
+            for found in (matcher.windows(words), *(matcher.match(words_of(block)) for block in text.split(b"\n"))):
+                for label, share in found.items():
                     labels[label] = max(labels.get(label, 0.0), share)
         score = 1.0 if base else max(labels.values(), default=0.0)
         return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels.keys())), round(score, 6)

@@ -1,7 +1,8 @@
 import random
+import textwrap
 from fractions import Fraction
 
-from motifspark.llm.license_scans import Matcher, license_scan, phrase_starts, words_of
+from motifspark.llm.license_scans import TEMPLATES, Matcher, license_scan, phrase_starts, words_of
 
 
 def test_join_equals_brute_force():
@@ -36,3 +37,31 @@ def test_rows(spark):
     assert out[3] == out[4] == (0, 0, None, None, "", "", 0.0) and out[5][1] == 0
     assert out[None][4] == "gpl"
     assert license_scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_wrapped_notices(spark):
+    comment = lambda text, width: "\n".join(f" * {line}" for line in textwrap.wrap(text, width))
+    notices = [(label, t) for label, t in TEMPLATES if "Creative" not in t and "CC BY" not in t and "General Public" not in t and "reserved" not in t]
+    around = "Some code stands here and more of it\n"
+    rows = [(i, around * 3 + comment(t, width) + "\n" + around * 3) for i, (t, width) in enumerate((t, w) for _, t in notices for w in (20, 50, 80))]
+    # Words of a template that stand far apart are no notice.
+    words = TEMPLATES[2][1].split()
+    rows.append((-1, "\n".join(w + " x" * 5 for w in words)))
+    out = {r["doc_id"]: (r["labels"], r["score"]) for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out.pop(-1) == ("", 0.0)
+    assert out == {i: (label, 1.0) for i, label in enumerate(label for label, _ in notices for _ in range(3))}
+
+
+def test_windows_equal_brute_force():
+    rng = random.Random(4)
+    pick = lambda n: " ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, n)))
+    for _ in range(1000):
+        templates, threshold = [(str(i), pick(8)) for i in range(4)] + [("z", "a")], Fraction(rng.randint(1, 5), 5)
+        text, want = words_of(pick(30).encode()), {}
+        for label, words in templates:
+            t = words_of(words.encode())
+            span = -(-len(t) * threshold.denominator // threshold.numerator)
+            best = max((len(set(t) & set(text[i : i + span])) for i in range(len(text))), default=0)
+            if t and best >= threshold * len(set(t)):
+                want[label] = best / len(set(t))
+        assert Matcher(templates, {}, threshold).windows(text) == want
