@@ -44,10 +44,11 @@ class Page(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.stack, self.blocks, self.parts, self.inner = [], [], [], []
-        self.main = False
         self.feed(html)
         self.close()
         self.flush()
+        # An article without text, or within noise, is no main part.
+        self.main = any(main for *_, main in self.blocks)
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
@@ -80,7 +81,6 @@ class Page(HTMLParser):
         # An article among comments is a comment.
         if main and not NOISE.isdisjoint(names) and any(n in ("comment", "comments", "reply", "replies") for n in names):
             noise, main = True, False
-        self.main |= main and not noise
         style = tag + "".join(f".{n}" for n in sorted(values.get("class", "").split())) + (f"#{values['id']}" if values.get("id") else "")
         self.stack.append((tag, style, noise, main))
 

@@ -17,3 +17,9 @@ def test_template_blocks_go_and_copies_stay(spark):
     assert all(out[100 + i] == ("One article", 11) for i in range(20))
     assert out[200] == out[201] == ("", 0)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_articles_in_noise_or_without_text_are_no_main_part():
+    for part in ("<aside><article><h3>Card</h3></article></aside>", "<div class=related><article>Card</article></div>", "<div id=comments><main>Comment</main></div>", "<footer><div role=main>x</div></footer>", "<main></main>", "<article> <p> </p></article>"):
+        assert text_of(f"<body><div>Body <b>text</b></div>{part}<div>and more</div>", set()) == "Body text and more"
+    assert text_of("<body><div>Intro</div><aside><article>Card</article></aside><main>Main</main>", set()) == "Main"
