@@ -1,10 +1,13 @@
 """HTML extraction (operator 7) with site style trees.
 
-The DOMs of one host are merged by style (tags, classes and ids from the root). For each style node
-of a host, presentation importance is the entropy of its blocks' inner styles and content importance
-that of their texts, both in shares of the largest possible. Blocks of nodes of low importance go,
-as do menus, headers, footers and the like, which their tags, roles and names tell. What stands in
-the article itself is never of low importance: copies of one article on a host are no template.
+The DOMs of one host are merged by style (tags, classes and ids from the root), articles included. For
+each style node of a host, presentation importance is the entropy of its blocks' inner styles, or of
+its children's styles, and content importance that of their texts, both in shares of the largest
+possible. A branch combines its own importance with that of the leaves below it. Blocks of leaves of
+low importance go, and branches in which every node is of low importance. Before that, menus, headers,
+footers and the like go, which their tags, roles and names tell, and what stands outside the article.
+In articles, a block counts once for each different article of the host that holds it: copies of one
+article are one article and no template.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from motifspark.llm.url_filters import host_and_path
 
 #: A node is judged from this many blocks on, and goes if its importance is below the limit.
 LEAST_BLOCKS, LEAST_IMPORTANCE = 5, 0.2
+#: Weight of the leaves in a branch's importance, to the power of the number of its children's styles.
+GAMMA = 0.9
 #: Up to this many hosts with removable nodes are broadcast.
 BROADCAST_HOSTS, BROADCAST_NODES = 20_000, 200_000
 
@@ -39,23 +44,31 @@ _NAME = re.compile("[a-z]+")
 
 
 class Page(HTMLParser):
-    """Blocks of a page: (style node, inner styles, text, whether in the article)."""
+    """Blocks of a page: (style node, inner styles, text, whether in the article), and branches: (style
+    node, children's styles, whether in the article). A node is named by the styles on its path."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.stack, self.blocks, self.parts, self.inner = [], [], [], []
+        self.stack, self.blocks, self.branches, self.parts, self.inner = [], [], [], [], []
         self.feed(html)
         self.close()
         self.flush()
+        self.leave(0)
         # An article without text, or within noise, is no main part.
         self.main = any(main for *_, main in self.blocks)
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
-        if text and not any(noise for _, _, noise, _ in self.stack):
-            self.blocks.append(("/".join(style for _, style, _, _ in self.stack), "".join(self.inner), text, any(main for *_, main in self.stack)))
+        if text:
+            _, path, noise, main, _ = self.stack[-1] if self.stack else ("", "", False, False, [])
+            if not noise:
+                self.blocks.append((path, "".join(self.inner), text, main))
         self.parts, self.inner = [], []
 
+    def leave(self, depth):
+        self.branches += [(path, " ".join(children), main) for _, path, noise, main, children in self.stack[depth:] if children and not noise]
+        del self.stack[depth:]
+
     def handle_starttag(self, tag, attrs):
         if tag in INLINE:
             self.inner.append(f"<{tag}>")
@@ -67,22 +80,24 @@ class Page(HTMLParser):
         for i in range(len(self.stack) - 1, -1, -1):
             name = self.stack[i][0]
             if name in closes:
-                del self.stack[i:]
+                self.leave(i)
                 break
             if name in _SCOPE:
                 break
         values = {k: v or "" for k, v in attrs}
         names = _NAME.findall(f"{values.get('class', '')} {values.get('id', '')}".lower())
         main = tag in ("article", "main") or values.get("role") == "main"
-        inside = any(m for *_, m in self.stack)
+        _, above, hidden, inside, siblings = self.stack[-1] if self.stack else ("", "", False, False, [])
         noise = not main and tag not in ("html", "body") and (
             tag in DROPPED or values.get("role", "").lower() in ROLES or (tag == "header" and not inside) or not NOISE.isdisjoint(names) or "hidden" in values
         )
         # An article among comments is a comment.
         if main and not NOISE.isdisjoint(names) and any(n in ("comment", "comments", "reply", "replies") for n in names):
             noise, main = True, False
-        style = tag + "".join(f".{n}" for n in sorted(values.get("class", "").split())) + (f"#{values['id']}" if values.get("id") else "")
-        self.stack.append((tag, style, noise, main))
+        style = tag + "".join(f".{n}" for n in sorted(values.get("class", "").split())) + ("#" + "_".join(values["id"].split()) if values.get("id") else "")
+        if not noise:
+            siblings.append(style)
+        self.stack.append((tag, f"{above} {style}" if self.stack else style, noise or hidden, main or inside, []))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -93,7 +108,7 @@ class Page(HTMLParser):
         self.flush()
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
-                del self.stack[i:]
+                self.leave(i)
                 break
 
     def handle_data(self, data):
@@ -103,42 +118,73 @@ class Page(HTMLParser):
         pass
 
 
+def leaf(path: str) -> str:
+    """Name of the leaf that a node's own blocks form."""
+    return f"{path} #"
+
+
+def _goes(path: str, low: set[str]) -> bool:
+    parts = path.split(" ")
+    return leaf(path) in low or any(" ".join(parts[:i]) in low for i in range(1, len(parts) + 1))
+
+
 def text_of(html: str, low: set[str]) -> str:
-    """The main text; `low` are the style nodes of low importance on the page's host."""
+    """The main text; `low` are the leaves and branches of low importance on the page's host."""
     page = Page(html)
-    if page.main:
-        return " ".join(text for _, _, text, main in page.blocks if main)
-    return " ".join(text for style, _, text, _ in page.blocks if style not in low)
+    kept = [(path, text) for path, _, text, main in page.blocks if main or not page.main]
+    if low:
+        going = {path: _goes(path, low) for path in {path for path, _ in kept}}
+        kept = [(path, text) for path, text in kept if not going[path]]
+    return " ".join(text for _, text in kept)
 
 
 def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, node, n, importance) of rows (host, html): the larger of both entropies, as share of
-    the entropy of n different blocks. Counts meet per (host, node, look, content), pre-aggregated
-    in each Arrow batch, so a host of many pages is no large group."""
+def style_trees(pages: DataFrame, least_blocks: int = LEAST_BLOCKS, least_importance: float = LEAST_IMPORTANCE) -> DataFrame:
+    """(host, node, n, importance, low) of rows (host, html), leaves and branches. A leaf's importance is
+    the larger of both entropies, as share of the entropy of n different blocks; a branch's is GAMMA^l
+    times the mean of the leaves below and the rest times the entropy of its children's styles, of which
+    there are l. Counts meet per (host, node, look, content, article), pre-aggregated in each Arrow
+    batch, and branches sum what their leaves send up, so a host of many pages is no large group."""
 
     def nodes(batches):
         for batch in batches:
             seen = Counter()
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for style, inner, text, main in Page(html or "").blocks:
-                    if not main:
-                        seen[host, style, _hash(inner), _hash(text)] += 1
+                page = Page(html or "")
+                article = _hash("\n".join(text for _, _, text, main in page.blocks if main)) if page.main else None
+                found = [((host, path, _hash(inner), _hash(text), article if main else None), main) for path, inner, text, main in page.blocks]
+                found += [((host, path, _hash(children), None, article if main else None), main) for path, children, main in page.branches]
+                for key, main in found:
+                    # Once an article; else as often as it occurs.
+                    seen[key] = 1 if main else seen[key] + 1
             rows = [(*k, n) for k, n in seen.items()]
-            kinds = [("host", pa.string()), ("node", pa.string()), ("look", pa.int64()), ("content", pa.int64()), ("n", pa.int64())]
-            columns = list(zip(*rows)) or [()] * 5
+            kinds = [("host", pa.string()), ("node", pa.string()), ("look", pa.int64()), ("content", pa.int64()), ("article", pa.int64()), ("n", pa.int64())]
+            columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds)], [n for n, _ in kinds])
 
-    counts = pages.select("host", "html").mapInArrow(nodes, "host string, node string, look long, content long, n long")
-    importance = None
-    for feature in ("look", "content"):
-        each = counts.groupBy("host", "node", feature).agg(F.sum("n").alias("n")).groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"))
-        each = each.select("host", "node", "n", F.when(F.col("n") > 1, 1 - F.col("nlogn") / (F.col("n") * F.log("n"))).otherwise(1.0).alias("share"))
-        importance = each if importance is None else importance.unionByName(each)
-    return importance.groupBy("host", "node").agg(F.max("n").alias("n"), F.max("share").alias("importance"))
+    counts = pages.select("host", "html").mapInArrow(nodes, "host string, node string, look long, content long, article long, n long")
+    times = F.when(F.col("article").isNull(), F.sum("n")).otherwise(1).alias("n")
+    counts = cut(counts.groupBy("host", "node", "look", "content", "article").agg(times))
+    features = F.explode(F.expr("filter(array(struct('look' AS feature, look AS value), struct('content' AS feature, content AS value)), f -> f.value IS NOT NULL)"))
+    values = counts.select("host", "node", F.col("content").isNotNull().alias("own"), features.alias("f"), "n").groupBy("host", "node", "own", "f").agg(F.sum("n").alias("n"))
+    each = values.groupBy("host", "node", "own", "f.feature").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("looks"))
+    each = each.select("host", "node", "own", "n", "looks", F.when(F.col("n") > 1, 1 - F.col("nlogn") / (F.col("n") * F.log("n"))).otherwise(1.0).alias("share"))
+    every = cut(each.groupBy("host", "node", "own").agg(F.max("n").alias("n"), F.max("share").alias("importance"), F.max("looks").alias("looks")))
+    leaves, branches = every.where("own"), every.where("NOT own")
+    path = F.split("node", " ")
+    up = F.explode(F.transform(F.sequence(F.lit(1), F.size(path)), lambda i: F.concat_ws(" ", F.slice(path, 1, i)))).alias("at")
+    below = leaves.select("host", "n", "importance", up).groupBy("host", "at").agg((F.sum(F.col("n") * F.col("importance")) / F.sum("n")).alias("mean"), F.max("importance").alias("top"))
+    here = F.expr("b.host <=> o.host AND b.node = o.at")
+    weight = F.pow(F.lit(GAMMA), F.col("looks"))
+    combined = branches.alias("b").join(below.alias("o"), here).select("b.host", "node", "n", ((1 - weight) * F.col("importance") + weight * F.col("mean")).alias("importance"), "top")
+    combined = cut(combined)
+    highest = combined.select("host", "importance", up).groupBy("host", "at").agg(F.max("importance").alias("highest"))
+    low = lambda top: (F.col("n") >= least_blocks) & (top < least_importance)
+    whole = combined.alias("b").join(highest.alias("o"), here).select("b.host", "node", "n", "importance", low(F.greatest("top", "highest")).alias("low"))
+    return leaves.select("host", F.concat("node", F.lit(leaf(""))).alias("node"), "n", "importance", low(F.col("importance")).alias("low")).unionByName(whole)
 
 
 def extract(pages: DataFrame, least_blocks: int = LEAST_BLOCKS, least_importance: float = LEAST_IMPORTANCE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -149,7 +195,7 @@ def extract(pages: DataFrame, least_blocks: int = LEAST_BLOCKS, least_importance
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).alias("url"), host_and_path(F.col(url_col))[0].alias("host"), F.col(html_col).alias("html"))
-    low = style_trees(rows).where((F.col("n") >= least_blocks) & (F.col("importance") < least_importance))
+    low = style_trees(rows, least_blocks, least_importance).where("low")
     low = cut(low.groupBy("host").agg(F.collect_list("node").alias("low"), F.sum(F.lit(1)).alias("nodes")))
     hosts, nodes = low.agg(F.count("*"), F.coalesce(F.sum("nodes"), F.lit(0))).first()
     if hosts <= BROADCAST_HOSTS and nodes <= BROADCAST_NODES:

@@ -1,4 +1,6 @@
-from motifspark.llm.html_extraction import extract, text_of
+import math
+
+from motifspark.llm.html_extraction import extract, style_trees, text_of
 
 
 def test_article_text():
@@ -23,3 +25,31 @@ def test_articles_in_noise_or_without_text_are_no_main_part():
     for part in ("<aside><article><h3>Card</h3></article></aside>", "<div class=related><article>Card</article></div>", "<div id=comments><main>Comment</main></div>", "<footer><div role=main>x</div></footer>", "<main></main>", "<article> <p> </p></article>"):
         assert text_of(f"<body><div>Body <b>text</b></div>{part}<div>and more</div>", set()) == "Body text and more"
     assert text_of("<body><div>Intro</div><aside><article>Card</article></aside><main>Main</main>", set()) == "Main"
+
+
+def test_templates_in_articles_go_and_copied_articles_stay(spark):
+    note = "<div class=box><p class=note>Written by the <b>editors</b> of this site</p></div>"
+    html = lambda text: f"<body><article><h1>Title {text}</h1><p>Text {text}</p>{note}</article>"
+    rows = [(i, "http://a.b/x", html(i)) for i in range(12)]
+    # Copies of one article beside others, and nothing but copies.
+    rows += [(100 + i, "http://a.b/y", html("copied")) for i in range(12)] + [(200 + i, "http://c.d/", html("copied")) for i in range(12)]
+    out = {r["page_id"]: r["text"] for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"Title {i} Text {i}" for i in range(12))
+    assert all(out[100 + i] == "Title copied Text copied" for i in range(12))
+    assert all(out[200 + i] == "Title copied Text copied Written by the editors of this site" for i in range(12))
+
+
+def test_branches_combine_their_leaves(spark):
+    # Each leaf of the box is too rare to be judged; the branch is not. One leaf that differs keeps its branch.
+    rows = [(i, "http://a.b/", f"<body><article><p>Text {i}</p><div class=box><p class=k{i // 3}>Same {i // 3}</p></div></article>") for i in range(12)]
+    rows += [(100 + i, "http://c.d/", f"<body><article><p>Text {i}</p><div class=box><p class=k{i // 3}>Other {i}</p></div></article>") for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in extract(pages).collect()}
+    assert all(out[100 + i] == f"Text {i} Other {i}" for i in range(12))
+    tree = {r["node"]: r for r in style_trees(pages.where("page_id < 100").selectExpr("'h' AS host", "html")).collect()}
+    box, leaves = tree["body article div.box"], [tree[f"body article div.box p.k{i} #"] for i in range(4)]
+    assert all((r["n"], r["importance"], r["low"]) == (3, 0.0, False) for r in leaves)
+    look = 1 - (4 * 3 * math.log(3)) / (12 * math.log(12))
+    assert box["n"] == 12 and abs(box["importance"] - (1 - 0.9**4) * look) < 1e-9
+    assert box["low"]
+    assert all(out[i] == f"Text {i}" for i in range(12))
