@@ -7,6 +7,7 @@ pieces, equally long for all patterns, so one equi-join with the texts' grams fi
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,41 @@ def _hits(texts: DataFrame, seeds: DataFrame, size: int, context: int, block_siz
     return grams.join(_bounded(seeds), F.col("g.gram") == F.col("seed"))
 
 
+def _verified(hits: DataFrame, k: int, circular: bool) -> DataFrame:
+    """(text_id, pattern_id, pos, distance, rotation) of the hits' starts within k mismatches. All rotations
+    that hold a hit's seed whole lie on one diagonal of the doubled pattern and the text, so one running
+    sum of its mismatches gives all their distances."""
+    import numpy as np
+
+    def codes(text):
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    def run(batches):
+        for batch in batches:
+            known, where, found = {}, [], []
+            for i, (pattern, block, low, length, q, off, step) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
+                if pattern not in known:
+                    own = codes(pattern)
+                    known[pattern] = len(own), np.concatenate([own, own[:-1]]) if circular else own
+                (m, wanted), at = known[pattern], q - off
+                first, last = (max(0, off + step - m), min(off, m - 1)) if circular else (0, 0)
+                first, last = max(first, -at), min(last, length - m - at)
+                if first <= last:
+                    there = codes(block)[at + first - low : at + last + m - low]
+                    wrong = np.concatenate([[0], np.cumsum(wanted[first : last + m] != there)])
+                    distance = wrong[m:] - wrong[:-m]
+                    for j in np.flatnonzero(distance <= k).tolist():
+                        where.append(i)
+                        found.append((at + first + j, int(distance[j]), first + j))
+            pos, distance, rotation = zip(*found) if found else ((), (), ())
+            where = pa.array(where, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(pos, pa.int64()), pa.array(distance, pa.int32()), pa.array(rotation, pa.int32())], ["text_id", "pattern_id", "pos", "distance", "rotation"])
+
+    kinds = hits.schema["text_id"].dataType.simpleString(), hits.schema["pattern_id"].dataType.simpleString()
+    rows = hits.select("text_id", "pattern_id", "pattern", "block", "low", "text_length", "g.q", "off", "step")
+    return rows.mapInArrow(run, f"text_id {kinds[0]}, pattern_id {kinds[1]}, pos long, distance int, rotation int")
+
+
 def kmismatch(texts: DataFrame, patterns: DataFrame, k: int, circular: bool = False, block_size: int = BLOCK) -> DataFrame:
     """Rows (text_id, pattern_id, pos, distance[, rotation]) of every start at which a pattern (circular:
     a rotation of it) occurs with at most k mismatches; of several rotations the best, then smallest.
@@ -52,23 +88,17 @@ def kmismatch(texts: DataFrame, patterns: DataFrame, k: int, circular: bool = Fa
         raise ValueError("k must not be negative and block_size must be positive")
     patterns = patterns.select("pattern_id", "pattern").where("length(pattern) > 0")
     seeds, size, longest = _seeds(patterns, k, circular)
-    hits = _hits(texts, seeds, size, 2 * longest, block_size)
+    hits = _hits(texts, seeds, size, longest, block_size)
     short = patterns.where(f"length(pattern) <= {k}")
     every = blocks(texts, block_size, max(1, k)).join(_bounded(short), F.expr("length(pattern) <= text_length"))
     every = every.select("text_id", "pattern_id", "pattern", "block", "low", "text_length", F.expr(f"explode(sequence(start, least(start + {block_size}, text_length) - 1)) AS pos"))
-    if circular:
-        # A hit of the seed at off tells the starts of the rotations that hold it whole.
-        turns = hits.select("text_id", "pattern_id", "pattern", "block", "low", "text_length", "g.q", "off", F.expr("explode(sequence(greatest(0, off + step - length(pattern)), least(off, length(pattern) - 1))) AS rotation"))
-        found = turns.withColumn("pos", F.expr("q - (off - rotation)")).drop("q", "off")
-        every = every.withColumn("rotation", F.expr("explode(sequence(0, length(pattern) - 1))"))
-        found = found.unionByName(every.select(found.columns))
-    else:
-        found = hits.select("text_id", "pattern_id", "pattern", "block", "low", "text_length", F.expr("g.q - off AS pos"))
-        found = found.unionByName(every.select(found.columns))
-    found = found.where("pos BETWEEN 0 AND text_length - length(pattern)").withColumn("w", F.expr("substring(block, pos - low + 1, length(pattern))"))
+    every = every.withColumn("rotation", F.expr("explode(sequence(0, length(pattern) - 1))") if circular else F.lit(0))
+    every = every.where("pos BETWEEN 0 AND text_length - length(pattern)").withColumn("w", F.expr("substring(block, pos - low + 1, length(pattern))"))
     wanted = f"substring({doubled('pattern')}, rotation + 1, length(pattern))" if circular else "pattern"
-    found = found.withColumn("x", F.expr(wanted)).withColumn("distance", F.expr(_DISTANCE.format(x="x", w="w"))).where(F.col("distance") <= k)
-    keys = ["text_id", "pattern_id", F.col("pos").cast("long").alias("pos")]
+    every = every.withColumn("x", F.expr(wanted)).withColumn("distance", F.expr(_DISTANCE.format(x="x", w="w"))).where(F.col("distance") <= k)
+    found = _verified(hits, k, circular)
+    found = found.unionByName(every.select("text_id", "pattern_id", F.col("pos").cast("long").alias("pos"), F.col("distance").cast("int").alias("distance"), "rotation"))
+    keys = ["text_id", "pattern_id", "pos"]
     if not circular:
         return found.select(*keys, F.col("distance").cast("int").alias("distance")).distinct()
     best = found.select(*keys, "distance", "rotation").groupBy("text_id", "pattern_id", "pos").agg(F.min(F.struct("distance", "rotation")).alias("b"))

@@ -52,11 +52,22 @@ def exact_scan(spark, sf_dir):
     return multi_pattern_scan(_parts(spark, sf_dir), _regions(spark, sf_dir, 1).withColumn("pattern", F.lower("pattern")))
 
 
+def _documents(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("text_id"), "text")
+
+
+def _items(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern"))
+
+
 def document_search(spark, sf_dir):
-    """The first 24 characters of every benchmark item in all documents, two mismatches."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("text_id"), "text")
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("pattern_id"), F.expr("substring(text, 1, 24)").alias("pattern"))
-    return kmismatch(docs, items, 2)
+    """Every whole benchmark item in all documents, two mismatches."""
+    return kmismatch(_documents(spark, sf_dir), _items(spark, sf_dir), 2)
+
+
+def document_search_circular(spark, sf_dir):
+    """Every rotation of every whole benchmark item in all documents, two mismatches."""
+    return kmismatch(_documents(spark, sf_dir), _items(spark, sf_dir), 2, circular=True)
 
 
 def pattern_fragments(spark, sf_dir):
@@ -75,7 +86,7 @@ def suffix_array(spark, sf_dir):
     return index.suffix_array(_nations(spark, sf_dir))
 
 
-QUERIES = {q.__name__: q for q in (linear_scan, linear_seed, linear_blocked, circular_seed, circular_blocked, match_count, exact_scan, document_search, pattern_fragments, pattern_rotations, prefix_array, suffix_array)}
+QUERIES = {q.__name__: q for q in (linear_scan, linear_seed, linear_blocked, circular_seed, circular_blocked, match_count, exact_scan, document_search, document_search_circular, pattern_fragments, pattern_rotations, prefix_array, suffix_array)}
 
 _LINEAR = """
 SELECT text_id, pattern_id, CAST(pos AS BIGINT) AS pos, CAST(distance AS INTEGER) AS distance FROM (

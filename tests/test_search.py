@@ -4,6 +4,7 @@ import pytest
 
 from motifspark.operators import index, prepare
 from motifspark.operators.search import kmismatch, multi_pattern_scan
+from motifspark.plans import catalog
 
 FIXTURES = [
     ("GATACGATACCTAGGGTGATAGAATAG", "GGGTCTA", 3, [13, 14], [1, 2, 7, 8, 9, 10, 11, 12, 13, 14, 15, 18, 19, 20]),
@@ -59,3 +60,26 @@ def test_preparation_and_index(spark):
     assert [r.z for r in index.prefix_array(frames(spark, ["aabaa"], [])[0]).orderBy("pos").collect()] == [0, 1, 0, 2, 1]
     assert [(r.pos, r.lcp) for r in index.suffix_array(texts).orderBy("rank").collect()] == [(5, 0), (3, 1), (1, 3), (0, 0), (4, 0), (2, 2)]
     assert sorted(map(tuple, multi_pattern_scan(texts, frames(spark, [], ["an", "nan"])[1]).collect())) == [(0, 0, 1, 3), (0, 0, 3, 5), (0, 1, 2, 5)]
+
+
+def test_documents_hold_whole_items(spark, tmp_path):
+    rng = random.Random(6)
+    items = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (81, 120, 394)]
+    a, b, c = items
+    swap = lambda t, *at: "".join("#" if i in at else x for i, x in enumerate(t))
+    # Edits late in an item, a prefix alone, three edits, and an item across a block's edge.
+    documents = ["x" + a, swap(b, 3, 119) + "y", c[:40] + "z" * 400, swap(a, 1, 40, 80), "w" * 300 + swap(c, 393) + a, c[100:] + swap(c[:100], 5), b[:60], "", None]
+    frames(spark, documents, [])[0].toDF("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    frames(spark, [], items)[1].toDF("item_id", "text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    differ = lambda a, b: sum(x != y for x, y in zip(a, b))
+    linear, circular = [], []
+    for t, text in enumerate(documents):
+        for p, x in enumerate(items):
+            for i in range(len(text or "") - len(x) + 1):
+                w = text[i : i + len(x)]
+                d = min((differ(x[r:] + x[:r], w), r) for r in range(len(x)))
+                linear += [(t, p, i, differ(x, w))] * (differ(x, w) <= 2)
+                circular += [(t, p, i, *d)] * (d[0] <= 2)
+    assert sorted(map(tuple, catalog.document_search(spark, str(tmp_path)).collect())) == linear
+    assert sorted(map(tuple, catalog.document_search_circular(spark, str(tmp_path)).collect())) == circular
+    assert (4, 2, 300, 1) in linear and any(r[0] == 5 for r in circular) and not any(r[0] in (2, 3, 6) for r in linear)
