@@ -34,6 +34,26 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Bytes of text that a worker turns into Python objects at once; a longer text is taken alone.
+SLICE_BYTES = 4 << 20
+
+
+def sliced(batches, column: int, size: int = SLICE_BYTES):
+    """The batches in parts whose strings in `column` take at most `size` bytes, or of one row. Spark
+    itself bounds a batch by spark.sql.execution.arrow.maxBytesPerBatch."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one set up here if unset."""
     there = spark.conf.get("spark.checkpoint.dir", None)

@@ -2,23 +2,38 @@
 
 The model's protobuf is parsed here; normaliser, word marker, scores and byte fallback are rebuilt
 as a tokenizers pipeline: a unigram model from its scores, or a BPE whose merges are ranked by the
-scores of what they make. Batches are encoded by the library's threads.
+scores of what they make. Batches are encoded by a bounded number of the library's threads.
+
+Parity with the sentencepiece library is verified wherever ids are made. Under a BPE in which no
+merge crosses into the next word's marker or a line end (`Codec.separable`), a text's ids are those of
+its words, one after the other: distinct words are encoded, compared with sentencepiece once, and
+kept in a bounded cache; a difference raises. All other models encode, and compare, whole texts; unigram
+models sum scores in other precisions, so paths of nearly equal scores may differ, and then
+sentencepiece's ids stand.
+
+Texts become Python objects in slices of a few megabytes, so a worker's memory is bounded by the
+longest text, not by the batch.
 """
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
 import struct
+from array import array
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifspark.llm.common import small_batches, table
+from motifspark.llm.common import sliced, table
 
-#: Bytes of text that are encoded at once; a longer text is encoded alone.
-CHUNK = 1 << 20
+#: Threads of the library in each Python worker.
+THREADS = 2
+#: Words whose ids a worker keeps; the cache starts anew when full. Longer words are not kept.
+CACHED, CACHED_CHARS = 200_000, 64
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces, kinds of models.
 UNKNOWN, CONTROL, USER_DEFINED, BYTE = 2, 3, 4, 6
@@ -112,63 +127,155 @@ def build(model: Model):
     return out
 
 
-def _chunks(texts: list[str]):
-    chunk, size = [], 0
-    for text in texts:
-        if chunk and size + len(text) > CHUNK:
-            yield chunk
-            chunk, size = [], 0
-        chunk.append(text)
-        size += len(text)
-    if chunk:
-        yield chunk
+_PARTS = re.compile("\n[^ \n]*| +[^ \n]*")
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a text without their one leading marker, further spaces kept, and line feeds with the
+    word part behind them."""
+    text = text.replace(MARK, " ")
+    parts = text.replace("\n", " \n").split(" ")
+    if "" in parts or parts[0][:1] == "\n":
+        return [p if p[:1] == "\n" else p[1:] for p in _PARTS.findall(" " + text)]
+    return parts
+
+
+class Codec:
+    """Encodes and decodes texts; `data` is the model's protobuf."""
+
+    def __init__(self, data: bytes):
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        import sentencepiece
+
+        model = parse_model(data)
+        self.tokenizer = build(model)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
+        pieces = [p for p, _, _ in model.pieces]
+        plain = not model.charsmap and not model.squeeze_blanks and model.dummy_prefix
+        self.separable = model.kind == BPE and plain and model.byte_fallback and MARK in pieces and not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in pieces)
+        self.mark = pieces.index(MARK) if MARK in pieces else None
+        self.differing = 0
+        #: Ids of words as bytes of int32, and the words that decoding does not give back.
+        self.cache, self.lossy = {}, set()
+
+    def whole(self, texts: list[str]) -> list[list[int]]:
+        """Ids of whole texts; where the libraries differ, sentencepiece's."""
+        out = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        for i, other in enumerate(self.library.encode(texts, num_threads=1)):
+            if out[i] != other:
+                self.differing += 1
+                out[i] = other
+        return out
+
+    def _learn(self, words: list[str]) -> None:
+        # A word behind a line feed has no marker of its own; an empty one is a lone marker.
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        if found != self.library.encode(words, num_threads=1):
+            raise ValueError("the rebuilt model differs from sentencepiece")
+        decoded = self.tokenizer.decode_batch(found, skip_special_tokens=False)
+        for word, ids, text in zip(words, found, decoded):
+            self.cache[word] = array("i", ids[1:] if word[:1] == "\n" else ids or [self.mark]).tobytes()
+            if text != word:
+                self.lossy.add(word)
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
+        """Ids of each text as bytes of int32, and whether decoding them gives the text again."""
+        if not self.separable:
+            found = self.whole(texts)
+            back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
+            return [(array("i", ids).tobytes(), b == t) for ids, b, t in zip(found, back, texts)]
+        out, cache = [], self.cache
+        for text in texts:
+            parts = words_of(text) if text else []
+            if new := [w for w in set(parts) if w not in cache]:
+                if len(cache) + len(new) > CACHED:
+                    cache.clear()
+                    self.lossy.clear()
+                    new = list(set(parts))
+                self._learn(new)
+            ids = b"".join(map(cache.__getitem__, parts))
+            out.append((ids, self.lossy.isdisjoint(parts) and MARK not in text))
+            for w in new:
+                if len(w) > CACHED_CHARS:
+                    del cache[w]
+                    self.lossy.discard(w)
+        return out
+
+    def decode(self, rows: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(rows, skip_special_tokens=False)
+
+
+def _model(df: DataFrame, model_path: str):
+    """The model, broadcast: its size is that of one file and does not grow with the data."""
+    with open(model_path, "rb") as file:
+        return df.sparkSession.sparkContext.broadcast(file.read())
 
 
-def encode_texts(tokenizer, texts: list[str]) -> list[list[int]]:
-    return [e.ids for chunk in _chunks(texts) for e in tokenizer.encode_batch_fast(chunk, add_special_tokens=False)]
+def _with(df: DataFrame, target: str, kind: str):
+    if target in df.columns:
+        raise ValueError(f"the input has a column {target}")
+    return df.withColumn(target, F.expr(f"CAST(NULL AS {kind})")).schema
 
 
-def parity(tokenizer, model_path: str, texts: list[str]) -> list[str]:
-    """The texts that the reference library encodes to other ids."""
-    import sentencepiece
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", target: str = "ids") -> DataFrame:
+    """docs with the ids of each whole text, without begin and end. A null or empty text has no ids.
+    Rows, nulls and other columns stay; a clashing target column raises. No rows give no rows."""
+    import numpy as np
 
-    other = sentencepiece.SentencePieceProcessor(model_file=model_path)
-    return [t for t, ids in zip(texts, encode_texts(tokenizer, texts)) if other.encode(t) != ids]
+    shared, at, schema = _model(docs, model_path), docs.columns.index(text_col), _with(docs, target, "array<int>")
 
+    def run(batches):
+        codec = Codec(shared.value)
+        for batch in sliced(batches, at):
+            found = [np.frombuffer(ids, np.int32) for ids, _ in codec.encode([t or "" for t in batch.column(at).to_pylist()])]
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, target])
 
-def _mapped(df: DataFrame, model_path: str, source: str, target: str, kind: str, arrow: pa.DataType, work):
-    if target in df.columns:
-        raise ValueError(f"the input has a column {target}")
-    small_batches(df.sparkSession)
-    with open(model_path, "rb") as file:
-        shared = df.sparkSession.sparkContext.broadcast(parse_model(file.read()))
-    at = df.columns.index(source)
+    return docs.mapInArrow(run, schema)
 
-    def run(batches):
-        tokenizer = build(shared.value)
-        for batch in batches:
-            out = pa.array(work(tokenizer, batch.column(at).to_pylist()), arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, target])
 
-    return df.mapInArrow(run, df.withColumn(target, F.expr(f"CAST(NULL AS {kind})")).schema)
+def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", target: str = "decoded") -> DataFrame:
+    """rows with the text of ids; null ids give null. A clashing target column raises."""
+    shared, at, schema = _model(rows, model_path), rows.columns.index(ids_col), _with(rows, target, "string")
 
+    def run(batches):
+        codec = Codec(shared.value)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 100):
+                batch = whole.slice(start, 100)
+                ids = batch.column(at).to_pylist()
+                texts = iter(codec.decode([x for x in ids if x is not None]))
+                out = pa.array([None if x is None else next(texts) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, target])
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", target: str = "ids") -> DataFrame:
-    """docs with the ids of each whole text, without begin and end. A null or empty text has no ids.
-    Rows, nulls and other columns stay; a clashing target column raises. No rows give no rows."""
-    return _mapped(docs, model_path, text_col, target, "array<int>", pa.list_(pa.int32()), lambda t, texts: encode_texts(t, [x or "" for x in texts]))
+    return rows.mapInArrow(run, schema)
 
 
-def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", target: str = "decoded") -> DataFrame:
-    """rows with the text of ids; null ids give null."""
-    return _mapped(rows, model_path, ids_col, target, "string", pa.string(), lambda t, ids: [None if x is None else t.decode(x, skip_special_tokens=False) for x in ids])
+def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id, n_tokens, ids_sha256 (ids, comma-joined) and round_trip (decoding
+    gives the text again). Null texts count as empty; other columns are ignored, whatever their
+    names. Ids stay in the worker that makes them."""
+    import numpy as np
 
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    shared = _model(docs, model_path)
 
-def digest(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids, comma-joined) and round_trip (decoding gives the text again)."""
-    rows = decode(encode(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), model_path), model_path)
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+    def run(batches):
+        codec, texts = Codec(shared.value), {}
+        for batch in sliced(batches, 1):
+            n, digests, same = [], [], []
+            for text in batch.column(1).to_pylist():
+                (ids, back), = codec.encode([text or ""])
+                ids = np.frombuffer(ids, np.int32).tolist()
+                n.append(len(ids))
+                digests.append(hashlib.sha256(",".join([texts.get(i) or texts.setdefault(i, str(i)) for i in ids]).encode()).hexdigest())
+                same.append(back)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.bool_())], ["id", "n_tokens", "ids_sha256", "round_trip"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, round_trip boolean").withColumnRenamed("id", id_col)
 
 
 def op3_sentencepiece(spark, sf_dir):
