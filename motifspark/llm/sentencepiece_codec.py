@@ -33,7 +33,9 @@ from motifspark.llm.common import sliced, table
 #: Threads of the library in each Python worker.
 THREADS = 2
 #: Words whose ids a worker keeps; the cache starts anew when full. Longer words are not kept.
-CACHED, CACHED_CHARS = 200_000, 64
+CACHED, CACHED_CHARS = 400_000, 64
+#: Words that one of the library's threads encodes at once.
+CHUNK = 2000
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces, kinds of models.
 UNKNOWN, CONTROL, USER_DEFINED, BYTE = 2, 3, 4, 6
@@ -154,7 +156,12 @@ class Codec:
         pieces = [p for p, _, _ in model.pieces]
         plain = not model.charsmap and not model.squeeze_blanks and model.dummy_prefix
         self.separable = model.kind == BPE and plain and model.byte_fallback and MARK in pieces and not any(re.search(f"[^{MARK}]{MARK}|\n", p) for p in pieces)
-        self.mark = pieces.index(MARK) if MARK in pieces else None
+        if self.separable:
+            from tokenizers import normalizers
+
+            # Words come marked, so they need no normaliser and no splitting.
+            self.words = build(model)
+            self.words.normalizer, self.words.pre_tokenizer = normalizers.Sequence([]), None
         self.differing = 0
         #: Ids of words as bytes of int32, and the words that decoding does not give back.
         self.cache, self.lossy = {}, set()
@@ -169,15 +176,24 @@ class Codec:
         return out
 
     def _learn(self, words: list[str]) -> None:
-        # A word behind a line feed has no marker of its own; an empty one is a lone marker.
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        if found != self.library.encode(words, num_threads=1):
-            raise ValueError("the rebuilt model differs from sentencepiece")
-        decoded = self.tokenizer.decode_batch(found, skip_special_tokens=False)
-        for word, ids, text in zip(words, found, decoded):
-            self.cache[word] = array("i", ids[1:] if word[:1] == "\n" else ids or [self.mark]).tobytes()
-            if text != word:
-                self.lossy.add(word)
+        import numpy as np
+
+        # An empty word is a lone marker; a word behind a line feed has no marker of its own.
+        marked = [MARK + w.replace(" ", MARK) for w in words]
+        chunks = [marked[i : i + CHUNK] for i in range(0, len(marked), CHUNK)]
+        for i, e in enumerate(self.words.encode_batch(chunks, is_pretokenized=True, add_special_tokens=False)):
+            part, ids = words[i * CHUNK : (i + 1) * CHUNK], np.array(e.ids, np.int32)
+            ends = np.searchsorted(np.array(e.word_ids), np.arange(len(part)), "right").tolist()
+            starts = [0, *ends[:-1]]
+            flat = e.ids
+            lists = [flat[s:t] for s, t in zip(starts, ends)]
+            if [x if w else x[:0] for w, x in zip(part, lists)] != self.library.encode(part, num_threads=1):
+                raise ValueError("the rebuilt model differs from sentencepiece")
+            for word, text in zip(part, self.tokenizer.decode_batch(lists, skip_special_tokens=False)):
+                if text != word:
+                    self.lossy.add(word)
+            raw = ids.tobytes()
+            self.cache.update((w, raw[4 * (s + (w[:1] == "\n")) : 4 * t]) for w, s, t in zip(part, starts, ends))
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """Ids of each text as bytes of int32, and whether decoding them gives the text again."""
@@ -185,21 +201,18 @@ class Codec:
             found = self.whole(texts)
             back = self.tokenizer.decode_batch(found, skip_special_tokens=False)
             return [(array("i", ids).tobytes(), b == t) for ids, b, t in zip(found, back, texts)]
-        out, cache = [], self.cache
-        for text in texts:
-            parts = words_of(text) if text else []
-            if new := [w for w in set(parts) if w not in cache]:
-                if len(cache) + len(new) > CACHED:
-                    cache.clear()
-                    self.lossy.clear()
-                    new = list(set(parts))
-                self._learn(new)
-            ids = b"".join(map(cache.__getitem__, parts))
-            out.append((ids, self.lossy.isdisjoint(parts) and MARK not in text))
-            for w in new:
-                if len(w) > CACHED_CHARS:
-                    del cache[w]
-                    self.lossy.discard(w)
+        cache, parts = self.cache, [words_of(text) if text else [] for text in texts]
+        new = {w for p in parts for w in p if w not in cache}
+        if len(cache) + len(new) > CACHED:
+            cache.clear()
+            self.lossy.clear()
+            new = set().union(*parts)
+        self._learn(list(new))
+        out = [(b"".join(map(cache.__getitem__, p)), self.lossy.isdisjoint(p) and MARK not in t) for p, t in zip(parts, texts)]
+        for w in new if len(cache) <= CACHED else list(cache):
+            if len(w) > CACHED_CHARS or len(cache) > CACHED:
+                del cache[w]
+                self.lossy.discard(w)
         return out
 
     def decode(self, rows: list[list[int]]) -> list[str]:
@@ -266,8 +279,7 @@ def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         codec, texts = Codec(shared.value), {}
         for batch in sliced(batches, 1):
             n, digests, same = [], [], []
-            for text in batch.column(1).to_pylist():
-                (ids, back), = codec.encode([text or ""])
+            for ids, back in codec.encode([t or "" for t in batch.column(1).to_pylist()]):
                 ids = np.frombuffer(ids, np.int32).tolist()
                 n.append(len(ids))
                 digests.append(hashlib.sha256(",".join([texts.get(i) or texts.setdefault(i, str(i)) for i in ids]).encode()).hexdigest())
