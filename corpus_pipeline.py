@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from motifspark.llm.common import cut, table
 from motifspark.llm.decontamination import decontaminate
 from motifspark.llm.jaccard_join import jaccard_join
-from motifspark.llm.quality_rules import judge
-from motifspark.llm.secret_scans import redact, scan
+from motifspark.llm.quality_rules import kept_documents
+from motifspark.llm.secret_scans import redacted
 from motifspark.llm.sentencepiece_codec import digest
 
 #: Near duplicates share this percentage of their shingles of so many words; the limits of
@@ -21,7 +21,7 @@ NEAR_SHINGLE, NEAR_PERCENT = 5, 80
 
 def quality_rules(spark, docs, sf_dir):
     """Documents that the rules reject go."""
-    return judge(docs).where("kept").select(*docs.columns)
+    return kept_documents(docs)
 
 
 def near_duplicates(spark, docs, sf_dir):
@@ -42,7 +42,7 @@ def decontamination(spark, docs, sf_dir):
 
 def secret_scans(spark, docs, sf_dir):
     """Secrets are replaced by a mark."""
-    return scan(docs).withColumn("text", redact("text", "spans")).select(*docs.columns)
+    return redacted(docs)
 
 
 def encoding(spark, docs, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 
@@ -55,11 +56,17 @@ def sliced(batches, column: int, size: int = SLICE_BYTES):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one set up here if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local
+    session, whose executor is the driver, gets a temporary one; a cluster must name its own."""
     there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = spark.sparkContext.getCheckpointDir() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else None
-    return there or f"file://{tempfile.gettempdir()}/motifspark-checkpoints"
+    if there:
+        return there
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return context.getCheckpointDir()
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"file://{tempfile.gettempdir()}/motifspark-checkpoints"
 
 
 #: Spark's setting that removes an execution's shuffle files when it ends.
@@ -68,7 +75,8 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to a table in the shared folder and read it again: the lineage ends there, a lost
-    executor loses nothing, and what stands above is not computed twice."""
+    executor loses nothing, and what stands above is not computed twice. The table goes with discard(),
+    or else when the driver ends."""
     path = f"{shared_dir(df.sparkSession)}/motifspark/{uuid.uuid4().hex}"
     # What the write shuffled is not needed after it, so it need not fill the executors' disks.
     conf = df.sparkSession.conf
@@ -78,7 +86,40 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(CLEANUP, before) if before is not None else conf.unset(CLEANUP)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    files, there = _store(df.sparkSession, path)
+    files.deleteOnExit(there)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut = path
+    return out
+
+
+def _store(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def discard(*cuts: DataFrame) -> None:
+    """Delete tables that cut() wrote; nothing may read them any more."""
+    for df in cuts:
+        files, there = _store(df.sparkSession, df._cut)
+        files.delete(there, True)
+
+
+def packed(columns: list[str]):
+    """The columns as one struct `_own`, so that no name of theirs can clash with an operator's."""
+    return F.struct(*(F.col(f"`{c}`").alias(c) for c in columns) if columns else [F.lit(None).alias("_none")]).alias("_own")
+
+
+def unpacked(rows: DataFrame, columns: list[str], new: list[str]) -> DataFrame:
+    """The packed columns and the new ones; a new name that the columns have gets underscores behind it."""
+    taken, out = {c.lower() for c in columns}, [F.col("_own")[c].alias(c) for c in columns]
+    for name in new:
+        free = name
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        out.append(F.col(name).alias(free))
+    return rows.select(out)
 
 
 def sha256(text: str) -> str:

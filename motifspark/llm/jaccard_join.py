@@ -1,17 +1,22 @@
-"""N-gram Jaccard join (operator 4): exact, with pivots and triangle-inequality windows.
-
-Equal shingle sets form classes. Each class stands in one region for each shingle of its prefix, the
-shingles that come first in a fixed global order, rare ones first; two sets of the wanted similarity
-share a region. In a region every member is compared with a pivot, never all with all. Jaccard
-distance is a metric: members whose distances to the first pivot differ by more than the threshold
-cannot link. Regions in which unlinked parts remain are joined again with further pivots, each from a part of its own and against other parts in its window
-only, until none remains. The first pivots are those that differ least from other texts, as they link most. Before sets are compared, sketches bound what they can have
-in common.
-
-Plain Voronoi regions of global pivots are not used: almost all documents have distance 1 from any
-pivot, so each would be a boundary document of every region.
-
-Shingles count as equal if their 64-bit hashes are.
+"""N-gram Jaccard join (operator 4): exact, by Voronoi regions of pivots in the Jaccard metric.
+
+Nearly all documents are at distance 1 from any pivot, so what cannot link goes first: two sets of
+similarity s share at least s of either one's shingles, so a set with more shingles of its own than
+the rest allows links with nothing. Rounds over a growing part of the shingles find these sets.
+
+What is left is joined by regions. Linked sets share a shingle of their prefixes, so the sets of each
+such shingle are a region to begin with. Let t = 1 - s. Each region has pivots, and every set in it is
+measured to them. A set within t of pivots links with them, and the Voronoi region of the nearest one
+owns it. By the triangle inequality, a set that links with an owned one is within 2t of its pivot, and
+their distances to it differ by at most t: within these windows, boundary sets that are not connected
+yet are replicated into the pivot's region. That region is then joined in the same way, owned against
+boundary sets; the sets that no pivot owns stay in the old region for its next round, until no region
+has unconnected parts. Rounds take more and more pivots, so their number grows with the logarithm of
+a region's size.
+
+Prefixes take the rarest shingles first, by exact counts. Shingles count as equal if their 64-bit
+hashes are. Words of at most LONG_WORD bytes are hashed by a polynomial over their bytes, in which a
+whole slice of texts is hashed at once.
 """
 
 from __future__ import annotations
@@ -22,141 +27,190 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifspark.llm.common import LOWER, cut, lookup, small_batches, table
+from motifspark.llm.common import cut, discard, lookup, sliced, table
 
 SHINGLE, PERCENT = 4, 85
-#: Cells of the table of shingle counts, by which rare shingles come first.
-CELLS, CHUNK = 1 << 20, 1 << 12
-#: Words whose hashes a worker keeps, and set keys by which it leaves out repeats.
-CACHED, SEEN = 300_000, 300_000
-#: Pivots a region in each round: one is of the largest part, more are of the smallest parts of as many
-#: buckets; in the last round what is left is compared pair by pair within the windows.
-PIVOTS = (1, 1, 8, 64, 512, None)
+#: Bytes that are hashed at once, and the longest word hashed by the polynomial.
+CHUNK, LONG_WORD = 1 << 17, 1 << 16
+#: Set keys by which a worker leaves out repeats.
+SEEN = 300_000
+#: The first round takes this multiple of the share of shingles in which linked sets may differ.
+SAMPLE = 1.75
+#: Base, its inverse, and the factors of the mixing steps.
+BASE = 0x9DDFEA08EB382D69
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
+
+
+def _mixed(values):
+    import numpy as np
+
+    for factor, shift in zip(MIX, (29, 32)):
+        values = values * np.uint64(factor)
+        values ^= values >> np.uint64(shift)
+    return values
 
 
 class Shingler:
+    """Sorted distinct 64-bit hashes of the shingles of each text of a slice."""
+
     def __init__(self, size: int):
-        self.size, self.words = size, {}
+        import numpy as np
 
-    def hashes(self, text: bytes | None):
-        """Sorted distinct 64-bit hashes of the shingles of a text."""
+        self.size = size
+        count = CHUNK + LONG_WORD + 1
+        power = lambda base: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(count, base, np.uint64), dtype=np.uint64)])
+        self.up, self.down = power(BASE), power(pow(BASE, -1, 1 << 64))
+        self.blank, self.lower = np.zeros(256, bool), np.arange(256, dtype=np.uint64)
+        self.blank[[0x20, *range(0x09, 0x0E)]] = True
+        self.lower[0x41:0x5B] += 32
+
+    def words(self, data, ends):
+        """Hashes of the words of texts that stand one after the other in data and end at `ends`, and how
+        many words each text has."""
         import numpy as np
         import xxhash
 
-        words = text.translate(LOWER).split() if text else []
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.words
-        new = [w for w in set(words) if w not in known]
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = set(words)
-        for w in new:
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        values = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        width = min(self.size, len(words))
-        out = np.full(len(words) - width + 1, width, np.uint64)
-        for i in range(width):
-            out ^= values[i : i + len(out)]
-            out *= np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-            out *= np.uint64(0xBF58476D1CE4E5B9)
-            out ^= out >> np.uint64(32)
-        return np.unique(out)
-
-
-#: Words of 64 bits of a sketch: bit j is the parity of the number of shingles whose hash is j in its
-#: low bits. Bits that differ between two sketches are at most as many as shingles that only one set has.
-SKETCH = 8
-BITS = [f"s{j}" for j in range(SKETCH)]
-
-
-def _sketch(hashes):
-    import numpy as np
+        apart = self.blank[data]
+        starts = ~apart
+        starts[1:] &= apart[:-1]
+        firsts = np.concatenate([[0], ends[:-1]])
+        inside = firsts[firsts < len(data)]
+        starts[inside] = ~apart[inside]
+        starts = np.flatnonzero(starts)
+        # A word ends at a blank, at the next word's start or at the end.
+        blanks = np.flatnonzero(apart)
+        place = np.searchsorted(blanks, starts)
+        stops = np.where(place < len(blanks), blanks[np.minimum(place, len(blanks) - 1)] if len(blanks) else len(data), len(data))
+        stops = np.minimum(stops, np.append(starts[1:], len(data)))
+        out, at = np.empty(len(starts), np.uint64), 0
+        while at < len(starts):
+            low = starts[at]
+            to = max(at + 1, int(np.searchsorted(starts, low + CHUNK)))
+            if stops[to - 1] - starts[to - 1] > LONG_WORD:
+                to -= 1
+            if to == at:
+                word = bytes(data[low : stops[at]]).translate(_LOWER)
+                out[at], to = xxhash.xxh3_64_intdigest(word), at + 1
+            else:
+                high = stops[to - 1]
+                sums = np.zeros(high - low + 1, np.uint64)
+                np.cumsum(self.lower[data[low:high]] * self.up[: high - low], out=sums[1:])
+                s, e = starts[at:to] - low, stops[at:to] - low
+                out[at:to] = (sums[e] - sums[s]) * self.down[s] + (e - s).astype(np.uint64)
+            at = to
+        counts = np.searchsorted(starts, ends) - np.searchsorted(starts, firsts)
+        return _mixed(out), counts
+
+    def hashes(self, texts: pa.Array) -> list:
+        """One array for each text; null texts and texts without words have none."""
+        import numpy as np
 
-    odd = np.bincount((hashes & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+        texts = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        words, counts = self.words(data, offsets[1:] - offsets[0]) if len(data) else (np.empty(0, np.uint64), np.zeros(len(texts), np.int64))
+        grams = np.full(max(0, len(words) - self.size + 1), self.size, np.uint64)
+        for i in range(self.size):
+            grams = _mixed(grams ^ words[i : i + len(grams)])
+        out, start = [], 0
+        for n in counts.tolist():
+            if n >= self.size:
+                own = np.sort(grams[start : start + n - self.size + 1])
+                out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+            elif n:
+                whole = np.full(1, n, np.uint64)
+                for word in words[start : start + n]:
+                    whole = _mixed(whole ^ word)
+                out.append(whole)
+            else:
+                out.append(np.empty(0, np.uint64))
+            start += n
+        return out
+
+
+_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
 def _key(hashes) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-def _members(rows: DataFrame, size: int) -> DataFrame:
-    """(id, n, key) of each row; then, of each task, (chunk, counts): how many shingles of its distinct
-    sets, as far as SEEN goes, fall into each cell of a chunk."""
+def _lists(values):
     import numpy as np
 
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, n long, key binary, chunk int, counts binary"
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.uint64), *values]).view(np.int64)))
 
-    def run(batches):
-        shingler, total, seen, kind = Shingler(size), np.zeros(CELLS, np.int64), set(), pa.null()
 
-        def batch_of(ids, n, keys, chunks, counts):
-            return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(chunks, pa.int32()), pa.array(counts, pa.binary())], ["id", "n", "key", "chunk", "counts"])
+def _members(rows: DataFrame, size: int, share: float) -> DataFrame:
+    """(id, n, key, k, sample) of each row: k is the key's first half, sample the shingles whose hash is in
+    the lowest `share` of all; in a task, repeats have no sample as far as SEEN goes."""
+    import numpy as np
+
+    bound = np.uint64(min(2**64 - 1, int(share * 2**64)))
 
-        for batch in batches:
-            kind, n, keys = batch.column(0).type, [], []
-            for text in batch.column(1):
-                hashes = shingler.hashes(text.as_py())
+    def run(batches):
+        shingler, seen = Shingler(size), set()
+        for batch in sliced(batches, 1):
+            n, keys, halves, samples = [], [], [], []
+            for hashes in shingler.hashes(batch.column(1)):
+                key = _key(hashes) if len(hashes) else None
                 n.append(len(hashes))
-                keys.append(_key(hashes) if len(hashes) else None)
-                if len(hashes) and keys[-1] not in seen:
-                    if len(seen) < SEEN:
-                        seen.add(keys[-1])
-                    np.add.at(total, (hashes % CELLS).astype(np.int64), 1)
-            none = [None] * len(n)
-            yield batch_of(batch.column(0), n, keys, none, none)
-        parts = [(i, c.tobytes()) for i, c in enumerate(total.reshape(-1, CHUNK)) if c.any()]
-        if parts:
-            none = [None] * len(parts)
-            yield batch_of(pa.nulls(len(parts), kind), none, none, *zip(*parts))
+                keys.append(key)
+                halves.append(int.from_bytes(key[:8], "big", signed=True) if key else None)
+                samples.append(hashes[: 0 if key in seen else np.searchsorted(hashes, bound, "right")])
+                if key and len(seen) < SEEN:
+                    seen.add(key)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(halves, pa.int64()), _lists(samples)], ["id", "n", "key", "k", "sample"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n long, key binary, k long, sample array<long>")
 
 
-def _cells(counted: DataFrame):
-    """Shingles in each cell, summed over the tasks by chunk; CELLS counts reach the driver."""
-    import numpy as np
+#: log2 of the bits of the filter of wanted keys; what passes it by chance is left to an exact join.
+FILTER_BITS = 25
 
-    def run(batches):
-        sums = {}
-        for batch in batches:
-            for i, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums[i] = sums.get(i, 0) + np.frombuffer(counts, np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["chunk", "counts"])
-
-    out = np.zeros((CELLS // CHUNK, CHUNK), np.int64)
-    for row in counted.where("chunk IS NOT NULL").select("chunk", "counts").repartition("chunk").mapInArrow(run, "chunk int, counts binary").collect():
-        out[row["chunk"]] = np.frombuffer(row["counts"], np.int64)
-    return out.reshape(-1)
-
-
-def _sets(rows: DataFrame, size: int, pick, wanted=None) -> DataFrame:
-    """(key, n, hash array, sketch) of the sets, `pick` of each; repeats within a task are left out as far as
-    SEEN goes, and so are keys that the broadcast filter `wanted` rules out."""
+
+def _filter(wanted: DataFrame):
+    """Which places of the keys are taken, as bytes of bits; at most 2^FILTER_BITS / 64 rows reach the driver."""
     import numpy as np
 
+    place = f"shiftright(CAST(conv(hex(substring(key, 1, 4)), 16, 10) AS BIGINT), {32 - FILTER_BITS})"
+    found = wanted.select(F.expr(place).alias("h")).groupBy(F.expr("h DIV 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(h % 64 AS INT)))").alias("bits")).toArrow()
+    out = np.zeros((1 << FILTER_BITS) // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _sets(rows: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """(key, n, k, hashes) of the sets whose key is wanted, once each."""
+    bits = rows.sparkSession.sparkContext.broadcast(_filter(wanted))
+
     def run(batches):
-        shingler, seen, chosen = Shingler(size), set(), pick()
-        for batch in batches:
-            keys, sizes, values, sketches = [], [], [], []
-            for text in batch.column(1):
-                hashes = shingler.hashes(text.as_py())
-                if not len(hashes) or (key := _key(hashes)) in seen or wanted and not _passes(wanted.value, key):
+        shingler, seen = Shingler(size), set()
+        for batch in sliced(batches, 1):
+            keys, values = [], []
+            for hashes in shingler.hashes(batch.column(1)):
+                if not len(hashes) or (key := _key(hashes)) in seen:
                     continue
-                if len(seen) < SEEN:
-                    seen.add(key)
-                keys.append(key)
-                sizes.append(len(hashes))
-                values.append(chosen(hashes).view(np.int64))
-                sketches.append(_sketch(hashes))
-            offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
-            flat = np.concatenate(values) if values else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(sketches, pa.list_(pa.int64()))], ["key", "n", "hashes", "sketch"])
+                at = int.from_bytes(key[:4], "big") >> (32 - FILTER_BITS)
+                if bits.value[at >> 3] >> (at & 7) & 1:
+                    keys.append(key)
+                    values.append(hashes)
+                    if len(seen) < SEEN:
+                        seen.add(key)
+            halves = [int.from_bytes(k[:8], "big", signed=True) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([len(v) for v in values], pa.int64()), pa.array(halves, pa.int64()), _lists(values)], ["key", "n", "k", "hashes"])
+
+    found = rows.mapInArrow(run, "key binary, n long, k long, hashes array<long>")
+    return cut(found.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(*(F.first(c).alias(c) for c in ("n", "k", "hashes"))))
 
-    return rows.mapInArrow(run, "key binary, n long, hashes array<long>, sketch array<long>")
+
+def _possible(sets: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The sets of which enough shingles are not their own, with the number `u` of those that are: own has
+    (k, u). Where two keys share a k, both stay."""
+    alone = sets.groupBy("k").agg(F.count("*").alias("keys"))
+    rows = sets.join(alone, "k").join(own, "k", "left").withColumn("u", F.when(F.col("keys") == 1, F.coalesce("u", F.lit(0))).otherwise(0))
+    return rows.where(f"u <= n - (({percent} * n + 99) div 100)").drop("keys")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -170,70 +224,78 @@ def components(edges: DataFrame) -> DataFrame:
         hop = labels.select(F.col("key").alias("comp"), F.col("comp").alias("far"))
         new = cut(labels.join(near, "key").join(hop, "comp").select("key", F.col("comp").alias("old"), F.least("comp", "near", "far").alias("comp")))
         done = new.where("old <> comp").isEmpty()
-        labels = new.select("key", "comp")
+        discard(labels)
+        labels = new
         if done:
-            return labels
-
-
-def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) with the size of the union and of the intersection of their sets."""
-    total = pairs.count()
-    loads = pairs.groupBy(F.col("b").alias("key")).agg(F.count("*").alias("load"))
-    right = sets.join(loads, "key").select(F.col("key").alias("b"), F.col("hashes").alias("hb"), "load")
-    left = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha")), "a").select(*pairs.columns, "ha")
-    both = lookup(left, right, "b", "load", total).withColumn("same", F.size(F.array_intersect("ha", "hb")))
-    return both.select(*pairs.columns, "same", (F.size("ha") + F.size("hb") - F.col("same")).alias("all"))
-
-
-#: log2 of the bits of a filter of wanted keys or shingles.
-FILTER_BITS = 25
-#: The bits of a key and of a shingle.
-KEY_PLACE = f"shiftright(CAST(conv(hex(substring(key, 1, 4)), 16, 10) AS BIGINT), {32 - FILTER_BITS})"
-TOKEN_PLACE = f"shiftrightunsigned(token, {64 - FILTER_BITS})"
-
-
-def _filter(wanted: DataFrame, place: str):
-    """Which places are wanted, as bytes of bits; at most 2^FILTER_BITS / 64 rows reach the driver. What
-    passes it by chance is left to an exact join."""
-    import numpy as np
-
-    found = wanted.select(F.expr(place).alias("h")).groupBy(F.expr("h DIV 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(h % 64 AS INT)))").alias("bits")).toArrow()
-    out = np.zeros((1 << FILTER_BITS) // 64, np.int64)
-    out[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return out.view(np.uint8)
-
+            discard(both)
+            return labels.select("key", "comp")
 
-def _passes(bits, key: bytes) -> bool:
-    at = int.from_bytes(key[:4], "big") >> (32 - FILTER_BITS)
-    return bool(bits[at >> 3] >> (at & 7) & 1)
 
+def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps (key, comp) after the components `links` (key, comp) of components, which may be single keys."""
+    moved = links.select(F.col("key").alias("comp"), F.col("comp").alias("to"))
+    old = comps.join(moved, "comp", "left").select("key", F.coalesce("to", "comp").alias("comp"))
+    return cut(old.unionByName(links.join(comps, "key", "left_anti").select("key", "comp")))
 
-def _tokens(prefixes: DataFrame, wanted) -> DataFrame:
-    """(token, key, n, i, w, sketch words) of the prefixes' shingles that pass the broadcast filter `wanted`; i is the place
-    and w the share that does not pass: the less a text differs from others, the smaller."""
-    import numpy as np
-
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(2).combine_chunks() if isinstance(batch.column(2), pa.ChunkedArray) else batch.column(2)
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy()
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = flat.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            keep = np.flatnonzero(wanted.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
-            where = pa.array(row[keep])
-            words = batch.column(3).flatten().to_numpy().reshape(-1, SKETCH)
-            apart = 1 - np.bincount(row[keep], minlength=len(sizes)) / sizes
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), batch.column(0).take(where), batch.column(1).take(where), pa.array(place[keep].astype(np.int32)), pa.array(apart[row[keep]]), *(pa.array(words[row[keep], j]) for j in range(SKETCH))], ["token", "key", "n", "i", "w", *BITS])
 
-    return prefixes.select("key", "n", "hashes", "sketch").mapInArrow(run, "token long, key binary, n long, i int, w double, " + ", ".join(f"{b} long" for b in BITS))
+#: Pivots of a region in its first round, and how many times more there are in each further one.
+PIVOTS, MORE = 1, 4
 
 
-def _merged(labels: DataFrame, links: DataFrame, at: str) -> DataFrame:
-    """labels with the column `at` moved to the component that `links` (key, comp) name for it."""
-    moved = links.select(F.col("key").alias(at), F.col("comp").alias("_to"))
-    return labels.join(moved, at, "left").withColumn(at, F.coalesce("_to", at)).drop("_to")
+def _linked(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame | None:
+    """(key, comp) of the sets that link with others, by Voronoi regions; tokens (token, key, n, i, w) are
+    the shingles of the sets' prefixes. A row of a region is a set in it; `side` is 1 for what the
+    region's own pivot owns and 0 for its boundary, which are joined with each other, and null where
+    all are joined with all; d is the distance to that pivot."""
+    t, wide = 1 - percent / 100 + 1e-9, max(0, 2 * percent - 100)
+    linked = F.expr(f"100 * same >= {percent} * all")
+    # In the region of its first shared shingle, a pair has at most the rest of either set in common.
+    short = F.bool_or(F.expr(f"{100 + percent} * (n - i) >= {2 * percent} * n"))
+    sized = "100 * least(n, pn) >= {0} * greatest(n, pn)"
+    whole = sized.format(wide) + " AND side IS NULL"
+    ring = f"(side = 1 AND d >= pd - {t}D OR side = 0 AND d <= pd + {t}D)"
+    part = f"side <> pside AND comp <> pcomp AND {ring} AND {sized.format(percent)} AND {100 + percent} * least(n - i, pn - pi) >= {percent} * (n + pn)"
+    rows = tokens.select(F.col("token").alias("cell"), "key", "n", "i", "w", F.lit(None).cast("int").alias("side"), F.lit(None).cast("double").alias("d"))
+    comps, turn, count, tables = None, 0, PIVOTS, []
+    while True:
+        named = rows.withColumn("comp", F.col("key")) if comps is None else rows.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        cells = named.groupBy("cell").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), short.alias("short"), F.count("side").alias("sided"), F.min(F.expr("IF(side = 0, d, NULL)")).alias("near"), F.max(F.expr("IF(side = 1, d, NULL)")).alias("far"))
+        cells = cells.where(f"size > 1 AND c0 <> c1 AND short AND (sided = 0 OR far >= near - {t}D)").select("cell", "near", "far")
+        here = named.join(cells, "cell").where(f"side IS NULL OR side = 1 AND d >= near - {t}D OR side = 0 AND d <= far + {t}D").drop("near", "far")
+        here = cut(here)
+        if here.isEmpty():
+            discard(here, *tables)
+            return comps
+        # First the set that differs least from others; then more, in another order each round.
+        order = F.struct("w", "key") if turn == 0 else F.struct(F.xxhash64("key", F.lit(turn)), "key")
+        bucket = F.pmod(F.xxhash64("key", F.lit(-turn)), F.lit(count)).alias("bucket")
+        chosen = here.groupBy("cell", bucket).agg(F.min_by(F.struct("key", "n", "i", "side", "d", "comp"), order).alias("x"))
+        pivots = cut(chosen.select("cell", *(F.col(f"x.{c}").alias(f"p{c}") for c in ("key", "n", "i", "side", "d", "comp"))).withColumnRenamed("pkey", "p"))
+        met = here.join(pivots, "cell").where(f"key <> p AND ({whole} OR {part})").select("cell", "key", "p", "side", "comp", "pcomp")
+        met = cut(met)
+        # Each pair of sets is measured once, whatever regions it stands in.
+        left = met.select("key", "p").distinct().join(sets.select("key", F.col("hashes").alias("a")), "key")
+        both = left.join(sets.select(F.col("key").alias("p"), F.col("hashes").alias("b")), "p")
+        same = both.select("key", "p", F.size(F.array_intersect("a", "b")).alias("same"), (F.size("a") + F.size("b")).alias("sum"))
+        measured = cut(same.select("key", "p", "same", (F.col("sum") - F.col("same")).alias("all")).where(f"100 * same >= {wide} * all"))
+        found = cut(met.join(measured, ["key", "p"]).select("cell", "key", "p", "side", "comp", "pcomp", (1 - F.col("same") / F.col("all")).alias("e"), linked.alias("linked")))
+        edges = cut(found.where("linked AND comp <> pcomp").select(F.col("comp").alias("a"), F.col("pcomp").alias("b")).distinct())
+        if not edges.isEmpty():
+            links = components(edges)
+            comps = links if comps is None else _merged(comps, links)
+        # Regions of the next round: in a pivot's own region, what it owns against its boundary; in the old
+        # one what no pivot owns; in one that has sides, all but the pivots.
+        owned = found.where("linked AND side IS NULL").groupBy("cell", "key").agg(F.min(F.struct("e", "p")).alias("o")).select("cell", "key", "o.p", F.col("o.e").alias("e"))
+        inner = owned.withColumn("to", F.lit(1))
+        outer = found.where("NOT linked AND side IS NULL").select("cell", "key", "p", "e", F.lit(0).alias("to"))
+        facts = here.select("cell", "key", "n", "i", "w")
+        inside = inner.select("cell", "key", "p", "e", "to").unionByName(outer).join(facts, ["cell", "key"])
+        inside = inside.select(F.xxhash64("cell", "p").alias("cell"), "key", "n", "i", "w", F.col("to").alias("side"), F.col("e").alias("d"))
+        gone = owned.select("cell", "key").unionByName(pivots.select("cell", F.col("p").alias("key")))
+        rest = here.join(gone, ["cell", "key"], "left_anti").select(*rows.columns)
+        rows = cut(rest.unionByName(inside.select(*rows.columns)))
+        discard(here, pivots, met, measured, found, edges, *tables)
+        tables, turn, count = [rows], turn + 1, count * MORE
 
 
 def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,80 +305,28 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     where such rows repeat. Rows of equal sets are linked, whatever their ids; null ids count for a
     component's id only where it has no other. Other columns are ignored. An empty input gives no rows.
     """
-    import numpy as np
-
-    small_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    counted = cut(_members(rows, shingle))
-    members = counted.where("chunk IS NULL").select("id", "n", "key")
-    classes = members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    shared = context.broadcast(_cells(counted))
-
-    def prefix():
-        counts = shared.value
-
-        def pick(hashes):
-            n = len(hashes) - (percent * len(hashes) + 99) // 100 + 1
-            return hashes[np.lexsort((hashes, counts[(hashes % CELLS).astype(np.int64)]))[:n]]
-
-        return pick
-
-    prefixes = cut(_sets(rows, shingle, prefix).groupBy("key").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"), F.first("sketch").alias("sketch")))
-    # In the region of its first shared shingle, a pair has at most the rest of either set in common;
-    # so one of the two stands there with a place in the short prefix.
-    short = F.bool_or(F.expr(f"{100 + percent} * (n - i) >= {2 * percent} * n"))
-    common = prefixes.select("n", F.posexplode("hashes").alias("i", "token")).groupBy("token").agg(F.count("*").alias("size"), short.alias("short")).where("size > 1 AND short")
-    tokens = cut(_tokens(prefixes, context.broadcast(_filter(common, TOKEN_PLACE))))
-    regions = tokens.groupBy("token").agg(F.min(F.struct("w", "key", "n", "i", *BITS)).alias("p"), F.count("*").alias("size"), short.alias("short")).where("size > 1 AND short").drop("short")
-    regions = cut(lookup(tokens, regions, "token", "size", tokens.count()).where("p IS NOT NULL").select("token", "key", "n", "i", "w", *BITS, "p", "size"))
-    # Sets of too different sizes, or with too little left behind the shingle, cannot link there.
-    sized = f"100 * least({{0}}n, {{1}}n) >= {percent} * greatest({{0}}n, {{1}}n) AND {100 + percent} * least({{0}}n - {{0}}i, {{1}}n - {{1}}i) >= {percent} * ({{0}}n + {{1}}n)"
-    unlike = " + ".join(f"bit_count({{0}}{b} ^ {{1}}{b})" for b in BITS)
-    alike = f"{100 + percent} * ({unlike}) <= {100 - percent} * ({{0}}n + {{1}}n) AND {sized}"
-    pairs = cut(regions.where("key <> p.key AND " + alike.format("", "p.")).select(F.col("key").alias("a"), F.col("p.key").alias("b")).distinct())
-    # A region of two is settled by its pivot; larger ones may compare any of their members later.
-    involved = cut(regions.where("size > 2").select("key").union(pairs.select("a")).union(pairs.select("b")).distinct())
-    wanted = context.broadcast(_filter(involved, KEY_PLACE))
-    sets = _sets(rows, shingle, lambda: lambda h: h, wanted)
-    sets = cut(sets.join(involved, "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")))
-    linked = F.expr(f"100 * same >= {percent} * all")
-
-    measured = cut(_measured(pairs, sets))
-    comps = components(measured.where(linked).select("a", "b"))
-    # Distance of each member to its region's first pivot, where it was measured; that pivot is settled.
-    distances = measured.select(F.col("a").alias("key"), F.col("b").alias("pivot"), (1 - F.col("same") / F.col("all")).alias("d"))
-    regions = regions.select("token", "key", "n", "i", "w", *BITS, F.col("p.key").alias("pivot"), "size").where("key <> pivot AND size > 2").join(distances, ["key", "pivot"], "left").join(comps, "key", "left")
-    regions = cut(regions.select("token", "key", "n", "i", "w", "d", *BITS, F.coalesce("comp", "key").alias("comp")))
-    window = f"coalesce(abs(r.d - x.d) <= {1 - percent / 100 + 1e-9}D, true) AND " + alike.format("r.", "x.")
-    for turn, count in enumerate(PIVOTS):
-        parts = regions.groupBy("token", "comp").agg(F.count("*").alias("members"), F.min(F.struct("w", "key", "n", "i", "d", "comp", *BITS)).alias("x"))
-        parts = cut(parts.join(parts.groupBy("token").count().where("count > 1"), "token", "left_semi"))
-        if parts.isEmpty():
-            break
-        regions = cut(regions.join(parts.select("token").distinct(), "token", "left_semi"))
-        last = count is None
-        if last:
-            pivots = regions.select("token", F.struct("w", "key", "n", "i", "d", "comp", *BITS).alias("x"))
-        elif count == 1:
-            pivots = cut(parts.groupBy("token").agg(F.max_by("x", F.struct("members", "comp")).alias("x")))
-        else:
-            bucket = F.pmod(F.xxhash64("comp", F.lit(turn)), F.lit(count))
-            pivots = cut(parts.groupBy("token", bucket.alias("bucket")).agg(F.min_by("x", F.struct("members", "comp")).alias("x")).select("token", "x"))
-        met = regions.alias("r").join(pivots, "token").where(F.expr(f"r.comp <> x.comp AND {window}" + " AND r.key < x.key" * last))
-        new = cut(met.select(F.col("r.key").alias("a"), F.col("x.key").alias("b"), F.least("r.comp", "x.comp").alias("ca"), F.greatest("r.comp", "x.comp").alias("cb")).distinct())
-        if not last:
-            regions = regions.join(pivots.select("token", F.col("x.key").alias("key")), ["token", "key"], "left_anti")
-        links = cut(_measured(new, sets).where(linked).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        if not links.isEmpty():
-            # Parts that were single texts so far get their labels here too.
-            links = components(links)
-            single = links.join(comps, "key", "left_anti").select("key", "comp")
-            comps = cut(_merged(comps, links, "comp").unionByName(single))
-            regions = _merged(regions, links, "comp")
-    named = classes.join(comps, "key", "left").select("key", "first", "copies", F.coalesce("comp", "key").alias("comp"))
+    members = cut(_members(rows, shingle, min(1.0, SAMPLE * (1 - percent / 100))))
+    classes = cut(members.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("k").alias("k")))
+    # Shingles of the sample that stand in one set only, counted by set; common ones meet pre-aggregated.
+    found = members.where("size(sample) > 0").select("k", F.explode("sample").alias("token"))
+    single = found.groupBy("token").agg(F.min("k").alias("k"), F.max("k").alias("other")).where("k = other").groupBy("k").agg(F.count("*").alias("u"))
+    wanted = cut(_possible(classes.select("key", "n", "k"), single, percent).select("key"))
+    sets = _sets(rows, shingle, wanted)
+    # All shingles of what is left.
+    counts = cut(sets.select("k", F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("df"), F.min("k").alias("k")))
+    kept = cut(_possible(sets, counts.where("df = 1").groupBy("k").agg(F.count("*").alias("u")), percent))
+    shared = kept.select("key", "n", "u", F.explode("hashes").alias("token")).join(counts.where("df > 1").select("token", "df"), "token")
+    # A set's own shingles come first, as they are the rarest, but meet nothing.
+    ordered = shared.groupBy("key", "n", "u").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
+    ordered = ordered.withColumn("s", F.expr(f"slice(s, 1, CAST(greatest(0L, n - (({percent} * n + 99) div 100) + 1 - u) AS INT))"))
+    tokens = cut(ordered.select("key", "n", F.posexplode("s").alias("at", "s"), "u").select("s.token", "key", "n", (F.col("u") + F.col("at")).alias("i"), (F.col("u") / F.col("n")).alias("w")))
+    comps = _linked(kept, tokens, percent)
+    discard(wanted, sets, counts, kept, tokens)
+    named = classes.select("key", "first", "copies", F.col("key").alias("comp")) if comps is None else classes.join(comps, "key", "left").select("key", "first", "copies", F.coalesce("comp", "key").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"), F.count("*").alias("keys"))
     ids = lookup(named, least, "comp", "keys", classes.count()).select("key", "copies", "component_id")
+    members = members.select("id", "n", "key")
     out = lookup(members, ids, "key", "copies", members.count())
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 

@@ -4,7 +4,9 @@ Template words are ordered by how many rows of the corpus hold them, rarest firs
 candidate of a template only through the template's prefix; length and positional filters go before
 the exact count. Blocks are the lines of a text and, as notices are wrapped over lines, all windows
 of 1/threshold times as many consecutive words as the template has, wherever lines end. Every block
-that holds at least `threshold` of a template's words is found. Broadcast are the templates alone, which are given with the query and do not grow.
+that holds at least `threshold` of a template's words, and each of those that name the licence, is
+found: a notice of another licence in the same words is none. Broadcast are the templates alone, which
+are given with the query and do not grow.
 """
 
 from __future__ import annotations
@@ -16,23 +18,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifspark.llm.common import ALNUM, small_batches, table
+from motifspark.llm.common import ALNUM, sliced, table
 
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Labels and wordings of the templates.
+#: Public wordings of licence notices: label, words of which a block must hold each, text. Fixed values.
 TEMPLATES = [
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("apache-2.0", "apache 2", "Licensed under the Apache License, Version 2.0"),
+    (
+        "apache-2.0",
+        "apache 2",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    ("mit", "mit license", "Released under the MIT License"),
+    ("mit", "mit license", "Licensed under the MIT License"),
+    ("mit", "granted charge copy", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    (
+        "mit",
+        "granted charge sublicense",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without "
+        "restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the "
+        "Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF "
+        "OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    ("bsd", "redistribution binary", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "bsd",
+        "redistribution redistributions binary",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the "
+        "above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    ("bsd", "bsd license", "Licensed under the BSD License"),
+    ("isc", "granted fee", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "freely misrepresented", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented"),
+    ("gpl", "gnu general public", "This work is licensed under the GNU General Public License, version 3"),
+    (
+        "gpl",
+        "gnu general public",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A "
+        "PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    ("lgpl", "gnu lesser public", "Licensed under the GNU Lesser General Public License"),
+    ("agpl", "gnu affero public", "Licensed under the GNU Affero General Public License"),
+    ("mpl-2.0", "mozilla public", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    (
+        "mpl-2.0",
+        "mozilla public mpl",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    ("cc-by", "creative commons attribution", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa", "cc by sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nc", "cc by nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-nd", "cc by nd", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa", "cc by nc sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc0", "cc0 public domain", "To the extent possible under law, the author has dedicated all copyright to the public domain worldwide under CC0 1.0"),
+    ("unlicense", "unencumbered public domain", "This is free and unencumbered software released into the public domain"),
 ]
 THRESHOLD = Fraction(4, 5)
 
@@ -43,36 +90,39 @@ def words_of(text: bytes) -> list[bytes]:
 
 class Matcher:
     def __init__(self, templates, counts: dict[bytes, int], threshold: Fraction = THRESHOLD):
-        sets = [(label, frozenset(words_of(t.encode()))) for label, t in templates]
-        sets = [(label, s) for label, s in sets if s]
-        self.rank = {w: i for i, w in enumerate(sorted(set().union(*(s for _, s in sets)), key=lambda w: (counts.get(w, 0), w)))}
+        sets = [(label, frozenset(words_of(must.encode())), frozenset(words_of(t.encode()))) for label, must, t in templates]
+        for label, must, words in sets:
+            if not must <= words:
+                raise ValueError(f"a template of {label} lacks words that it asks for")
+        sets = [s for s in sets if s[2]]
+        self.rank = {w: i for i, w in enumerate(sorted(set().union(*(s for _, _, s in sets)), key=lambda w: (counts.get(w, 0), w)))}
         self.sets, self.prefix = [], {}
-        for label, words in sets:
+        for label, must, words in sets:
             need = -(-len(words) * threshold.numerator // threshold.denominator)
             ordered = sorted(words, key=self.rank.__getitem__)
             for place, word in enumerate(ordered[: len(words) - need + 1]):
                 self.prefix.setdefault(word, []).append((len(self.sets), place))
-            self.sets.append((label, words, need))
-        self.spans = [-(-len(w) * threshold.denominator // threshold.numerator) for w in (words_of(t.encode()) for _, t in templates) if w]
+            self.sets.append((label, words, need, must))
+        self.spans = [-(-len(w) * threshold.denominator // threshold.numerator) for w in (words_of(t.encode()) for _, _, t in templates) if w]
 
     def candidates(self, block) -> dict[int, int]:
         """Numbers of the templates that the block holds to the threshold, with how many words it holds."""
         known = sorted(self.rank.keys() & set(block), key=self.rank.__getitem__)
-        out, seen = {}, set()
+        held, out, seen = set(known), {}, set()
         for at, word in enumerate(known):
             for number, place in self.prefix.get(word, ()):
-                label, words, need = self.sets[number]
-                if number in seen or len(known) < need:
+                _, words, need, must = self.sets[number]
+                if number in seen or len(known) < need or not must <= held:
                     continue
                 seen.add(number)  # its first shared word: what is left on either side bounds the rest
-                if min(len(words) - place, len(known) - at) >= need and (shared := len(words.intersection(known))) >= need:
+                if min(len(words) - place, len(known) - at) >= need and (shared := len(words & held)) >= need:
                     out[number] = shared
         return out
 
     def _shares(self, held: dict[int, int]) -> dict[str, float]:
         out = {}
         for number, shared in held.items():
-            label, words, _ = self.sets[number]
+            label, words, *_ = self.sets[number]
             out[label] = max(out.get(label, 0.0), shared / len(words))
         return out
 
@@ -85,7 +135,7 @@ class Matcher:
         largest share held. A text that does not hold enough words anywhere has no such window."""
         held = {}
         for number in self.candidates(text):
-            _, words, need = self.sets[number]
+            _, words, need, must = self.sets[number]
             span, inside, best = self.spans[number], Counter(), 0
             places = [i for i, word in enumerate(text) if word in words]
             first = 0
@@ -97,7 +147,8 @@ class Matcher:
                     if not inside[gone]:
                         del inside[gone]
                     first += 1
-                best = max(best, len(inside))
+                if len(inside) > best and must <= inside.keys():
+                    best = len(inside)
             if best >= need:
                 held[number] = best
         return self._shares(held)
@@ -119,7 +170,7 @@ def word_counts(texts: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
     def count(batches):
         seen = Counter()
         for batch in batches:
-            for text in batch.column(0):
+            for text in batch.column(0):  # one text at a time
                 seen.update(vocabulary & set(words_of(text.as_py() or b"")))
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
@@ -131,11 +182,11 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
 
     score is 1 with a base phrase, else the largest share of a template found, else 0. A null or
     empty text has no words, no labels and score 0. Null ids and repeated rows are kept; other
-    columns are ignored. An empty input gives no rows.
+    columns are ignored. An empty input gives no rows. Templates are (label, words that a block must
+    hold, text).
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    vocabulary = {w for _, t in templates for w in words_of(t.encode())}
+    vocabulary = {w for *_, t in templates for w in words_of(t.encode())}
     matcher = Matcher(templates, word_counts(rows.select("text"), vocabulary), threshold)
     wanted = [(words_of(p.encode()), label) for p, label in phrases.items()]
 
@@ -157,7 +208,7 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
     kinds = [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64())]
 
     def scans(batches):
-        for batch in batches:
+        for batch in sliced(batches, 1):
             if batch.num_rows:
                 found = zip(*(scan(t.as_py() or b"") for t in batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, (_, t) in zip(found, kinds))], ["id", *(n for n, _ in kinds)])

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifspark.llm.common import cut, table
+from motifspark.llm.common import cut, packed, table, unpacked
 
 _BLANK = r"[\\x20\\x09-\\x0D]"
 _WINDOW = 8
@@ -95,16 +95,14 @@ def log_odds_good(votes, accuracies) -> float:
     return sum((-1 if vote else 1) * math.log(a / (1 - a)) for vote, a in zip(votes, accuracies) if vote is not None)
 
 
-def judge(docs: DataFrame, rules: dict[str, str] = RULES, least: float = LEAST_POSTERIOR, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of docs (all by default) with the statistics, base_failed, posterior and kept.
+STATISTICS = ["n_words", "word_chars", "n_symbols", "n_upper", "n_marks", "n_lines", "n_dup_lines", "n_repeat_words"]
 
-    A null or empty text has no words and fails. Repeated rows and null ids are kept as they are.
-    Columns of `keep` that clash with the new ones must be renamed by the caller. An empty input
-    gives no rows.
-    """
-    keep = docs.columns if keep is None else keep
-    rows = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    rows = rows.select(*keep, *(c.alias(n) for n, c in measure().items()))
+
+def judged(docs: DataFrame, rules: dict[str, str] = RULES, least: float = LEAST_POSTERIOR, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of docs (all by default) as the struct `_own`, STATISTICS, base_failed,
+    posterior and kept."""
+    rows = docs.select(packed(docs.columns if keep is None else keep), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = rows.select("_own", *(c.alias(n) for n, c in measure().items()))
     rows = rows.withColumns({"n_lines": F.expr("CAST(_lines[0] AS LONG)"), "n_dup_lines": F.expr("CAST(_lines[1] AS LONG)")}).drop("_lines")
     rows = cut(rows)
     votes = F.array(*(F.expr(v) for v in rules.values()))
@@ -117,6 +115,22 @@ def judge(docs: DataFrame, rules: dict[str, str] = RULES, least: float = LEAST_P
     return rows.withColumns({"base_failed": failed, "posterior": F.round(1 / (1 + F.exp(-log_odds)), 6)}).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least))
 
 
+def judge(docs: DataFrame, rules: dict[str, str] = RULES, least: float = LEAST_POSTERIOR, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of docs (all by default) with STATISTICS, base_failed, posterior and kept.
+
+    A null or empty text has no words and fails. Repeated rows and null ids are kept as they are. A
+    new column whose name `keep` has already gets an underscore behind it. An empty input gives no
+    rows.
+    """
+    columns = docs.columns if keep is None else keep
+    return unpacked(judged(docs, rules, least, text_col, columns), columns, [*STATISTICS, "base_failed", "posterior", "kept"])
+
+
+def kept_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the rules keep, with their own columns, whatever their names."""
+    return unpacked(judged(docs, **options).where("kept"), docs.columns, [])
+
+
 def op5_quality_rules(spark, sf_dir):
     judged = judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
