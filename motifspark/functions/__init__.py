@@ -1 +1 @@
-"""See the package README."""
+"""Table functions for SQL."""

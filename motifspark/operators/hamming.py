@@ -1,20 +1,35 @@
-"""Linear k-mismatch search by scanning every window of a text."""
+"""Mismatch expressions of two equally long strings, and arrays of mismatches."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_MISMATCHES = "aggregate(sequence(1, length({x})), 0, (n, i) -> n + if(substring({x}, i, 1) <> substring({w}, i, 1), 1, 0))"
 
+def mismatch_positions(x: str, w: str) -> Column:
+    """array<int> of the places, from 0, at which w differs from x; null if either is null."""
+    return F.expr(f"CASE WHEN length({x}) = 0 THEN CAST(array() AS array<int>) ELSE filter(transform(sequence(1, length({x})), i -> if(substring({x}, i, 1) <> substring({w}, i, 1), i - 1, NULL)), i -> i IS NOT NULL) END")
 
-def kmismatch_scan(texts: DataFrame, patterns: DataFrame, k: int) -> DataFrame:
-    """Rows (text_id, pattern_id, pos, distance) for every start at which a pattern occurs with at
-    most k mismatches. Null or empty texts and patterns, and patterns longer than the text, give no
-    rows. Characters are code points; positions start at 0."""
+
+def hamming(x: str, w: str) -> Column:
+    """Number of places at which the strings differ."""
+    return F.size(mismatch_positions(x, w))
+
+
+def k_extension(windows: DataFrame, k: int, x: str = "x", w: str = "w") -> DataFrame:
+    """windows with `extension`: element q is the length of the longest prefix of w that agrees with x in
+    all but q places, for q from 0 to k. Windows are as long as x; null strings give null."""
     if k < 0:
         raise ValueError("k must not be negative")
-    pairs = texts.select("text_id", "text").join(patterns.select("pattern_id", "pattern"), F.expr("length(pattern) > 0 AND length(text) >= length(pattern)"))
-    windows = pairs.select("text_id", "pattern_id", "pattern", F.expr("explode(transform(sequence(0, length(text) - length(pattern)), p -> struct(p AS pos, substring(text, p + 1, length(pattern)) AS w))) AS o"))
-    found = windows.select("text_id", "pattern_id", F.col("o.pos").cast("long").alias("pos"), F.expr(_MISMATCHES.format(x="pattern", w="o.w")).cast("int").alias("distance"))
-    return found.where(F.col("distance") <= k)
+    places = windows.withColumn("_places", mismatch_positions(x, w))
+    return places.withColumn("extension", F.expr(f"CASE WHEN _places IS NOT NULL THEN transform(sequence(0, {k}), q -> coalesce(get(_places, q), length({x}))) END")).drop("_places")
+
+
+def sliding_mismatches(windows: DataFrame, x: str = "x", w: str = "w") -> DataFrame:
+    """windows with `distances`: element r is the distance of rotation r of x to the stretch of w that
+    starts at r, where w is as long as x doubled without its last character. One running sum over the
+    doubled pattern gives all: each next window adds a place and drops one. Null strings give null."""
+    doubled = f"concat({x}, substring({x}, 1, length({x}) - 1))"
+    rows = windows.withColumn("_x", F.expr(doubled)).withColumn("_places", mismatch_positions("_x", w))
+    count = f"transform(sequence(0, length({x}) - 1), r -> size(filter(_places, p -> p >= r AND p < r + length({x}))))"
+    return rows.withColumn("distances", F.expr(f"CASE WHEN length({x}) > 0 AND _places IS NOT NULL THEN {count} END")).drop("_x", "_places")

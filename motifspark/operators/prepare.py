@@ -24,11 +24,33 @@ def equal_fragments(pieces: DataFrame) -> DataFrame:
     return pieces.join(least, ["pattern_id", "fragment"]).select("pattern_id", "frag_id", "first_equal")
 
 
+def fragment_counts(pieces: DataFrame) -> DataFrame:
+    """(pattern_id, fragments, distinct_fragments) of fragments' rows."""
+    return pieces.groupBy("pattern_id").agg(F.count("*").alias("fragments"), F.countDistinct("fragment").alias("distinct_fragments"))
+
+
+def fragment_groups(pieces: DataFrame) -> DataFrame:
+    """(fragment, members, places) of the equal, non-empty fragments of all patterns: places holds each
+    fragment's (pattern_id, frag_id, off), ascending, so a scan has to look for each fragment once."""
+    rows = pieces.where("length(fragment) > 0").groupBy("fragment")
+    return rows.agg(F.count("*").alias("members"), F.sort_array(F.collect_list(F.struct("pattern_id", "frag_id", "off"))).alias("places"))
+
+
 def doubled(pattern: str) -> str:
     """SQL of a pattern followed by all of itself but its last character: it holds each rotation once."""
     return f"concat({pattern}, substring({pattern}, 1, length({pattern}) - 1))"
 
 
+def doubled_patterns(patterns: DataFrame) -> DataFrame:
+    """(pattern_id, doubled); null or empty patterns give no rows."""
+    return patterns.where("length(pattern) > 0").select("pattern_id", F.expr(doubled("pattern")).alias("doubled"))
+
+
+def reversed_texts(texts: DataFrame) -> DataFrame:
+    """(text_id, reversed) by code points; null stays null."""
+    return texts.select("text_id", F.reverse("text").alias("reversed"))
+
+
 def rotations(patterns: DataFrame) -> DataFrame:
     """(pattern_id, rotation, rotated) of every rotation."""
     rows = patterns.where("length(pattern) > 0").select("pattern_id", "pattern", F.expr("explode(sequence(0, length(pattern) - 1))").alias("rotation"))
@@ -53,3 +75,17 @@ def pattern_status(patterns: DataFrame, longest: int | None = None) -> DataFrame
     if longest is not None:
         status = status.when(F.length("pattern") > longest, "long")
     return rows.select("pattern_id", status.when(F.col("pattern_id") > F.col("first"), "duplicate").otherwise("ok").alias("status"))
+
+
+def accepted_patterns(patterns: DataFrame, longest: int | None = None) -> DataFrame:
+    """The patterns (pattern_id, pattern) whose status is ok: each text once, under its smallest id."""
+    rows = patterns.where("length(pattern) > 0" + ("" if longest is None else f" AND length(pattern) <= {longest}"))
+    return rows.groupBy("pattern").agg(F.min("pattern_id").alias("pattern_id")).select("pattern_id", "pattern")
+
+
+def trie_edges(patterns: DataFrame) -> DataFrame:
+    """(parent, symbol, child, patterns, ends) of the trie of all patterns: nodes are named by their
+    prefix, patterns counts those that pass the edge and ends those that end at the child."""
+    rows = patterns.where("length(pattern) > 0").select("pattern", F.expr("explode(sequence(1, length(pattern)))").alias("depth"))
+    edge = rows.select(F.expr("substring(pattern, 1, depth - 1)").alias("parent"), F.expr("substring(pattern, depth, 1)").alias("symbol"), F.expr("substring(pattern, 1, depth)").alias("child"), (F.col("depth") == F.length("pattern")).alias("last"))
+    return edge.groupBy("parent", "symbol", "child").agg(F.count("*").alias("patterns"), F.count_if("last").alias("ends"))

@@ -1,113 +1,227 @@
-"""Linear and circular k-mismatch search by seeds, over blocks; exact multi-pattern scan.
+"""Linear and circular k-mismatch search, by seeds or by scanning; exact multi-pattern scan.
 
-A pattern within k mismatches keeps one of k+1 disjoint pieces; of a doubled pattern, one of the
-pieces that start at each multiple of (m+1) div (k+2). Seeds are the first characters of these
-pieces, equally long for all patterns, so one equi-join with the texts' grams finds all candidates.
+A pattern within k mismatches keeps one of k+1 disjoint pieces whole; a rotation keeps one of the
+pieces of the doubled pattern that start at each multiple of (m+1) div (k+2). A seed is the first
+2^j characters of such a piece, so patterns of all lengths share a few seed lengths.
+
+The patterns are the small side: groups of them of a checked size are broadcast as sorted seed hashes,
+and each group is one pass over the texts, which stay where they are read: a narrow map without any
+shuffle. In a task, texts stand one after the other in an array of code points; a block of starts at a
+time is hashed at once, hits give diagonals of pattern against text, and each different diagonal is
+compared once. A start belongs to one block, so the rows are distinct as they are made.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifspark.operators.prepare import blocks, doubled
+#: Characters of the patterns that are broadcast at once; beyond it texts are read once a group.
+PATTERN_CHARS = 8_000_000
+#: Starts that a task looks at together, and cells of a comparison.
+BLOCK, CELLS = 1 << 18, 1 << 21
+#: Bytes of the texts that a task joins; a longer text stands alone.
+SLICE_BYTES = 1 << 22
+#: Base of the rolling hash, odd and so invertible.
+_BASE = 0x9DDFEA08EB382D69
 
-#: Up to this many seeds are broadcast; more are joined by a shuffle.
-BROADCAST_SEEDS = 200_000
-BLOCK = 512
-
-_DISTANCE = "aggregate(sequence(1, length({x})), 0, (n, i) -> n + if(substring({x}, i, 1) <> substring({w}, i, 1), 1, 0))"
 
+def codes(text: str):
+    import numpy as np
 
-def _bounded(small: DataFrame) -> DataFrame:
-    return F.broadcast(small) if small.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS else small
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class Hasher:
+    """Hashes of all windows of a size in an array of code points: equal windows, equal hashes."""
+
+    def __init__(self, longest: int):
+        import numpy as np
+
+        power = lambda base: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(longest, base, np.uint64), dtype=np.uint64)])
+        self.up, self.down = power(_BASE), power(pow(_BASE, -1, 1 << 64))
+
+    def sums(self, points):
+        import numpy as np
+
+        out = np.zeros(len(points) + 1, np.uint64)
+        np.cumsum((points.astype(np.uint64) + np.uint64(1)) * self.up[: len(points)], out=out[1:])
+        return out
+
+    def windows(self, sums, size: int):
+        import numpy as np
+
+        found = (sums[size:] - sums[:-size]) * self.down[: len(sums) - size]
+        found ^= found >> np.uint64(31)
+        return found * np.uint64(_BASE)
+
+
+class Patterns:
+    """Patterns with their seeds, made on the driver and broadcast."""
+
+    def __init__(self, texts: list[str], k: int, circular: bool, scan: bool):
+        import numpy as np
+
+        self.k, self.sizes, self.points, self.scanned = k, [len(t) for t in texts], [], []
+        self.longest = max(self.sizes, default=1)
+        hasher, rows = Hasher(2 * self.longest), defaultdict(list)
+        for number, text in enumerate(texts):
+            m, own = len(text), codes(text)
+            own = np.concatenate([own, own[:-1]]) if circular else own
+            self.points.append(own)
+            step = (m + 1) // (k + 2) if circular else m // (k + 1)
+            if scan or m <= k or step < 1:
+                self.scanned.append(number)
+                continue
+            size = 1 << (step.bit_length() - 1)
+            hashes = hasher.windows(hasher.sums(own), size)
+            rows[size] += [(hashes[off], number, off) for off in range(0, (2 * m - 1 - step if circular else k * step) + 1, step)]
+        self.seeds = {}
+        for size, found in rows.items():
+            keys = np.array([h for h, *_ in found], np.uint64)
+            order = np.argsort(keys, kind="stable")
+            known = np.zeros(1 << 16, bool)
+            known[keys >> np.uint64(48)] = True
+            self.seeds[size] = known, keys[order], np.array([n for _, n, _ in found], np.int64)[order], np.array([o for *_, o in found], np.int64)[order]
+
+    def search(self, points, ends, block: int, circular: bool):
+        """(pattern, start, distance, rotation) arrays of every match, starts counted over all texts; `ends`
+        are the places where the texts that points holds end."""
+        import numpy as np
+
+        hasher = Hasher(block + 3 * self.longest)
+        reach = self.longest - 1 if circular else 0
+        for low in range(0, len(points), block):
+            high, first = low + block, max(0, low - reach)
+            sums = hasher.sums(points[first : high + self.longest - 1 + reach]) if self.seeds else None
+            diagonals = []
+            for size, (known, keys, numbers, offs) in self.seeds.items():
+                if len(sums) <= size:
+                    continue
+                hashes = hasher.windows(sums, size)
+                places = np.flatnonzero(known[hashes >> np.uint64(48)])
+                left = np.searchsorted(keys, hashes[places], "left")
+                count = np.searchsorted(keys, hashes[places], "right") - left
+                which = np.arange(count.sum()) + np.repeat(left - np.cumsum(count) + count, count)
+                if not len(which):
+                    continue
+                diagonals.append(np.stack([numbers[which], np.repeat(places + first, count) - offs[which]]))
+            found = []
+            if diagonals:
+                number, at = np.unique(np.concatenate(diagonals, axis=1), axis=1)
+                bounds = np.searchsorted(number, np.unique(number)).tolist() + [len(number)]
+                found += [self._compared(int(number[a]), at[a:b], points, ends, low, high) for a, b in zip(bounds, bounds[1:])]
+            for n in self.scanned:
+                every = np.arange(low - (self.sizes[n] - 1 if circular else 0), min(high, len(points)))
+                found += [self._compared(n, every, points, ends, low, high)]
+            if found := [f for f in found if f.shape[1]]:
+                number, start, distance, rotation = np.concatenate(found, axis=1)
+                order = np.lexsort((rotation, distance, start, number))
+                number, start, distance, rotation = number[order], start[order], distance[order], rotation[order]
+                best = np.append(True, (number[1:] != number[:-1]) | (start[1:] != start[:-1]))
+                yield number[best], start[best], distance[best], rotation[best]
+
+    def _compared(self, number, at, points, ends, low, high):
+        import numpy as np
+
+        own, m, out = self.points[number], self.sizes[number], []
+        for i in range(0, len(at), rows := max(1, CELLS // len(own))):
+            a = at[i : i + rows]
+            wrong = points.take(a[:, None] + np.arange(len(own)), mode="clip") != own
+            sums = np.zeros((len(a), len(own) + 1), np.int32)
+            np.cumsum(wrong, axis=1, out=sums[:, 1:])
+            distance = sums[:, m:] - sums[:, :-m]
+            row, rotation = np.nonzero(distance <= self.k)
+            start = a[row] + rotation
+            inside = (start >= low) & (start < min(high, len(points)))
+            inside[inside] = start[inside] + m <= ends[np.searchsorted(ends, start[inside], "right")]
+            row, rotation, start = row[inside], rotation[inside], start[inside]
+            out.append(np.stack([np.full(len(start), number), start, distance[row, rotation], rotation]))
+        return np.concatenate(out, axis=1) if out else np.empty((4, 0), np.int64)
+
+
+def _slices(batches):
+    """(ids, texts) of rows whose texts take about SLICE_BYTES, or of one row."""
+    import numpy as np
+    import pyarrow.compute as pc
 
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(sizes):
+            before = sizes[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+            yield batch.column(0).slice(start, stop - start), [t or "" for t in batch.column(1).slice(start, stop - start).to_pylist()]
+            start = stop
 
-def _seeds(patterns: DataFrame, k: int, circular: bool) -> tuple[DataFrame, int, int]:
-    step = f"(length(pattern) + 1) div {k + 2}" if circular else f"length(pattern) div {k + 1}"
-    rows = patterns.where(f"length(pattern) > {k}").select("pattern_id", "pattern", F.expr(step).cast("int").alias("step"))
-    size, longest = rows.agg(F.min("step"), F.max(F.length("pattern"))).first()
-    if size is None:
-        return rows.select("pattern_id", "pattern", "step", F.lit(0).alias("off"), F.lit("").alias("seed")), 1, 1
-    last = "2 * length(pattern) - 1 - step" if circular else f"{k} * step"
-    rows = rows.select("*", F.expr(f"explode(sequence(0, {last}, step))").alias("off"))
-    source = doubled("pattern") if circular else "pattern"
-    return rows.select("pattern_id", "pattern", "step", "off", F.expr(f"substring({source}, off + 1, {size})").alias("seed")), size, longest
 
+def spread(texts: DataFrame) -> DataFrame:
+    """The texts in as many parts as the cluster has cores; those of a large table are not moved."""
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
 
-def _hits(texts: DataFrame, seeds: DataFrame, size: int, context: int, block_size: int) -> DataFrame:
-    parts = blocks(texts, block_size, context)
-    grams = parts.select("*", F.expr(f"explode(transform(sequence(start, least(start + {block_size}, text_length) - 1), q -> struct(q, substring(block, q - low + 1, {size}) AS gram))) AS g"))
-    return grams.join(_bounded(seeds), F.col("g.gram") == F.col("seed"))
 
+COLUMNS = "pos long, distance int, rotation int, size int"
 
-def _verified(hits: DataFrame, k: int, circular: bool) -> DataFrame:
-    """(text_id, pattern_id, pos, distance, rotation) of the hits' starts within k mismatches. All rotations
-    that hold a hit's seed whole lie on one diagonal of the doubled pattern and the text, so one running
-    sum of its mismatches gives all their distances."""
-    import numpy as np
 
-    def codes(text):
-        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-    def run(batches):
-        for batch in batches:
-            known, where, found = {}, [], []
-            for i, (pattern, block, low, length, q, off, step) in enumerate(zip(*(c.to_pylist() for c in batch.columns[2:]))):
-                if pattern not in known:
-                    own = codes(pattern)
-                    known[pattern] = len(own), np.concatenate([own, own[:-1]]) if circular else own
-                (m, wanted), at = known[pattern], q - off
-                first, last = (max(0, off + step - m), min(off, m - 1)) if circular else (0, 0)
-                first, last = max(first, -at), min(last, length - m - at)
-                if first <= last:
-                    there = codes(block)[at + first - low : at + last + m - low]
-                    wrong = np.concatenate([[0], np.cumsum(wanted[first : last + m] != there)])
-                    distance = wrong[m:] - wrong[:-m]
-                    for j in np.flatnonzero(distance <= k).tolist():
-                        where.append(i)
-                        found.append((at + first + j, int(distance[j]), first + j))
-            pos, distance, rotation = zip(*found) if found else ((), (), ())
-            where = pa.array(where, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(pos, pa.int64()), pa.array(distance, pa.int32()), pa.array(rotation, pa.int32())], ["text_id", "pattern_id", "pos", "distance", "rotation"])
-
-    kinds = hits.schema["text_id"].dataType.simpleString(), hits.schema["pattern_id"].dataType.simpleString()
-    rows = hits.select("text_id", "pattern_id", "pattern", "block", "low", "text_length", "g.q", "off", "step")
-    return rows.mapInArrow(run, f"text_id {kinds[0]}, pattern_id {kinds[1]}, pos long, distance int, rotation int")
-
-
-def kmismatch(texts: DataFrame, patterns: DataFrame, k: int, circular: bool = False, block_size: int = BLOCK) -> DataFrame:
+def _matches(texts: DataFrame, patterns: DataFrame, k: int, circular: bool, block_size: int, strategy: str) -> DataFrame:
+    if k < 0 or block_size < 1 or strategy not in ("seeds", "scan"):
+        raise ValueError("k must not be negative, block_size must be positive and strategy seeds or scan")
+    patterns = patterns.select("pattern_id", "pattern").where("length(pattern) > 0")
+    texts = spread(texts.select("text_id", "text").where("length(text) > 0"))
+    kinds = texts.schema["text_id"].dataType.simpleString(), patterns.schema["pattern_id"].dataType.simpleString()
+    size, longest = patterns.agg(F.coalesce(F.sum(F.length("pattern") + 16), F.lit(0)), F.coalesce(F.max(F.length("pattern")), F.lit(0))).first()
+    if longest > block_size:
+        raise ValueError("a pattern is longer than block_size")
+    spark: SparkSession = texts.sparkSession
+    groups, out = max(1, -(-size // PATTERN_CHARS)), None
+
+    def searcher(shared):
+        def run(batches):
+            import numpy as np
+
+            wanted, names = shared.value
+            for ids, rows in _slices(batches):
+                lengths = np.array([len(t) for t in rows], np.int64)
+                ends = np.cumsum(lengths)
+                for number, start, distance, rotation in wanted.search(codes("".join(rows)), ends, block_size, circular):
+                    text = np.searchsorted(ends, start, "right")
+                    place = pa.array(start - (ends - lengths)[text])
+                    sizes = pa.array(np.array(wanted.sizes, np.int32)[number])
+                    columns = [ids.take(pa.array(text)), names.take(pa.array(number)), place, pa.array(distance.astype(np.int32)), pa.array(rotation.astype(np.int32)), sizes]
+                    yield pa.RecordBatch.from_arrays(columns, ["text_id", "pattern_id", "pos", "distance", "rotation", "size"])
+
+        return run
+
+    for group in range(groups):
+        own = patterns.where(F.pmod(F.xxhash64("pattern_id", "pattern"), F.lit(groups)) == group).toArrow()
+        names = own["pattern_id"].combine_chunks()
+        shared = spark.sparkContext.broadcast((Patterns(own["pattern"].to_pylist(), k, circular, strategy == "scan"), names))
+        found = texts.mapInArrow(searcher(shared), f"text_id {kinds[0]}, pattern_id {kinds[1]}, {COLUMNS}")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def kmismatch(texts: DataFrame, patterns: DataFrame, k: int, circular: bool = False, block_size: int = BLOCK, strategy: str = "seeds") -> DataFrame:
     """Rows (text_id, pattern_id, pos, distance[, rotation]) of every start at which a pattern (circular:
     a rotation of it) occurs with at most k mismatches; of several rotations the best, then smallest.
 
-    Null or empty texts and patterns, and patterns longer than a text, give no rows. Patterns of at
-    most k characters fit everywhere and have no seed; their windows are all compared.
+    texts (text_id, text) and patterns (pattern_id, pattern) may have other columns. Characters are code
+    points; positions start at 0. Null or empty texts and patterns, and patterns longer than a text, give
+    no rows; rows of repeated or null ids are searched each for itself. Strategy "scan" compares every
+    start, as always for patterns of at most k characters; "seeds" candidates only. Results and rows are
+    the same for every strategy and block_size, which is the number of starts that a task looks at
+    together; a pattern longer than it raises ValueError, as does a negative k.
     """
-    if k < 0 or block_size < 1:
-        raise ValueError("k must not be negative and block_size must be positive")
-    patterns = patterns.select("pattern_id", "pattern").where("length(pattern) > 0")
-    seeds, size, longest = _seeds(patterns, k, circular)
-    hits = _hits(texts, seeds, size, longest, block_size)
-    short = patterns.where(f"length(pattern) <= {k}")
-    every = blocks(texts, block_size, max(1, k)).join(_bounded(short), F.expr("length(pattern) <= text_length"))
-    every = every.select("text_id", "pattern_id", "pattern", "block", "low", "text_length", F.expr(f"explode(sequence(start, least(start + {block_size}, text_length) - 1)) AS pos"))
-    every = every.withColumn("rotation", F.expr("explode(sequence(0, length(pattern) - 1))") if circular else F.lit(0))
-    every = every.where("pos BETWEEN 0 AND text_length - length(pattern)").withColumn("w", F.expr("substring(block, pos - low + 1, length(pattern))"))
-    wanted = f"substring({doubled('pattern')}, rotation + 1, length(pattern))" if circular else "pattern"
-    every = every.withColumn("x", F.expr(wanted)).withColumn("distance", F.expr(_DISTANCE.format(x="x", w="w"))).where(F.col("distance") <= k)
-    found = _verified(hits, k, circular)
-    found = found.unionByName(every.select("text_id", "pattern_id", F.col("pos").cast("long").alias("pos"), F.col("distance").cast("int").alias("distance"), "rotation"))
-    keys = ["text_id", "pattern_id", "pos"]
-    if not circular:
-        return found.select(*keys, F.col("distance").cast("int").alias("distance")).distinct()
-    best = found.select(*keys, "distance", "rotation").groupBy("text_id", "pattern_id", "pos").agg(F.min(F.struct("distance", "rotation")).alias("b"))
-    return best.select("text_id", "pattern_id", "pos", F.col("b.distance").cast("int").alias("distance"), F.col("b.rotation").cast("int").alias("rotation"))
+    found = _matches(texts, patterns, k, circular, block_size, strategy)
+    return found.select("text_id", "pattern_id", "pos", "distance", *(["rotation"] if circular else []))
 
 
 def multi_pattern_scan(texts: DataFrame, patterns: DataFrame, block_size: int = BLOCK) -> DataFrame:
-    """(text_id, pattern_id, pos, end_pos) of every exact occurrence of every pattern; end_pos is exclusive."""
-    size = F.length("pattern").alias("size")
-    found = kmismatch(texts, patterns, 0, block_size=block_size)
-    sizes = _bounded(patterns.select(F.col("pattern_id"), size))
-    return found.join(sizes, "pattern_id").select("text_id", "pattern_id", "pos", (F.col("pos") + F.col("size")).alias("end_pos"))
+    """(text_id, pattern_id, pos, end_pos) of every exact occurrence of every pattern, suffixes of other
+    patterns included; end_pos is exclusive. Nulls and empty strings as kmismatch."""
+    found = _matches(texts, patterns, 0, False, block_size, "seeds")
+    return found.select("text_id", "pattern_id", "pos", (F.col("pos") + F.col("size")).alias("end_pos"))

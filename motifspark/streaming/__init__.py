@@ -1 +1 @@
-"""See the package README."""
+"""Search over texts that come in chunks."""
