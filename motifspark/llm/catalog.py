@@ -17,6 +17,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op8_decontamination": decontamination.ORACLE_SQL,
     "op9_url_filters": url_filters.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
 }

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifspark.llm.common import ALNUM, cut, small_batches, table
+from motifspark.llm.common import ALNUM, cut, packed, sliced, small_batches, table, unpacked
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -132,33 +132,29 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int):
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The columns of docs, n_words, spans (merged hit spans in words) and items (ids as strings).
-
-    An item of fewer than `window` words, but not none, is one window. Null texts and null items
-    have no words; items of a null id hit but are not listed. Columns of docs that clash with the
-    new ones must be renamed by the caller. Empty tables give no rows or no hits.
-    """
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, text_col: str, item_id: str, item_text: str, keep: list[str]) -> DataFrame:
+    """The columns `keep` as the struct `_own`, the text as `_text`, n_words, spans and items."""
     small_batches(docs.sparkSession)
-    rows = docs.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.expr("CAST(array() AS array<struct<start:long,end:long>>)"), "items": F.expr("CAST(array() AS array<string>)")})
-    schema, at = rows.schema, docs.columns.index(text_col)
+    new = [F.lit(0).cast("long").alias("n_words"), F.expr("CAST(array() AS array<struct<start:long,end:long>>)").alias("spans"), F.expr("CAST(array() AS array<string>)").alias("items")]
+    rows = docs.select(packed(keep), F.col(text_col).alias("_text"), *new)
+    schema = rows.schema
 
     def matcher(shared):
         def match(batches):
             automaton = shared.value
-            for batch in batches:
+            for batch in sliced(batches, 1):
                 n, spans, items = [], [], []
-                for text, old, names in zip(batch.column(at).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                    doc = words(text)
+                for text, old, names in zip(*(batch.column(i) for i in (1, 3, 4))):
+                    doc = words((text.as_py() or "").encode())
                     found, ids = automaton.match(doc) if doc else ([], set())
                     merged = []
-                    for start, end in sorted([*found, *((s["start"], s["end"]) for s in old)]):
+                    for start, end in sorted([*found, *((s["start"], s["end"]) for s in old.as_py())]):
                         _cover(merged, start, end)
                     n.append(len(doc))
                     spans.append([{"start": s, "end": e} for s, e in merged])
-                    items.append(sorted(({*ids} - {None}) | {*names}))
-                columns = batch.columns[:-3] + [pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+                    items.append(sorted(({*ids} - {None}) | {*names.as_py()}))
+                columns = [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
 
         return match
 
@@ -169,38 +165,66 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     return rows if blocks else rows.mapInArrow(matcher(docs.sparkSession.sparkContext.broadcast(Automaton([], window))), schema)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.8, **options) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of docs (all by default), n_words, spans (merged hit spans in words) and items
+    (ids as strings).
+
+    An item of fewer than `window` words, but not none, is one window. Null texts and null items
+    have no words; items of a null id hit but are not listed. Rows, repeated ones too, stay. A new column
+    whose name `keep` has already gets an underscore behind it. Empty tables give no rows or no hits.
+    """
+    columns = docs.columns if keep is None else keep
+    return unpacked(_found(docs, benchmark, window, block_words, text_col, item_id, item_text, columns), columns, ["n_words", "spans", "items"])
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0.8, window: int = WINDOW, block_words: int = BLOCK_WORDS, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the words of hit spans (and what stands between them); a document of which hit
-    words make up more than max_coverage goes. Documents without hits stay byte for byte. Columns
-    and null handling as docs and find_contamination."""
-    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in ("n_words", "spans", "items") if c in docs.columns})
-    found = find_contamination(renamed, benchmark, **options)
+    words make up more than max_coverage goes. Documents without hits stay byte for byte. Other columns
+    stay, whatever their names; nulls as find_contamination."""
+    others = [c for c in docs.columns if c != text_col]
+    found = _found(docs, benchmark, window, block_words, text_col, item_id, item_text, others)
     hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
-    found = found.where(hit <= F.col("n_words") * max_coverage).drop("n_words", "items")
-    schema, at = found.schema, found.columns.index("text")
+    found = found.where(hit <= F.col("n_words") * max_coverage).select("_own", "_text", "spans")
 
     def remove(batches):
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            for i, spans in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                if spans:
-                    text = texts[i].encode()
-                    places, parts, last = [m.span() for m in _WORD.finditer(text.translate(_LOWERED))], [], 0
-                    for s in spans:
-                        parts.append(text[last : places[s["start"]][0]])
-                        last = places[s["end"] - 1][1]
-                    texts[i] = b"".join([*parts, text[last:]]).decode()
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
-
-    return found.mapInArrow(remove, schema).drop("spans").withColumnsRenamed({f"_own_{c}": c for c in ("n_words", "spans", "items")})
+        for batch in sliced(batches, 1):
+            texts = batch.column(1)
+            spans = batch.column(2).to_pylist()
+            if any(spans):
+                out = texts.to_pylist()
+                for i, own in enumerate(spans):
+                    if own:
+                        text = out[i].encode()
+                        places, parts, last = [m.span() for m in _WORD.finditer(text.translate(_LOWERED))], [], 0
+                        for s in own:
+                            parts.append(text[last : places[s["start"]][0]])
+                            last = places[s["end"] - 1][1]
+                        out[i] = b"".join([*parts, text[last:]]).decode()
+                texts = pa.array(out, texts.type)
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2)], batch.schema.names)
+
+    out = found.mapInArrow(remove, found.schema)
+    return out.select(*(F.col("_text").alias(c) if c == text_col else F.col("_own")[c].alias(c) for c in docs.columns))
 
 
 _LOWERED = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
 def op8_decontamination(spark, sf_dir):
-    found = find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+_WORDS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents), i AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
+p AS (SELECT item_id, w, least(len(w), {WINDOW}) AS size, unnest(range(1, greatest(1, len(w) - {WINDOW - 1}) + 1)) AS a FROM i WHERE len(w) > 0),
+v AS (SELECT DISTINCT item_id, size, array_to_string(w[a : a + size - 1], ' ') AS win FROM p),
+q AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS a FROM d, (SELECT DISTINCT size FROM v) WHERE len(w) >= size),
+g AS (SELECT doc_id, a, size, array_to_string(w[a : a + size - 1], ' ') AS win FROM q),
+h AS (SELECT doc_id, a, size, item_id FROM g JOIN v USING (size, win)),
+n AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + size)) AS place FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""

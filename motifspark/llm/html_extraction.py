@@ -40,83 +40,131 @@ NOISE = frozenset("ad ads advert adverts advertisement advertising sponsor spons
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = frozenset("html body article aside main section div nav header footer form ul ol dl table blockquote".split())
-_NAME = re.compile("[a-z]+")
+_PART = re.compile("[a-z]+")
+#: Words beside which a word of NOISE tells what a part has, not what it is: with-sidebar, comments-open.
+MODIFIERS = frozenset("with without has have no not is open closed layout page body content wrapper main".split())
+#: Elements below this depth belong to the style node at it, so that paths stay short in any page.
+MOST_DEPTH = 64
+
+
+def is_noise(names: str) -> bool:
+    """Whether classes and ids name what is no part of an article."""
+    for token in names.lower().split():
+        parts = _PART.findall(token)
+        if not NOISE.isdisjoint(parts) and (len(parts) == 1 or MODIFIERS.isdisjoint(parts)):
+            return True
+    return False
 
 
 class Page(HTMLParser):
     """Blocks of a page: (style node, inner styles, text, whether in the article), and branches: (style
-    node, children's styles, whether in the article). A node is named by the styles on its path."""
+    node, children's styles, whether in the article). A node is named by the styles on its path. Any
+    markup is read, in time proportional to its length; what is no markup is text."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.stack, self.blocks, self.branches, self.parts, self.inner = [], [], [], [], []
-        self.feed(html)
-        self.close()
+        self.hidden, self.open, self.muted, self.ending = [], Counter(), [], False
+        try:
+            self.feed(html)
+            self.ending = True
+            self.close()
+        except AssertionError:  # of the standard library's parser, on markup that it does not know
+            self.handle_data(self.rawdata)
         self.flush()
         self.leave(0)
-        # An article without text, or within noise, is no main part.
+        # An article without text, or within noise, is no main part. Where all text is noise, as behind a
+        # menu that is not closed, that of the articles is the page's.
+        if not self.blocks:
+            self.blocks = [block for block in self.hidden if block[3]]
         self.main = any(main for *_, main in self.blocks)
 
     def flush(self):
         text = " ".join("".join(self.parts).split())
         if text:
             _, path, noise, main, _ = self.stack[-1] if self.stack else ("", "", False, False, [])
-            if not noise:
-                self.blocks.append((path, "".join(self.inner), text, main))
+            (self.hidden if noise else self.blocks).append((path, "".join(self.inner), text, main))
         self.parts, self.inner = [], []
 
     def leave(self, depth):
         self.branches += [(path, " ".join(children), main) for _, path, noise, main, children in self.stack[depth:] if children and not noise]
+        self.open.subtract(tag for tag, *_ in self.stack[depth:])
         del self.stack[depth:]
+        while self.muted and self.muted[-1][1] > depth:
+            self.muted.pop()
 
     def handle_starttag(self, tag, attrs):
         if tag in INLINE:
-            self.inner.append(f"<{tag}>")
+            values = dict(attrs)
+            if is_noise(f"{values.get('class') or ''} {values.get('id') or ''}") or "hidden" in values or any(name == tag for name, _ in self.muted):
+                self.muted.append((tag, len(self.stack)))
+            elif not self.muted:
+                self.inner.append(f"<{tag}>")
+            return
+        if tag in ("img", "wbr"):
             return
         self.flush()
         if tag in VOID:
             return
         closes = {"p"} if tag in _CLOSES_P else _CLOSES.get(tag, ())
-        for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
-            if name in closes:
-                self.leave(i)
-                break
-            if name in _SCOPE:
-                break
+        if any(self.open[name] for name in closes):
+            for i in range(len(self.stack) - 1, -1, -1):
+                name = self.stack[i][0]
+                if name in closes:
+                    self.leave(i)
+                    break
+                if name in _SCOPE:
+                    break
         values = {k: v or "" for k, v in attrs}
-        names = _NAME.findall(f"{values.get('class', '')} {values.get('id', '')}".lower())
+        names = f"{values.get('class', '')} {values.get('id', '')}"
         main = tag in ("article", "main") or values.get("role") == "main"
         _, above, hidden, inside, siblings = self.stack[-1] if self.stack else ("", "", False, False, [])
         noise = not main and tag not in ("html", "body") and (
-            tag in DROPPED or values.get("role", "").lower() in ROLES or (tag == "header" and not inside) or not NOISE.isdisjoint(names) or "hidden" in values
+            tag in DROPPED or values.get("role", "").lower() in ROLES or (tag == "header" and not inside) or is_noise(names) or "hidden" in values
         )
         # An article among comments is a comment.
-        if main and not NOISE.isdisjoint(names) and any(n in ("comment", "comments", "reply", "replies") for n in names):
+        if main and not {"comment", "comments", "reply", "replies"}.isdisjoint(_PART.findall(names.lower())):
             noise, main = True, False
         style = tag + "".join(f".{n}" for n in sorted(values.get("class", "").split())) + ("#" + "_".join(values["id"].split()) if values.get("id") else "")
         if not noise:
             siblings.append(style)
-        self.stack.append((tag, f"{above} {style}" if self.stack else style, noise or hidden, main or inside, []))
+        path = above if len(self.stack) >= MOST_DEPTH else f"{above} {style}" if self.stack else style
+        self.stack.append((tag, path, noise or hidden, main or inside, []))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         if tag in INLINE:
+            if self.muted and self.muted[-1][0] == tag:
+                self.muted.pop()
             return
         self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.leave(i)
-                break
+        if self.open[tag]:
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i][0] == tag:
+                    self.leave(i)
+                    break
 
     def handle_data(self, data):
-        self.parts.append(data)
+        if not self.muted:
+            self.parts.append(data)
 
     def unknown_decl(self, data):
         pass
 
+    def parse_comment(self, i, report=1):
+        end = super().parse_comment(i, report)
+        return len(self.rawdata) if end < 0 and self.ending else end
+
+    def parse_marked_section(self, i, report=1):
+        if self.rawdata.startswith("<![CDATA[", i):
+            end = super().parse_marked_section(i, report)
+        else:
+            end = self.rawdata.find(">", i) + 1 or -1
+        return len(self.rawdata) if end < 0 and self.ending else end
+
 
 def leaf(path: str) -> str:
     """Name of the leaf that a node's own blocks form."""

@@ -2,13 +2,13 @@
 
 Tier one is a broadcast hash table of the token counts of frequent pre-tokens, of at most
 FREQUENT entries. Tier two is a bounded cache in each Python worker; what neither holds is
-encoded in batches. No pre-token is shuffled: only summaries of at most SUMMARY_ROWS rows in
-all meet, to choose the frequent ones. The choice affects speed alone, never a count.
+encoded in batches. Texts' pre-tokens are never shuffled: only summaries of at most SUMMARY_ROWS rows,
+however many splits there are, meet to choose the frequent ones. The choice affects speed alone, never a count.
 
 Why pre-tokens may be counted apart: the model is a BPE without pieces in which a word marker
 follows another character, so no merge crosses from a word into the marker of the next one, and
-without pieces that hold a line feed, so none crosses a line end. `TokenCounter` proves both
-for the model it is given and otherwise encodes whole texts.
+without pieces that hold a line feed, so none crosses a line end. `TokenCounter` checks all pieces of
+the model it is given for both, and the normaliser on one text; otherwise it encodes whole texts.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from motifspark.llm.common import small_batches, table
 
 #: Entries of the broadcast table.
 FREQUENT = 65_536
-#: Rows that the choice of frequent pre-tokens moves, over all splits.
-SUMMARY_ROWS = 2_000_000
+#: Splits that are asked for their frequent pre-tokens, and rows that they tell in all.
+SAMPLED, SUMMARY_ROWS = 1_000, 500_000
 #: Entries of a worker's cache; it starts anew when full. Longer pre-tokens are not kept.
 CACHED, CACHED_BYTES = 400_000, 64
 
@@ -89,12 +89,18 @@ class TokenCounter:
 
 
 def frequent_lengths(texts: DataFrame, model_path: str, size: int = FREQUENT) -> dict[bytes, int]:
-    """Token counts of at most `size` frequent pre-tokens. Each split tells its most frequent
-    pre-tokens of its first Arrow batch; their sums choose. Only a warm start: what is missing
-    here is encoded by the workers."""
-    each = max(64, min(size, SUMMARY_ROWS // max(1, texts.rdd.getNumPartitions())))
+    """Token counts of at most `size` frequent pre-tokens. At most SAMPLED splits, spread over all,
+    tell the most frequent pre-tokens of their first Arrow batch, SUMMARY_ROWS in all; their sums choose.
+    Only a warm start: what is missing here is encoded by the workers."""
+    splits = max(1, texts.rdd.getNumPartitions())
+    apart = -(-splits // SAMPLED)
+    each = min(size, SUMMARY_ROWS // -(-splits // apart))
 
     def summary(batches):
+        from pyspark import TaskContext
+
+        if TaskContext.get().partitionId() % apart:
+            return
         for batch in batches:
             seen = Counter()
             for text in batch.column(0).to_pylist():

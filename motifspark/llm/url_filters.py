@@ -12,14 +12,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motifspark.llm.common import lookup, table
+from motifspark.llm.common import cut, lookup, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (host, path, verdict) of the rules.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
-#: Suffixes of two labels under which names are registered; any other suffix has one label.
+#: Suffixes of two labels under which names are registered; any other suffix has one label. A caller may
+#: give the whole of a public list.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "com.br", "com.mx", "co.in", "com.cn", "com.tr", "co.za")
 
 #: Bounds of a prior's strength in outcomes, and the standard deviations and share of the verdict.
@@ -54,14 +55,15 @@ def _strength(groups: DataFrame) -> DataFrame:
     )
 
 
-def reputations(hosts: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
+def reputations(hosts: DataFrame, deviations: float = DEVIATIONS, two_label=TWO_LABEL_SUFFIXES) -> DataFrame:
     """hosts(host, pages, n, bad) with the posterior mean and lower bound of each host's bad share."""
     parts = F.split("host", r"\.")
     two = F.concat_ws(".", F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), 2))
-    labels = F.when(two.isin(*TWO_LABEL_SUFFIXES), 2).otherwise(1)
+    labels = F.when(two.isin(*two_label), 2).otherwise(1)
     last = lambda k: F.concat_ws(".", F.slice(parts, F.greatest(F.lit(1), F.size(parts) - k + 1), k))
     hosts = hosts.withColumns({"suffix": last(labels), "domain": last(labels + 1)})
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    # Each level is read several times; the levels above are made from the written one below.
+    domains = cut(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     every = suffixes.agg(F.expr("coalesce((sum(bad) + 1) / (sum(n) + 2), 0.5D)").alias("p"))
 
@@ -74,7 +76,7 @@ def reputations(hosts: DataFrame, deviations: float = DEVIATIONS) -> DataFrame:
     return hosts.withColumn("bound", F.expr(f"mean - {deviations}D * sqrt(mean * (1 - mean) / (n + s + 1))")).select("host", "pages", "n", "bad", "mean", "bound")
 
 
-def url_filter(pages: DataFrame, rules=RULES, outcome: Column | None = None, limit: float = LIMIT, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def url_filter(pages: DataFrame, rules=RULES, outcome: Column | None = None, limit: float = LIMIT, id_col: str = "page_id", url_col: str = "url", two_label=TWO_LABEL_SUFFIXES) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict.
 
     `outcome` is a boolean column of `pages`, true for a bad page, null for an unlabelled one; by
@@ -89,7 +91,7 @@ def url_filter(pages: DataFrame, rules=RULES, outcome: Column | None = None, lim
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
     bad = F.col("ruled") == "block" if outcome is None else F.col("bad_page")
     hosts = rows.groupBy("host").agg(F.count("*").alias("pages"), F.count(bad).alias("n"), F.count_if(bad).alias("bad"))
-    known = reputations(hosts).select("host", "pages", "bound")
+    known = cut(reputations(cut(hosts), two_label=two_label).select("host", "pages", "bound"))
     open_rows = rows.where("ruled IS NULL").select("page", "host", "path")
     judged = lookup(open_rows, known, "host", "pages", pages.count())
     out = rows.where("ruled IS NOT NULL").select("page", "host", "path", "rule", F.col("ruled").alias("verdict")).unionByName(

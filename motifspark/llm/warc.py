@@ -143,17 +143,17 @@ def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     return rows.mapInArrow(write, BUNDLES)
 
 
-def read_bundles(bundles: DataFrame) -> DataFrame:
+def read_bundles(bundles: DataFrame, id_type: str = "long") -> DataFrame:
     """Records (page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload) of
     bundles; of a response, size and digest are those of the payload read. A payload that differs
-    from its recorded digest raises."""
+    from its recorded digest raises. id_type is the type of the identifiers that were written; an
+    identifier without any characters is null."""
 
     def identifier(text):
-        text = text.removeprefix("<urn:page:").removesuffix(">")
-        return int(text) if text else None
+        return text.removeprefix("<urn:page:").removesuffix(">") or None
 
     def read(batches):
-        kinds = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()), ("payload", pa.binary())]
+        kinds = [("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("payload", pa.binary())]
         for batch in batches:
             for data in batch.column(0):
                 data = data.as_py()
@@ -168,13 +168,22 @@ def read_bundles(bundles: DataFrame) -> DataFrame:
                         rows.append((identifier(fields["WARC-Record-ID"]), size, digest, kind, refers, fields.get("WARC-Target-URI"), payload if kind == "response" else None))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], [n for n, _ in kinds])
 
-    return bundles.select("data").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
+    found = bundles.select("data").mapInArrow(read, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string, payload binary")
+    return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
-def read_record(bundles: DataFrame, name: str) -> list[bytes]:
-    """The payloads of the records `name`: the index finds bundle, frame and offset, one frame each is read."""
-    found = bundles.select("data", F.explode("index").alias("i")).where(F.col("i.id") == name).collect()
-    return [parse(frame(bytes(r["data"]), r["i"]["frame"]), r["i"]["offset"])[1] for r in found]
+def read_record(bundles: DataFrame, name: str) -> DataFrame:
+    """One row `payload` of each record `name`: the index finds bundle, frame and offset, and one frame is
+    decompressed where its bundle stands. No bundle reaches the driver."""
+    found = bundles.select("data", F.explode("index").alias("i")).where(F.col("i.id") == name).select("data", "i.frame", "i.offset")
+
+    def read(batches):
+        for batch in batches:
+            for data, number, offset in zip(*batch.columns):
+                payload = parse(frame(data.as_py(), number.as_py()), offset.as_py())[1]
+                yield pa.RecordBatch.from_arrays([pa.array([payload], pa.binary())], ["payload"])
+
+    return found.mapInArrow(read, "payload binary")
 
 
 def op10_warc(spark, sf_dir):

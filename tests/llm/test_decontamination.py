@@ -38,3 +38,12 @@ def test_blocks_nulls_and_removal(spark):
     out = {r["doc_id"]: r for r in decontaminate(docs, benchmark, window=3).collect()}
     assert out[1]["text"] == "é  é é!" and out[5]["text"] == "clean text" and 4 not in out and out[2]["text"] is None and out[1]["n_words"] == 1
     assert decontaminate(docs.limit(0), benchmark.limit(0)).count() == 0
+
+
+def test_clashing_columns_stay(spark):
+    benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    docs = spark.createDataFrame([(9, "k", "x a b c y z q r", 7, "s", None), (8, None, "z", 7, "s", None), (9, "k", "x a b c y z q r", 7, "s", None)], "n_words long, items string, text string, doc_id long, spans string, _own int")
+    out = decontaminate(docs, benchmark, window=3)
+    assert out.columns == docs.columns and sorted(r["text"] for r in out.collect()) == ["x  y z q r"] * 2 + ["z"]
+    found = find_contamination(docs, benchmark, window=3)
+    assert found.columns == [*docs.columns, "n_words_", "spans_", "items_"] and {(r["n_words"], r["n_words_"], tuple(r["items_"])) for r in found.collect()} == {(9, 8, ("1",)), (8, 1, ())}

@@ -1,6 +1,8 @@
 import math
+import random
+import time
 
-from motifspark.llm.html_extraction import extract, style_trees, text_of
+from motifspark.llm.html_extraction import Page, extract, style_trees, text_of
 
 
 def test_article_text():
@@ -53,3 +55,34 @@ def test_branches_combine_their_leaves(spark):
     assert box["n"] == 12 and abs(box["importance"] - (1 - 0.9**4) * look) < 1e-9
     assert box["low"]
     assert all(out[i] == f"Text {i}" for i in range(12))
+
+
+def test_noise_words_of_containers_and_inline_elements():
+    for opening in ("<div class='layout with-sidebar'>", "<div class='content comments-open'>", "<div id=no-comments>", "<nav>"):
+        assert text_of(f"<body>{opening}<article><p>Body</p></article></div>", set()) == "Body"
+    assert text_of("<article><p>One <span class=advert>Buy <span>now</span></span>two <a class='share'>Share</a>three</p></article>", set()) == "One two three"
+    assert text_of("<article><p>a <a class=share>Share</p><p>b</p></article>", set()) == "a b"
+    assert text_of("<article><p>a<img src=x>b<wbr>c</p></article>", set()) == "abc"
+    assert text_of("<article>a</article><div class='site-footer'>x</div><div class=cookie-banner>y</div>", set()) == "a"
+
+
+def test_any_markup_is_read():
+    assert text_of("<p>a<![foo[x]]>b", set()) == "a]>b" or text_of("<p>a<![foo[x]]>b", set()) == "ab"
+    assert text_of("<p>a</p><!-- unclosed <b>x</b>", set()) == "a"
+    assert text_of("<p>a<![CDATA[x", set()) == "a"
+    rng = random.Random(8)
+    bits = ["<", ">", "!", "[", "]", "--", "<!", "<![", "<p", "</", "&", "&#", "&amp", ";", "x", "\"", "'", "=", " ", "/", "<?", "script", "CDATA[", "div", "é", "\0"]
+    for _ in range(4000):
+        text_of("".join(rng.choice(bits) for _ in range(rng.randint(0, 30))), set())
+
+
+def test_deep_and_long_pages_take_time_in_proportion():
+    took = []
+    for n in (5_000, 20_000):
+        began = time.perf_counter()
+        page = Page("<div class=a>x" * n + "</div>" * n)
+        took.append(time.perf_counter() - began)
+        assert len(page.blocks) == n
+        Page("<x>" * n + "</y>" * n + "<p>" * n)
+    assert took[1] < 12 * took[0] + 0.5
+    assert text_of("<article>" + "<p>word</p>" * 50_000 + "</article>", set()).count("word") == 50_000

@@ -13,6 +13,8 @@ def test_round_trip_revisits_and_seeks(spark):
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     want = [(i, len((h or "").encode()), sha(h), *(("revisit", 3) if h == long and i != 3 else ("response", None))) for i, _, h, _ in rows]
     assert out == sorted(want, key=str)
-    assert warc.read_record(bundles, "12") == [b"x" * 700_000]
-    assert warc.read_record(bundles, "9") == [b"short"]
+    payloads = lambda name: [bytes(r["payload"]) for r in warc.read_record(bundles, name).collect()]
+    assert payloads("12") == [b"x" * 700_000] and payloads("9") == [b"short"] and payloads("nine") == []
+    named = pages.selectExpr("concat('p', page_id) AS page_id", "url", "html")
+    assert {(r["page_id"], r["refers_to"]) for r in warc.read_bundles(warc.write_bundles(named), "string").collect()} == {(None if i is None else f"p{i}", "p3" if h == long and i != 3 else None) for i, _, h, _ in rows}
     assert warc.read_bundles(warc.write_bundles(pages.limit(0))).count() == 0
