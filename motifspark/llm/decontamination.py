@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifspark.llm.common import ALNUM, cut, packed, sliced, small_batches, table, unpacked
+from motifspark.llm.common import ALNUM, LOWER, cut, packed, sliced, small_batches, table, unpacked
 
 WINDOW = 10
 BLOCK_WORDS = 1_000_000
@@ -132,37 +132,65 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int):
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, text_col: str, item_id: str, item_text: str, keep: list[str]) -> DataFrame:
-    """The columns `keep` as the struct `_own`, the text as `_text`, n_words, spans and items."""
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, text_col: str, item_id: str, item_text: str, keep: list[str], max_coverage: float | None = None) -> DataFrame:
+    """The columns `keep` as the struct `_own`, the text as `_text`, n_words, spans and items; with
+    max_coverage, instead, `_own` and `_text` without the hit spans of the rows that stay."""
     small_batches(docs.sparkSession)
     new = [F.lit(0).cast("long").alias("n_words"), F.expr("CAST(array() AS array<struct<start:long,end:long>>)").alias("spans"), F.expr("CAST(array() AS array<string>)").alias("items")]
     rows = docs.select(packed(keep), F.col(text_col).alias("_text"), *new)
-    schema = rows.schema
+    schema, short = rows.schema, rows.select("_own", "_text").schema
+
+    def matched(batch, automaton):
+        """(number of words, spans, ids) of each row, with what earlier blocks found."""
+        for text, old, names in zip(*(batch.column(i) for i in (1, 3, 4))):
+            doc = words((text.as_py() or "").encode())
+            found, ids = automaton.match(doc) if doc else ([], set())
+            merged = []
+            for start, end in sorted([*found, *((s["start"], s["end"]) for s in old.as_py())]):
+                _cover(merged, start, end)
+            yield len(doc), merged, sorted(({*ids} - {None}) | {*names.as_py()})
 
     def matcher(shared):
         def match(batches):
-            automaton = shared.value
             for batch in sliced(batches, 1):
-                n, spans, items = [], [], []
-                for text, old, names in zip(*(batch.column(i) for i in (1, 3, 4))):
-                    doc = words((text.as_py() or "").encode())
-                    found, ids = automaton.match(doc) if doc else ([], set())
-                    merged = []
-                    for start, end in sorted([*found, *((s["start"], s["end"]) for s in old.as_py())]):
-                        _cover(merged, start, end)
-                    n.append(len(doc))
-                    spans.append([{"start": s, "end": e} for s, e in merged])
-                    items.append(sorted(({*ids} - {None}) | {*names.as_py()}))
-                columns = [*batch.columns[:2], pa.array(n, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                if batch.num_rows:
+                    n, spans, items = zip(*matched(batch, shared.value))
+                    spans = pa.array([[{"start": s, "end": e} for s, e in own] for own in spans], _SPANS)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), spans, pa.array(items, pa.list_(pa.string()))], schema.names)
 
         return match
 
-    blocks = 0
-    for block in _blocks(benchmark, item_id, item_text, block_words):
-        rows = (cut(rows) if blocks else rows).mapInArrow(matcher(docs.sparkSession.sparkContext.broadcast(Automaton(block, window))), schema)
-        blocks += 1
-    return rows if blocks else rows.mapInArrow(matcher(docs.sparkSession.sparkContext.broadcast(Automaton([], window))), schema)
+    def remover(shared):
+        def remove(batches):
+            for batch in sliced(batches, 1):
+                stays, texts, changed = [], batch.column(1), {}
+                for i, (n, spans, _) in enumerate(matched(batch, shared.value)):
+                    if sum(e - s for s, e in spans) <= n * max_coverage:
+                        stays.append(i)
+                        if spans:
+                            changed[i] = _without(texts[i].as_py(), spans)
+                if changed:
+                    texts = pa.array([changed[i] if i in changed else t.as_py() for i, t in enumerate(texts)], texts.type)
+                yield pa.RecordBatch.from_arrays([batch.column(0), texts], short.names).take(pa.array(stays, pa.int64()))
+
+        return remove
+
+    context, blocks = docs.sparkSession.sparkContext, _blocks(benchmark, item_id, item_text, block_words)
+    block = next(blocks, [])
+    while True:
+        shared, following = context.broadcast(Automaton(block, window)), next(blocks, None)
+        if following is None:
+            return rows.mapInArrow(matcher(shared), schema) if max_coverage is None else rows.mapInArrow(remover(shared), short)
+        rows, block = cut(rows.mapInArrow(matcher(shared), schema)), following
+
+
+def _without(text: str, spans) -> str:
+    data = text.encode()
+    places, parts, last = [m.span() for m in _WORD.finditer(data.translate(LOWER))], [], 0
+    for start, end in spans:
+        parts.append(data[last : places[start][0]])
+        last = places[end - 1][1]
+    return b"".join([*parts, data[last:]]).decode()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -182,34 +210,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_coverage: float = 0
     words make up more than max_coverage goes. Documents without hits stay byte for byte. Other columns
     stay, whatever their names; nulls as find_contamination."""
     others = [c for c in docs.columns if c != text_col]
-    found = _found(docs, benchmark, window, block_words, text_col, item_id, item_text, others)
-    hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")
-    found = found.where(hit <= F.col("n_words") * max_coverage).select("_own", "_text", "spans")
-
-    def remove(batches):
-        for batch in sliced(batches, 1):
-            texts = batch.column(1)
-            spans = batch.column(2).to_pylist()
-            if any(spans):
-                out = texts.to_pylist()
-                for i, own in enumerate(spans):
-                    if own:
-                        text = out[i].encode()
-                        places, parts, last = [m.span() for m in _WORD.finditer(text.translate(_LOWERED))], [], 0
-                        for s in own:
-                            parts.append(text[last : places[s["start"]][0]])
-                            last = places[s["end"] - 1][1]
-                        out[i] = b"".join([*parts, text[last:]]).decode()
-                texts = pa.array(out, texts.type)
-            yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2)], batch.schema.names)
-
-    out = found.mapInArrow(remove, found.schema)
+    out = _found(docs, benchmark, window, block_words, text_col, item_id, item_text, others, max_coverage)
     return out.select(*(F.col("_text").alias(c) if c == text_col else F.col("_own")[c].alias(c) for c in docs.columns))
 
 
-_LOWERED = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-
-
 def op8_decontamination(spark, sf_dir):
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     hit = F.expr("aggregate(spans, 0L, (n, s) -> n + s.end - s.start)")

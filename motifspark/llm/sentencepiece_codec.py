@@ -23,6 +23,7 @@ import re
 import struct
 from array import array
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,8 +35,8 @@ from motifspark.llm.common import sliced, table
 THREADS = 2
 #: Words whose ids a worker keeps; the cache starts anew when full. Longer words are not kept.
 CACHED, CACHED_CHARS = 400_000, 64
-#: Words that one of the library's threads encodes at once.
-CHUNK = 2000
+#: Words that one of the library's threads encodes at once, and how many such parts are held at once.
+CHUNK, AT_ONCE = 2000, 8
 MARK = "▁"
 #: Fixed values of the model format: kinds of pieces, kinds of models.
 UNKNOWN, CONTROL, USER_DEFINED, BYTE = 2, 3, 4, 6
@@ -150,8 +151,7 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         import sentencepiece
 
-        model = parse_model(data)
-        self.tokenizer = build(model)
+        self.model = model = parse_model(data)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         pieces = [p for p, _, _ in model.pieces]
         plain = not model.charsmap and not model.squeeze_blanks and model.dummy_prefix
@@ -162,10 +162,17 @@ class Codec:
             # Words come marked, so they need no normaliser and no splitting.
             self.words = build(model)
             self.words.normalizer, self.words.pre_tokenizer = normalizers.Sequence([]), None
+        else:
+            self.words = None
         self.differing = 0
         #: Ids of words as bytes of int32, and the words that decoding does not give back.
         self.cache, self.lossy = {}, set()
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer of whole texts, made where it is needed."""
+        return build(self.model)
+
     def whole(self, texts: list[str]) -> list[list[int]]:
         """Ids of whole texts; where the libraries differ, sentencepiece's."""
         out = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -181,7 +188,8 @@ class Codec:
         # An empty word is a lone marker; a word behind a line feed has no marker of its own.
         marked = [MARK + w.replace(" ", MARK) for w in words]
         chunks = [marked[i : i + CHUNK] for i in range(0, len(marked), CHUNK)]
-        for i, e in enumerate(self.words.encode_batch(chunks, is_pretokenized=True, add_special_tokens=False)):
+        found = (e for i in range(0, len(chunks), AT_ONCE) for e in self.words.encode_batch(chunks[i : i + AT_ONCE], is_pretokenized=True, add_special_tokens=False))
+        for i, e in enumerate(found):
             part, ids = words[i * CHUNK : (i + 1) * CHUNK], np.array(e.ids, np.int32)
             ends = np.searchsorted(np.array(e.word_ids), np.arange(len(part)), "right").tolist()
             starts = [0, *ends[:-1]]
@@ -189,7 +197,7 @@ class Codec:
             lists = [flat[s:t] for s, t in zip(starts, ends)]
             if [x if w else x[:0] for w, x in zip(part, lists)] != self.library.encode(part, num_threads=1):
                 raise ValueError("the rebuilt model differs from sentencepiece")
-            for word, text in zip(part, self.tokenizer.decode_batch(lists, skip_special_tokens=False)):
+            for word, text in zip(part, self.words.decode_batch(lists, skip_special_tokens=False)):
                 if text != word:
                     self.lossy.add(word)
             raw = ids.tobytes()
@@ -216,7 +224,17 @@ class Codec:
         return out
 
     def decode(self, rows: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(rows, skip_special_tokens=False)
+        return (self.words or self.tokenizer).decode_batch(rows, skip_special_tokens=False)
+
+
+_LAST: list = []
+
+
+def codec_of(data: bytes) -> Codec:
+    """The codec of a model; a worker keeps its last one, with the words it knows, from task to task."""
+    if not _LAST or _LAST[0] != data:
+        _LAST[:] = [data, Codec(data)]
+    return _LAST[1]
 
 
 def _model(df: DataFrame, model_path: str):
@@ -239,7 +257,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", target: str
     shared, at, schema = _model(docs, model_path), docs.columns.index(text_col), _with(docs, target, "array<int>")
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for batch in sliced(batches, at):
             found = [np.frombuffer(ids, np.int32) for ids, _ in codec.encode([t or "" for t in batch.column(at).to_pylist()])]
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
@@ -254,7 +272,7 @@ def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", target: str =
     shared, at, schema = _model(rows, model_path), rows.columns.index(ids_col), _with(rows, target, "string")
 
     def run(batches):
-        codec = Codec(shared.value)
+        codec = codec_of(shared.value)
         for whole in batches:
             for start in range(0, whole.num_rows, 100):
                 batch = whole.slice(start, 100)
@@ -276,7 +294,7 @@ def digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     shared = _model(docs, model_path)
 
     def run(batches):
-        codec, texts = Codec(shared.value), {}
+        codec, texts = codec_of(shared.value), {}
         for batch in sliced(batches, 1):
             n, digests, same = [], [], []
             for ids, back in codec.encode([t or "" for t in batch.column(1).to_pylist()]):
