@@ -4,6 +4,7 @@ Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the l
 columns of documents. Every stage works on all that the one before it kept.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from motifspark.llm.common import cut, table
@@ -23,11 +24,20 @@ def quality_rules(spark, docs, sf_dir):
     return kept_documents(docs)
 
 
+def _numbered(docs):
+    """docs with `_row`, which tells rows apart and is the same whenever they are read: a written table's
+    rows have their file and their place in it; any other table is written with a row number."""
+    try:
+        return docs.withColumn("_row", F.struct("_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:
+        return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def near_duplicates(spark, docs, sf_dir):
     """Of each group of near duplicates the row of the smallest id stays, null ids last; of equal
-    ids the first row. Rows are told apart by a written row number, so rows of null or repeated ids
+    ids the first row. Rows are told apart by their place in the table, so rows of null or repeated ids
     stay if they are copies of nothing."""
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    rows = _numbered(docs)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
     groups = jaccard_join(rows.select(key.alias("key"), "text"), shingle=NEAR_SHINGLE, percent=NEAR_PERCENT, id_col="key")
     first = groups.where("key._row = component_id._row").select("key._row")
