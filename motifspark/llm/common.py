@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
 import tempfile
@@ -105,6 +106,13 @@ def discard(*cuts: DataFrame) -> None:
         files.delete(there, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what earlier executions left: the broadcasts and shuffles that no DataFrame refers to any
+    more are removed from driver and executors once the driver's heap is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def packed(columns: list[str]):
     """The columns as one struct `_own`, so that no name of theirs can clash with an operator's."""
     return F.struct(*(F.col(f"`{c}`").alias(c) for c in columns) if columns else [F.lit(None).alias("_none")]).alias("_own")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifspark.llm.common import cut, discard, lookup, sliced, table
+from motifspark.llm.common import cut, discard, lookup, release, sliced, table
 
 SHINGLE, PERCENT = 4, 85
 #: Bytes that are hashed at once, and the longest word hashed by the polynomial.
@@ -295,6 +295,7 @@ def _linked(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame | Non
         rest = here.join(gone, ["cell", "key"], "left_anti").select(*rows.columns)
         rows = cut(rest.unionByName(inside.select(*rows.columns)))
         discard(here, pivots, met, measured, found, edges, *tables)
+        release(rows.sparkSession)
         tables, turn, count = [rows], turn + 1, count * MORE
 
 
@@ -321,6 +322,7 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     ordered = shared.groupBy("key", "n", "u").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("s"))
     ordered = ordered.withColumn("s", F.expr(f"slice(s, 1, CAST(greatest(0L, n - (({percent} * n + 99) div 100) + 1 - u) AS INT))"))
     tokens = cut(ordered.select("key", "n", F.posexplode("s").alias("at", "s"), "u").select("s.token", "key", "n", (F.col("u") + F.col("at")).alias("i"), (F.col("u") / F.col("n")).alias("w")))
+    release(docs.sparkSession)
     comps = _linked(kept, tokens, percent)
     discard(wanted, sets, counts, kept, tokens)
     named = classes.select("key", "first", "copies", F.col("key").alias("comp")) if comps is None else classes.join(comps, "key", "left").select("key", "first", "copies", F.coalesce("comp", "key").alias("comp"))
