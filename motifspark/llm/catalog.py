@@ -14,6 +14,10 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_warc": warc.op10_warc,
+    # What SQL can express of operators whose method adds columns of its own.
+    "license_phrases": license_scans.license_phrases,
+    "quality_statistics": quality_rules.quality_statistics,
+    "secret_base_spans": secret_scans.secret_base_spans,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -21,4 +25,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": decontamination.ORACLE_SQL,
     "op9_url_filters": url_filters.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
+    "license_phrases": license_scans.PHRASES_SQL,
+    "quality_statistics": quality_rules.STATISTICS_SQL,
+    "secret_base_spans": secret_scans.BASE_SQL,
 }

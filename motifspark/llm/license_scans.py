@@ -219,3 +219,19 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshol
 
 def op2_license_scans(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+def license_phrases(spark, sf_dir):
+    """The columns of op2_license_scans that SQL can express."""
+    return op2_license_scans(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def _places(phrase: str) -> str:
+    return "[a FOR a IN range(len(w)) IF " + " AND ".join(f"w[a + {i}] = '{word}'" for i, word in enumerate(phrase.split(), 1)) + "]"
+
+
+PHRASES_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, {", ".join(f"{_places(phrase)} AS p{i}" for i, phrase in enumerate(PHRASES))} FROM d),
+a AS (SELECT *, {" || ".join(f"p{i}" for i in range(len(PHRASES)))} AS every, {" || ".join(f"CASE WHEN len(p{i}) > 0 THEN ['{label}'] ELSE [] END" for i, label in enumerate(PHRASES.values()))} AS labels FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len(every) AS BIGINT) AS n_base, list_min(every) AS first_word, list_max(every) AS last_word, array_to_string(list_sort(labels), ',') AS base_labels FROM a"""

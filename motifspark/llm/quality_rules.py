@@ -134,3 +134,19 @@ def kept_documents(docs: DataFrame, **options) -> DataFrame:
 def op5_quality_rules(spark, sf_dir):
     judged = judge(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def quality_statistics(spark, sf_dir):
+    """The columns of op5_quality_rules that SQL can express."""
+    return op5_quality_rules(spark, sf_dir).drop("kept")
+
+
+STATISTICS_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, [l FOR l IN string_split(text, chr(10)) IF regexp_matches(l, '[^\\x20\\x09-\\x0D]')] AS l FROM t),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - {_WINDOW} + 2)) AS a FROM d WHERE len(w) > {_WINDOW}),
+g AS (SELECT doc_id, list(a) AS a FROM (SELECT doc_id, a, array_to_string(w[a : a + {_WINDOW - 1}], ' ') AS win FROM p) GROUP BY doc_id, win HAVING count(*) > 1),
+r AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(a, a + {_WINDOW})) AS place FROM (SELECT doc_id, unnest(a) AS a FROM g)) GROUP BY doc_id),
+s AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s"""

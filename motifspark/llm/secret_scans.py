@@ -8,6 +8,7 @@ that overlap are no complements, and what begins inside an endpoint is a piece o
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -143,3 +144,26 @@ def op6_secret_scans(spark, sf_dir):
     found = scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     count = lambda rank: F.expr(f"CAST(size(filter(base, s -> s.rank = {rank})) AS LONG)")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listing("base"), 256).alias("base_sha256"), listing("spans").alias("spans"))
+
+
+def secret_base_spans(spark, sf_dir):
+    """The columns of op6_secret_scans that SQL can express."""
+    return op6_secret_scans(spark, sf_dir).drop("spans")
+
+
+def _matches(kind: str, pattern: str, group: int, least: int) -> str:
+    """SQL of a base kind's matches with the text before each. Letters of either case are spelt out, as
+    DuckDB's own flag would add letters beyond ASCII."""
+    either = re.sub(r"\(\?i:(.*?)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")", pattern)
+    quoted = "'" + either.replace("'", "''") + "'"
+    columns = f"unnest(string_split_regex(text, {quoted})) AS gap, unnest(regexp_extract_all(text, {quoted})) AS m, unnest(regexp_extract_all(text, {quoted}, {group})) AS g"
+    return f"SELECT doc_id, '{kind}' AS kind, {ORDER.index(kind)} AS rank, {least} AS least, {columns}, unnest(range(len(text) + 1)) AS i FROM t WHERE regexp_matches(text, {quoted})"
+
+
+BASE_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(_matches(*base) for base in BASE)}),
+p AS (SELECT doc_id, kind, rank, least, m, g, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM m WHERE m IS NOT NULL),
+s AS (SELECT doc_id, kind, rank, CAST(e - length(m) AS BIGINT) AS b, CAST(e AS BIGINT) AS e FROM p WHERE length(g) >= least),
+a AS (SELECT doc_id, {", ".join(f"count(*) FILTER (rank = {i}) AS {name}" for i, name in enumerate(("n_assign", "n_access", "n_hex")))}, string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce({name}, 0) AS {name}" for name in ("n_assign", "n_access", "n_hex"))}, sha256(coalesce(spans, '')) AS base_sha256 FROM t LEFT JOIN a USING (doc_id)"""
