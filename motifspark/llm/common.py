@@ -74,6 +74,10 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Share of the driver's largest heap beyond which cut() lets go of what is not needed any more.
+HEAP_SHARE = 2 / 3
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to a table in the shared folder and read it again: the lineage ends there, a lost
     executor loses nothing, and what stands above is not computed twice. The table goes with discard(),
@@ -91,6 +95,10 @@ def cut(df: DataFrame) -> DataFrame:
     files.deleteOnExit(there)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut = path
+    # Plans that have run are garbage; collected before the driver's heap is full, they do not make it grow.
+    runtime = df.sparkSession._jvm.Runtime.getRuntime()
+    if runtime.totalMemory() > HEAP_SHARE * runtime.maxMemory():
+        release(df.sparkSession)
     return out
 
 
