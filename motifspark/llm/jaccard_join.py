@@ -15,8 +15,7 @@ has unconnected parts. Rounds take more and more pivots, so their number grows w
 a region's size.
 
 Prefixes take the rarest shingles first, by exact counts. Shingles count as equal if their 64-bit
-hashes are. Words of at most LONG_WORD bytes are hashed by a polynomial over their bytes, in which a
-whole slice of texts is hashed at once.
+hashes are; a word's hash mixes eight bytes after eight bytes, for all words of a slice of texts at once.
 """
 
 from __future__ import annotations
@@ -30,14 +29,13 @@ from pyspark.sql import functions as F
 from motifspark.llm.common import cut, discard, lookup, release, sliced, table
 
 SHINGLE, PERCENT = 4, 85
-#: Bytes that are hashed at once, and the longest word hashed by the polynomial.
-CHUNK, LONG_WORD = 1 << 17, 1 << 16
+#: Longest word in bytes that is hashed together with others, eight bytes of each at a time.
+LONG_WORD = 256
 #: Set keys by which a worker leaves out repeats.
 SEEN = 300_000
 #: The first round takes this multiple of the share of shingles in which linked sets may differ.
 SAMPLE = 1.75
-#: Base, its inverse, and the factors of the mixing steps.
-BASE = 0x9DDFEA08EB382D69
+#: Factors of the mixing steps.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 
 
@@ -57,12 +55,9 @@ class Shingler:
         import numpy as np
 
         self.size = size
-        count = CHUNK + LONG_WORD + 1
-        power = lambda base: np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(count, base, np.uint64), dtype=np.uint64)])
-        self.up, self.down = power(BASE), power(pow(BASE, -1, 1 << 64))
-        self.blank, self.lower = np.zeros(256, bool), np.arange(256, dtype=np.uint64)
+        self.blank, self.lower = np.zeros(256, bool), np.frombuffer(_LOWER, np.uint8)
         self.blank[[0x20, *range(0x09, 0x0E)]] = True
-        self.lower[0x41:0x5B] += 32
+        self.first = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
     def words(self, data, ends):
         """Hashes of the words of texts that stand one after the other in data and end at `ends`, and how
@@ -82,22 +77,19 @@ class Shingler:
         place = np.searchsorted(blanks, starts)
         stops = np.where(place < len(blanks), blanks[np.minimum(place, len(blanks) - 1)] if len(blanks) else len(data), len(data))
         stops = np.minimum(stops, np.append(starts[1:], len(data)))
-        out, at = np.empty(len(starts), np.uint64), 0
-        while at < len(starts):
-            low = starts[at]
-            to = max(at + 1, int(np.searchsorted(starts, low + CHUNK)))
-            if stops[to - 1] - starts[to - 1] > LONG_WORD:
-                to -= 1
-            if to == at:
-                word = bytes(data[low : stops[at]]).translate(_LOWER)
-                out[at], to = xxhash.xxh3_64_intdigest(word), at + 1
-            else:
-                high = stops[to - 1]
-                sums = np.zeros(high - low + 1, np.uint64)
-                np.cumsum(self.lower[data[low:high]] * self.up[: high - low], out=sums[1:])
-                s, e = starts[at:to] - low, stops[at:to] - low
-                out[at:to] = (sums[e] - sums[s]) * self.down[s] + (e - s).astype(np.uint64)
-            at = to
+        sizes = stops - starts
+        low = np.append(self.lower[data], np.zeros(8, np.uint8))
+        eight = np.ndarray(len(data) + 1, np.dtype("<u8"), low, strides=(1,))
+        # Each step mixes the next eight bytes into a word's hash; its length stands at the beginning.
+        out = sizes.astype(np.uint64)
+        at = np.flatnonzero(sizes <= LONG_WORD)
+        place, left = starts[at], sizes[at]
+        while len(at):
+            out[at] = _mixed(out[at] ^ (eight[place] & self.first[np.minimum(left, 8)]))
+            more = left > 8
+            at, place, left = at[more], place[more] + 8, left[more] - 8
+        for i in np.flatnonzero(sizes > LONG_WORD):
+            out[i] = xxhash.xxh3_64_intdigest(low[starts[i] : stops[i]])
         counts = np.searchsorted(starts, ends) - np.searchsorted(starts, firsts)
         return _mixed(out), counts
 

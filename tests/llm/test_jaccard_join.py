@@ -3,7 +3,7 @@ import re
 
 import pyarrow.parquet as pq
 
-from motifspark.llm.jaccard_join import jaccard_join
+from motifspark.llm.jaccard_join import Shingler, jaccard_join
 
 
 def brute(texts):
@@ -52,3 +52,25 @@ def test_documents(spark):
     assert texts["doc_id"] == list(range(len(texts["doc_id"])))
     out = jaccard_join(spark.createDataFrame(list(enumerate(texts["text"])), "doc_id long, text string")).collect()
     assert sorted(map(tuple, out)) == brute(texts["text"])
+
+
+def test_words_that_polynomials_confuse_do_not_link(spark):
+    # Thue-Morse words and their complements have equal hashes under any polynomial modulo 2^64.
+    rows = []
+    for bits in (7, 10, 11, 14):
+        word = "".join("ab"[i.bit_count() & 1] for i in range(1 << bits))
+        rows += [f"x y z {word}", f"x y z {word.translate(str.maketrans('ab', 'ba'))}"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join(docs).collect())) == [(i, 1, i) for i in range(len(rows))]
+
+
+def test_words_of_all_lengths_have_hashes_of_their_own():
+    import pyarrow as pa
+
+    words = [c * n for c in ("a", "b", "é", "\x00") for n in [*range(1, 40), 128, 255, 256, 257, 300]] + ["a" * n + "b" for n in range(1, 300)]
+    one = [x.tolist() for x in Shingler(4).hashes(pa.array(words))]
+    assert len({tuple(x) for x in one}) == len(set(words))
+    # A word's hash depends on its own bytes only, and A-Z count as a-z.
+    joined = Shingler(1).hashes(pa.array([" ".join(words).upper().replace("É", "é")]))[0]
+    apart = {x for w in words for x in Shingler(1).hashes(pa.array([w]))[0].tolist()}
+    assert set(joined.tolist()) == apart
