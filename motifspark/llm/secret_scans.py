@@ -23,11 +23,12 @@ BASE = [
     # Runs below the least length are never matches, and a run holds no match besides itself.
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 ]
-#: Weak kinds: pattern, and the part of a credential that it is.
+#: Weak kinds: pattern, and the part of a credential that it is. What an endpoint's scheme may be is bounded,
+#: and keys begin where their run does, so no pattern reads a long run again from each of its characters.
 WEAK = [
     ("identifier", r"""\b(?i:user(?:name)?|login|client_?id|account|access_?key(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]+)""", 1, 3),
     ("key", r"""(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{20,}={0,2}""", 0, 20),
-    ("endpoint", r"""\b(?:[a-z][a-z0-9+]*://[^\s"'<>]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.:/-]+)""", 0, 8),
+    ("endpoint", r"""\b(?:[a-z][a-z0-9+]{0,15}://[^\s"'<>]+|(?i:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.:/-]+)""", 0, 8),
 ]
 #: Part that each kind is, and the parts of which one must be near for a weak candidate.
 PART = {"assign": "secret", "hex": "secret", "key": "secret", "access": "identifier", "identifier": "identifier", "endpoint": "endpoint"}
