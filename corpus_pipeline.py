@@ -7,7 +7,7 @@ columns of documents. Every stage works on all that the one before it kept.
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from motifspark.llm.common import cut, table
+from motifspark.llm.common import cut, packed, table
 from motifspark.llm.decontamination import decontaminate
 from motifspark.llm.jaccard_join import jaccard_join
 from motifspark.llm.quality_rules import kept_documents
@@ -25,23 +25,27 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def _numbered(docs):
-    """docs with `_row`, which tells rows apart and is the same whenever they are read: a written table's
-    rows have their file and their place in it; any other table is written with a row number."""
-    try:
-        return docs.withColumn("_row", F.struct("_metadata.file_path", "_metadata.row_index"))
-    except AnalysisException:
-        return cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+    """(_own, id, text, row) of docs: `row` tells rows apart and is the same whenever they are read. Rows of
+    a table that is read as it stands have their file and their place in it; all others, of which several may
+    come from one row of a file, are written with a row number."""
+    plain = docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation" and "_metadata" not in docs.columns
+    if plain:
+        try:
+            return docs.select(packed(docs.columns), F.col("doc_id").alias("id"), "text", F.struct("_metadata.file_path", "_metadata.row_index").alias("row"))
+        except AnalysisException:  # a source whose rows have no place
+            pass
+    return cut(docs.select(packed(docs.columns), F.col("doc_id").alias("id"), "text", F.monotonically_increasing_id().alias("row")))
 
 
 def near_duplicates(spark, docs, sf_dir):
     """Of each group of near duplicates the row of the smallest id stays, null ids last; of equal
     ids the first row. Rows are told apart by their place in the table, so rows of null or repeated ids
-    stay if they are copies of nothing."""
+    stay if they are copies of nothing. Columns keep their values, whatever their names."""
     rows = _numbered(docs)
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    key = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     groups = jaccard_join(rows.select(key.alias("key"), "text"), shingle=NEAR_SHINGLE, percent=NEAR_PERCENT, id_col="key")
-    first = groups.where("key._row = component_id._row").select("key._row")
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    first = groups.where("key.row = component_id.row").select("key.row")
+    return rows.join(first, "row", "left_semi").select(*(F.col("_own")[c].alias(c) for c in docs.columns))
 
 
 def decontamination(spark, docs, sf_dir):
