@@ -72,3 +72,15 @@ def test_rows_of_null_and_repeated_ids(spark):
     for turn in (rows, rows[::-1]):
         docs = spark.createDataFrame(turn, "doc_id long, text string")
         assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, None).collect()), key=str) == sorted(want, key=str)
+
+
+def test_near_duplicates_of_exploded_rows_and_clashing_names(spark, tmp_path):
+    rows = [(1, text(1), 7, "x", 0, "m"), (2, text(2), 8, "y", 1, "n")]
+    spark.createDataFrame(rows, "doc_id long, text string, _row int, id string, row int, _metadata string").write.parquet(f"{tmp_path}/clash.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/clash.parquet")
+    assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, docs, None).collect())) == rows
+    # Two copies made from one row of a file are two rows.
+    plain = spark.read.parquet(f"{tmp_path}/clash.parquet").drop("_metadata")
+    twice = plain.selectExpr("*", "explode(array(1, 2)) AS copy")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, twice, None).collect()) == [1, 2]
+    assert corpus_pipeline.near_duplicates(spark, plain.limit(0), None).count() == 0
