@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and SQL where SQL can express them."""
 
-from motifspark.llm import decontamination, html_extraction, jaccard_join, license_scans, quality_rules, secret_scans, sentencepiece_codec, url_filters, warc
+from motifspark.llm import decontamination, hard_negatives, html_extraction, jaccard_join, license_scans, quality_rules, secret_scans, sentencepiece_codec, url_filters, warc
 from motifspark.llm.token_counts import op1_token_counts
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_decontamination": decontamination.op8_decontamination,
     "op9_url_filters": url_filters.op9_url_filters,
     "op10_warc": warc.op10_warc,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     # What SQL can express of operators whose method adds columns of its own.
     "license_phrases": license_scans.license_phrases,
     "quality_statistics": quality_rules.quality_statistics,
@@ -25,6 +26,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": decontamination.ORACLE_SQL,
     "op9_url_filters": url_filters.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
+    "op11_hard_negatives": hard_negatives.ORACLE_SQL,
     "license_phrases": license_scans.PHRASES_SQL,
     "quality_statistics": quality_rules.STATISTICS_SQL,
     "secret_base_spans": secret_scans.BASE_SQL,
