@@ -1,6 +1,6 @@
 """Registered queries of this subpackage, and SQL where SQL can express them."""
 
-from motifspark.llm import centroid_clustering, decontamination, hard_negatives, html_extraction, jaccard_join, license_scans, quality_rules, secret_scans, sentencepiece_codec, url_filters, warc
+from motifspark.llm import centroid_clustering, decontamination, document_fingerprints, hard_negatives, html_extraction, jaccard_join, license_scans, quality_rules, secret_scans, sentencepiece_codec, url_filters, warc
 from motifspark.llm.token_counts import op1_token_counts
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_hard_negatives": hard_negatives.op11_hard_negatives,
     "op12_centroid_clustering": centroid_clustering.op12_centroid_clustering,
+    "op13_document_fingerprints": document_fingerprints.op13_document_fingerprints,
     # What SQL can express of operators whose method adds columns of its own.
     "license_phrases": license_scans.license_phrases,
     "quality_statistics": quality_rules.quality_statistics,
@@ -29,6 +30,7 @@ ORACLE_SQL: dict[str, str] = {
     "op10_warc": warc.ORACLE_SQL,
     "op11_hard_negatives": hard_negatives.ORACLE_SQL,
     "op12_centroid_clustering": centroid_clustering.ORACLE_SQL,
+    "op13_document_fingerprints": document_fingerprints.ORACLE_SQL,
     "license_phrases": license_scans.PHRASES_SQL,
     "quality_statistics": quality_rules.STATISTICS_SQL,
     "secret_base_spans": secret_scans.BASE_SQL,
