@@ -76,10 +76,12 @@ def _fingerprints(rows: DataFrame, keys: list[str], texts: list[str], known: Dat
     numbers = range(len(texts))
     rows = rows.select(*keys, "_own", *(terms(f"`{t}`").alias(f"w{i}") for i, t in enumerate(texts)))
     rows = rows.withColumns({f"l{i}": F.expr(f"CAST(least({LEVELS - 1}, greatest(0, length(bin(size(w{i}))) - 2)) AS INT)") for i in numbers})
-    # One more element keeps the rows that have no term.
-    every = [f"transform(w{i}, w -> struct({i} AS text, l{i} AS level, w AS term))" for i in numbers] + ["array(struct(-1 AS text, 0 AS level, CAST(NULL AS STRING) AS term))"]
+    rows = rows.withColumns({f"b{i}": F.expr(f"CASE WHEN l{i} > 0 THEN {_bound(f'l{i}')} ELSE '' END") for i in numbers})
+    # Hashed before they are exploded, lest the filter hashes a term again for each subset. One more element
+    # keeps the rows that have no term.
+    every = [f"transform(w{i}, w -> struct({i} AS text, l{i} AS level, w AS term, concat(sha2(w, 256), md5(w)) AS sha, b{i} AS bound))" for i in numbers]
+    every += ["array(struct(-1 AS text, 0 AS level, CAST(NULL AS STRING) AS term, '' AS sha, '' AS bound))"]
     each = rows.select(*keys, "_own", *(f"l{i}" for i in numbers), F.explode(F.expr(f"concat({', '.join(every)})")).alias("e")).select("*", "e.*").drop("e")
-    each = each.withColumn("sha", F.concat(F.sha2("term", 256), F.md5("term"))).withColumn("bound", F.expr(f"CASE WHEN level > 0 THEN {_bound('level')} END"))
     member = " OR ".join(f"substring(sha, {4 * r + 1}, 4) < bound" for r in range(SUBSETS))
     each = each.where(f"level = 0 OR {member}")
     known = known.select(F.col("term").alias("_term"))
