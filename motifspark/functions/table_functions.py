@@ -16,7 +16,7 @@ def _search(text, pattern, k, circular):
     if k < 0:
         raise ValueError("k must not be negative")
     wanted = Patterns([pattern], k, circular, False)
-    for _, start, distance, rotation in wanted.search(codes(text), np.array([len(text)]), max(BLOCK, len(pattern)), circular):
+    for _, start, distance, rotation in wanted.search(codes(text), np.array([len(text)]), max(BLOCK, len(pattern))):
         yield from zip(start.tolist(), distance.tolist(), rotation.tolist())
 
 

@@ -12,6 +12,8 @@ from motifspark.streaming.chunks import chunked_search
 
 #: Mismatches of the searches, block of the blocked ones, and the longest part name that it allows.
 K, SMALL_BLOCK = 2, 64
+#: Starts of a range of the search in ranges; most documents are longer.
+SMALL_RANGE = 500
 #: Long words have at least this many characters.
 LONG_WORD = 10
 
@@ -87,6 +89,12 @@ def linear_scan(spark, sf_dir):
     return kmismatch(_parts(spark, sf_dir), _names(spark, sf_dir), K, strategy="scan")
 
 
+@query(_LINEAR)
+def linear_joined(spark, sf_dir):
+    """As linear_seed, with the patterns' seeds as a partitioned relation that the texts' seeds join."""
+    return kmismatch(_parts(spark, sf_dir), _names(spark, sf_dir), K, strategy="join")
+
+
 @query(_LINEAR)
 def linear_blocked(spark, sf_dir):
     return kmismatch(_parts(spark, sf_dir), _names(spark, sf_dir), K, block_size=SMALL_BLOCK)
@@ -103,6 +111,11 @@ def circular_scan(spark, sf_dir):
     return kmismatch(_parts(spark, sf_dir), _names(spark, sf_dir), K, circular=True, strategy="scan")
 
 
+@query(_CIRCULAR)
+def circular_joined(spark, sf_dir):
+    return kmismatch(_parts(spark, sf_dir), _names(spark, sf_dir), K, circular=True, strategy="join")
+
+
 @query(_CIRCULAR)
 def circular_blocked(spark, sf_dir):
     return kmismatch(_parts(spark, sf_dir), _names(spark, sf_dir), K, circular=True, block_size=SMALL_BLOCK)
@@ -142,6 +155,48 @@ def document_search_circular(spark, sf_dir):
     return kmismatch(_documents(spark, sf_dir), _items(spark, sf_dir), K, circular=True)
 
 
+@query(_in_documents(_ITEMS, K, False, 8))
+def document_search_ranges(spark, sf_dir):
+    """As document_search; texts longer than a range are cut into overlapping ones, which are spread."""
+    return kmismatch(_documents(spark, sf_dir), _items(spark, sf_dir), K, range_size=SMALL_RANGE)
+
+
+@query(_in_documents(_ITEMS, K, True, 8))
+def document_search_joined(spark, sf_dir):
+    """As document_search_circular, by a join of seeds."""
+    return kmismatch(_documents(spark, sf_dir), _items(spark, sf_dir), K, circular=True, strategy="join")
+
+
+@query(f"SELECT text_id, pattern_id, pos, distance FROM ({_in_documents(_ITEMS, K, False, 8)}) WHERE distance <= pattern_id % {K + 1}")
+def document_search_thresholds(spark, sf_dir):
+    """Every whole benchmark item in all documents, each with a number of mismatches of its own."""
+    items = _items(spark, sf_dir).withColumn("k", F.col("pattern_id") % (K + 1))
+    return kmismatch(_documents(spark, sf_dir), items, None)
+
+
+@query(f"""SELECT text_id, pattern_id, CAST(strlen(substr(text, 1, pos)) AS BIGINT) AS pos, CAST(strlen(substr(text, 1, pos)) + strlen(pattern_id) AS BIGINT) AS end_pos
+FROM ({_in_documents(_LONG, 0, False, LONG_WORD)}) JOIN documents ON doc_id = text_id""")
+def byte_scan(spark, sf_dir):
+    """The long words of the benchmark in all documents, both as bytes in UTF-8; places count bytes."""
+    texts, patterns = _documents(spark, sf_dir), _long_words(spark, sf_dir)
+    return multi_pattern_scan(texts.withColumn("text", F.col("text").cast("binary")), patterns.withColumn("pattern", F.col("pattern").cast("binary")))
+
+
+_SYMBOLS = "string_split(text, ' ')"
+
+
+@query(f"""
+WITH x AS (SELECT item_id, {_SYMBOLS} AS x FROM benchmark), p AS (SELECT item_id, x, len(x) AS m, unnest(range(0, {K + 1})) * (len(x) // {K + 1}) AS off FROM x),
+w AS (SELECT doc_id, {_SYMBOLS} AS w FROM documents), q AS (SELECT doc_id, unnest(w) AS s, unnest(range(0, len(w))) AS place FROM w),
+c AS (SELECT DISTINCT doc_id, item_id, place - off AS pos FROM q JOIN p ON s = x[off + 1] WHERE place >= off),
+d AS (SELECT doc_id, item_id, pos, len(list_filter(range(1, len(x) + 1), lambda i: x[i] <> w[pos + i])) AS distance FROM c JOIN x USING (item_id) JOIN w USING (doc_id) WHERE pos + len(x) <= len(w))
+SELECT doc_id AS text_id, item_id AS pattern_id, CAST(pos AS BIGINT) AS pos, CAST(distance AS INTEGER) AS distance FROM d WHERE distance <= {K}""")
+def symbol_search(spark, sf_dir):
+    """Every benchmark item in all documents, words being the symbols, two mismatches."""
+    split = lambda column: F.split(column, " ")
+    return kmismatch(_documents(spark, sf_dir).withColumn("text", split("text")), _items(spark, sf_dir).withColumn("pattern", split("pattern")), K)
+
+
 @query(_in_documents(_LONG, 1, False, LONG_WORD // 2))
 def document_words(spark, sf_dir):
     """The long words of the benchmark in all documents, one mismatch."""
@@ -182,7 +237,8 @@ def multi_pattern_events(spark, sf_dir):
 
 @query(f"SELECT text_id, end_pos, min(pattern_id) AS pattern_id FROM ({_EVENTS}) e WHERE end_pos = (SELECT min(end_pos) FROM ({_EVENTS}) f WHERE f.text_id = e.text_id) GROUP BY text_id, end_pos")
 def first_match_early_stop(spark, sf_dir):
-    return shaping.first_event(multi_pattern_scan(_parts(spark, sf_dir), _event_patterns(spark, sf_dir)))
+    """The first place of each part name at which a pattern ends; names are read no further."""
+    return shaping.first_event(multi_pattern_scan(_parts(spark, sf_dir), _event_patterns(spark, sf_dir), stop_after=1))
 
 
 @query("SELECT p_partkey AS pattern_id, CASE WHEN length(coalesce(p_name, '')) = 0 THEN 'empty' WHEN length(p_name) > 10 THEN 'long' WHEN p_partkey > min(p_partkey) OVER (PARTITION BY p_name) THEN 'duplicate' ELSE 'ok' END AS status FROM part")
@@ -402,14 +458,15 @@ def best_match_topk(spark, sf_dir):
 
 @query(f"SELECT doc_id AS text_id, text FROM documents WHERE doc_id IN (SELECT text_id FROM ({_in_documents(_ITEMS, K, False, 8)}))")
 def docs_with_match(spark, sf_dir):
+    """Documents are read until their first match."""
     docs = _documents(spark, sf_dir)
-    return shaping.texts_with_match(docs, document_search(spark, sf_dir))
+    return shaping.texts_with_match(docs, kmismatch(docs, _items(spark, sf_dir), K, stop_after=1))
 
 
 @query(f"SELECT doc_id AS text_id, text FROM documents WHERE doc_id NOT IN (SELECT text_id FROM ({_in_documents(_ITEMS, K, False, 8)}))")
 def docs_without_match(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    return shaping.texts_without_match(docs, document_search(spark, sf_dir))
+    return shaping.texts_without_match(docs, kmismatch(docs, _items(spark, sf_dir), K, stop_after=1))
 
 
 # Keyed pattern store.

@@ -62,7 +62,7 @@ def stream_search(chunks: DataFrame, patterns: list[tuple[int, str]], k: int) ->
                 base, tail = 0, ""
             joined = tail + text
             if text:
-                for number, start, distance, _ in wanted.search(codes(joined), np.array([len(joined)]), max(BLOCK, wanted.longest), False):
+                for number, start, distance, _ in wanted.search(codes(joined), np.array([len(joined)]), max(BLOCK, wanted.longest)):
                     for n, at, d in zip(number.tolist(), start.tolist(), distance.tolist()):
                         if at + wanted.sizes[n] > len(tail):
                             out.append((key[0], names[n], base + at, d))
