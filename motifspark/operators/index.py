@@ -104,16 +104,23 @@ def lcp_array(suffixes: DataFrame) -> DataFrame:
     return suffixes.select("text_id", "rank", "lcp")
 
 
-def range_minimum(values: DataFrame, ranges: DataFrame, longest: int) -> DataFrame:
+def range_minimum(values: DataFrame, ranges: DataFrame, longest: int | None = None) -> DataFrame:
     """ranges (text_id, low, high) with `least`, the least lcp of the ranks from low to high, both counted
-    in; null for an empty range. values are (text_id, rank, lcp) with one row a rank, ranks below
-    `longest`. A sparse table of minima over 2^l ranks answers every range by two equi-joins."""
-    levels = max(1, longest.bit_length())
+    in; null for an empty range. values are (text_id, rank, lcp) with one row a rank. A sparse table of
+    minima over 2^l ranks answers every range by two equi-joins; each of its levels is the least of two
+    rows of the level below, so a level costs the same for each rank. `longest`, a bound of the ranges'
+    lengths, saves a look for it; a longer range raises."""
+    if longest is None:
+        longest = ranges.agg(F.max(F.col("high") - F.col("low") + 1)).first()[0] or 1
+    levels = max(1, int(longest).bit_length())
     order = Window.partitionBy("text_id").orderBy("rank")
-    minima = F.array(*(F.min("lcp").over(order.rowsBetween(0, (1 << level) - 1)) for level in range(levels)))
-    table = values.select(F.col("text_id").alias("_t"), F.col("rank").alias("_r"), minima.alias("_minima"))
-    table = table.select("_t", "_r", F.posexplode("_minima").alias("_level", "_least"))
-    asked = ranges.withColumn("_l", F.when(F.col("high") >= F.col("low"), F.floor(F.log2((F.col("high") - F.col("low") + 1).cast("double")) + 1e-9).cast("int")))
+    table = values.select(F.col("text_id"), F.col("rank"), F.col("lcp").alias("_0"))
+    for level in range(1, levels):
+        table = table.withColumn(f"_{level}", F.least(f"_{level - 1}", F.lead(f"_{level - 1}", 1 << (level - 1)).over(order)))
+    table = table.select(F.col("text_id").alias("_t"), F.col("rank").alias("_r"), F.posexplode(F.array(*(f"_{level}" for level in range(levels)))).alias("_level", "_least"))
+    size = F.col("high") - F.col("low") + 1
+    exponent = F.floor(F.log2(size.cast("double")) + 1e-9).cast("int")
+    asked = ranges.withColumn("_l", F.when(size > longest, F.raise_error(F.lit("a range is longer than `longest`")).cast("int")).when(size > 0, exponent))
     first = table.withColumnRenamed("_least", "_a")
     second = table.withColumnRenamed("_least", "_b")
     own = lambda at: F.expr(f"text_id <=> _t AND _l = _level AND _r = {at}")
@@ -122,10 +129,10 @@ def range_minimum(values: DataFrame, ranges: DataFrame, longest: int) -> DataFra
     return asked.withColumn("least", F.least("_a", "_b")).drop("_a", "_b")
 
 
-def common_extension(suffixes: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
+def common_extension(suffixes: DataFrame, pairs: DataFrame, longest: int | None = None) -> DataFrame:
     """pairs (text_id, i, j) with `lce`, how far the suffixes at i and j agree: the least lcp between their
     ranks, or the rest of the text for i = j. Places outside of the text give 0; null places null.
-    suffixes are suffix_array's rows, of ids that do not repeat, in texts of at most `longest` characters."""
+    suffixes are suffix_array's rows, of ids that do not repeat; `longest` as range_minimum."""
     at = lambda name: suffixes.select(F.col("text_id").alias(f"_{name}t"), F.col("pos").alias(f"_{name}p"), F.col("rank").alias(f"_{name}r"))
     sizes = suffixes.groupBy(F.col("text_id").alias("_n")).agg(F.count("*").cast("int").alias("_size"))
     rows = pairs.join(at("a"), F.expr("text_id <=> _at AND i = _ap"), "left").join(at("b"), F.expr("text_id <=> _bt AND j = _bp"), "left").join(sizes, F.expr("text_id <=> _n"), "left")

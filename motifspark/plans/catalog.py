@@ -4,11 +4,14 @@ Texts are all part names, documents, conversations; patterns are all different p
 whole benchmark items and their long words, region and nation names: whole tables, nothing cut.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from motifspark.operators import hamming, index, prepare, shaping, store
 from motifspark.operators.search import kmismatch, multi_pattern_scan
-from motifspark.streaming.chunks import chunked_search
+from motifspark.operators.tables import shared_dir
+from motifspark.streaming.chunks import chunked_search, stream_events
 
 #: Mismatches of the searches, block of the blocked ones, and the longest part name that it allows.
 K, SMALL_BLOCK = 2, 64
@@ -259,18 +262,56 @@ def trie_edges(spark, sf_dir):
 
 # Chunked search.
 
-@query(f"""
-WITH t AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS t FROM conversations GROUP BY conv_id), x AS ({_LONG}),
-h AS (SELECT conv_id, t, x FROM t, x WHERE contains(t, substr(x, 1, length(x) // 2)) OR contains(t, substr(x, length(x) // 2 + 1, length(x) // 2))),
-w AS (SELECT conv_id, x, pos, substr(t, pos + 1, length(x)) AS w FROM (SELECT *, unnest(range(0, length(t) - length(x) + 1)) AS pos FROM h WHERE length(t) >= length(x))),
-d AS (SELECT conv_id, x, pos, {_DIFFER.format(x="x", w="w", at="")} AS distance FROM w WHERE substr(w, 1, length(x) // 2) = substr(x, 1, length(x) // 2) OR substr(w, length(x) // 2 + 1, length(x) // 2) = substr(x, length(x) // 2 + 1, length(x) // 2))
-SELECT conv_id AS stream, CAST(0 AS BIGINT) AS era, x AS pattern_id, CAST(pos AS BIGINT) AS pos, CAST(distance AS INTEGER) AS distance FROM d WHERE distance <= 1""")
+def _in_conversations(era: str) -> str:
+    """SQL of the search for long words in conversations that begin anew where `era` counts one more."""
+    return f"""
+WITH e AS (SELECT conv_id, turn, text, {era} AS era FROM conversations), t AS (SELECT conv_id, era, string_agg(text, '' ORDER BY turn) AS t FROM e GROUP BY conv_id, era), x AS ({_LONG}),
+h AS (SELECT conv_id, era, t, x FROM t, x WHERE contains(t, substr(x, 1, length(x) // 2)) OR contains(t, substr(x, length(x) // 2 + 1, length(x) // 2))),
+w AS (SELECT conv_id, era, x, pos, substr(t, pos + 1, length(x)) AS w FROM (SELECT *, unnest(range(0, length(t) - length(x) + 1)) AS pos FROM h WHERE length(t) >= length(x))),
+d AS (SELECT conv_id, era, x, pos, {_DIFFER.format(x="x", w="w", at="")} AS distance FROM w WHERE substr(w, 1, length(x) // 2) = substr(x, 1, length(x) // 2) OR substr(w, length(x) // 2 + 1, length(x) // 2) = substr(x, length(x) // 2 + 1, length(x) // 2))
+SELECT conv_id AS stream, CAST(era AS BIGINT) AS era, x AS pattern_id, CAST(pos AS BIGINT) AS pos, CAST(distance AS INTEGER) AS distance FROM d WHERE distance <= 1"""
+
+
+_RESETS = "sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn)"
+
+
+def _turns(rows, reset):
+    return rows.select(F.col("conv_id").alias("stream"), F.col("turn").alias("seq"), "text", reset.alias("reset"))
+
+
+@query(_in_conversations("0"))
 def conversation_search(spark, sf_dir):
     """The long words of the benchmark in whole conversations, whose turns are chunks; one mismatch."""
-    chunks = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("stream"), F.col("turn").alias("seq"), "text", F.lit(False).alias("reset"))
-    patterns = _long_words(spark, sf_dir)
-    longest = patterns.agg(F.coalesce(F.max(F.length("pattern")), F.lit(1))).first()[0]
-    return chunked_search(chunks, patterns, 1, longest)
+    return chunked_search(_turns(_table(spark, sf_dir, "conversations"), F.lit(False)), _long_words(spark, sf_dir), 1)
+
+
+@query(_in_conversations(_RESETS))
+def conversation_resets(spark, sf_dir):
+    """As conversation_search; each turn of a user resets the text, so matches reach into answers only."""
+    return chunked_search(_turns(_table(spark, sf_dir, "conversations"), F.col("role") == "user"), _long_words(spark, sf_dir), 1)
+
+
+@query(_in_conversations(_RESETS))
+def conversation_stream(spark, sf_dir):
+    """As conversation_resets, over the turns as a stream that keeps each conversation's state."""
+    words = [r[0] for r in _long_words(spark, sf_dir).select("pattern").collect()]
+    batch = _table(spark, sf_dir, "conversations")
+    folder = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    # The turns are written once in the shared folder, as a stream reads folders only.
+    batch.write.parquet(f"{folder}/in")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        turns = _turns(spark.readStream.schema(batch.schema).parquet(f"{folder}/in"), F.col("role") == "user")
+        events = stream_events(turns, list(enumerate(words)), 1)
+        running = events.writeStream.option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        running.awaitTermination()
+    finally:
+        spark.conf.set(store, before) if before is not None else spark.conf.unset(store)
+    found = spark.read.schema(events.schema).parquet(f"{folder}/out").where("kind = 'match'")
+    names = F.array(*map(F.lit, words)) if words else F.array(F.lit(""))
+    return found.select(F.col("stream").cast("long").alias("stream"), "era", F.element_at(names, (F.col("pattern_id") + 1).cast("int")).alias("pattern_id"), "pos", "distance")
 
 
 # Preparation.
