@@ -4,7 +4,7 @@ The lexicon holds the terms whose inverse document frequency lies in a band. A t
 the lexicon knows; each of SUBSETS random subsets of the lexicon gives one hash, that of the text's
 sorted distinct terms in it. Texts that differ in a few terms agree in the subsets that none of these is in.
 
-Whether a term is in a subset follows from hashes of the term, at a rate of 2^-level, and a subset of one
+Whether a term is in a subset follows from the term's sha256, at a rate of 2^-level, and a subset of one
 level holds that of the next. A text's level follows from its number of distinct terms: a subset of that
 level holds two to four of them, one of the next level one or two, so texts of all lengths have subsets
 that small edits leave alone. A fingerprint has the hashes of both levels.
@@ -25,8 +25,8 @@ from motifspark.llm.common import cut, packed, table, unpacked
 
 #: The band: terms that stand in at least and at most these shares of all texts.
 LEAST_SHARE, MOST_SHARE = 1 / 1000, 1 / 2
-#: Subsets of a level, and levels; each subset has four hexadecimal digits of a term's sha256 and md5.
-SUBSETS, LEVELS = 24, 16
+#: Subsets of a level, and levels; each subset has four hexadecimal digits of a term's sha256.
+SUBSETS, LEVELS = 12, 16
 #: Hexadecimal digits of a subset's hash, and terms of a lexicon that is broadcast.
 DIGITS, BROADCAST = 6, 1_000_000
 
@@ -47,13 +47,15 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST_SHARE,
     return cut(found.where(f"df >= {least!r}D * {n} AND df <= {most!r}D * {n}").select("term"))
 
 
-def _bound(level: str) -> str:
-    """What four digits must be below for a term to be in a subset of the level."""
-    return f"element_at(array({', '.join(repr(f'{1 << 16 - i:04x}') for i in range(1, LEVELS + 1))}), {level})"
+def _by_level(values: list[str], level: str) -> str:
+    """The value of a level; level 0 has the first."""
+    return f"element_at(array({', '.join(map(repr, values))}), {level} + 1)"
 
 
-def _subset(picked: str, number: str, level: str) -> str:
-    return f"CASE WHEN {level} = 0 THEN {picked} ELSE filter({picked}, s -> substring(s.sha, 4 * {number} + 1, 4) < {_bound(level)}) END"
+#: What a subset's four digits must be below for a term to be in it: at level 0, all are.
+_BOUNDS = ["g", *(f"{1 << 16 - i:04x}" for i in range(1, LEVELS + 1))]
+#: What a sha256 matches if its term is in any subset of a level.
+_ANY = ["", *(f"^(?:....){{0,{SUBSETS - 1}}}?{'0' * (i // 4)}{('', '[0-7]', '[0-3]', '[01]')[i % 4]}" for i in range(1, LEVELS + 1))]
 
 
 def _bound_to(name: str, value: str, body: str) -> str:
@@ -61,13 +63,15 @@ def _bound_to(name: str, value: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _hashed(picked: str, level: str) -> str:
-    """The fingerprint (level, coarse, fine) of the sorted picked terms; null if there are none."""
-    digest = lambda s: f"CASE WHEN size({s}) = 0 THEN '' ELSE left(md5(array_join(transform({s}, x -> x.term), ' ')), {DIGITS}) END"
-    both = _bound_to("c", _subset("known", "r", level), _bound_to("f", _subset("c", "r", f"{level} + 1"), f"struct({digest('c')} AS coarse, {digest('f')} AS fine)"))
+def _hashed(picked: str, level: str, coarse: str, fine: str) -> str:
+    """The fingerprint (level, coarse, fine) of the sorted picked terms, by the bounds of both levels; null if
+    there are none."""
+    subset = lambda terms, bound: f"filter({terms}, s -> substring(s.sha, 4 * r + 1, 4) < {bound})"
+    digest = lambda s: f"CASE WHEN size({s}) = 0 THEN '' ELSE left(md5(array_join({s}.term, ' ')), {DIGITS}) END"
+    both = _bound_to("c", subset("known", coarse), _bound_to("f", subset("c", fine), f"struct({digest('c')} AS coarse, {digest('f')} AS fine)"))
     hashes = f"transform(sequence(0, {SUBSETS - 1}), r -> {both})"
     known = f"CASE WHEN exists({picked}, s -> s.known) THEN filter({picked}, s -> s.known) ELSE {picked} END"
-    whole = _bound_to("known", known, _bound_to("h", hashes, f"struct({level} AS level, transform(h, x -> x.coarse) AS coarse, transform(h, x -> x.fine) AS fine)"))
+    whole = _bound_to("known", known, _bound_to("h", hashes, f"struct({level} AS level, h.coarse AS coarse, h.fine AS fine)"))
     return f"CASE WHEN size({picked}) > 0 THEN {whole} END"
 
 
@@ -76,19 +80,18 @@ def _fingerprints(rows: DataFrame, keys: list[str], texts: list[str], known: Dat
     numbers = range(len(texts))
     rows = rows.select(*keys, "_own", *(terms(f"`{t}`").alias(f"w{i}") for i, t in enumerate(texts)))
     rows = rows.withColumns({f"l{i}": F.expr(f"CAST(least({LEVELS - 1}, greatest(0, length(bin(size(w{i}))) - 2)) AS INT)") for i in numbers})
-    rows = rows.withColumns({f"b{i}": F.expr(f"CASE WHEN l{i} > 0 THEN {_bound(f'l{i}')} ELSE '' END") for i in numbers})
-    # Hashed before they are exploded, lest the filter hashes a term again for each subset. One more element
-    # keeps the rows that have no term.
-    every = [f"transform(w{i}, w -> struct({i} AS text, l{i} AS level, w AS term, concat(sha2(w, 256), md5(w)) AS sha, b{i} AS bound))" for i in numbers]
-    every += ["array(struct(-1 AS text, 0 AS level, CAST(NULL AS STRING) AS term, '' AS sha, '' AS bound))"]
-    each = rows.select(*keys, "_own", *(f"l{i}" for i in numbers), F.explode(F.expr(f"concat({', '.join(every)})")).alias("e")).select("*", "e.*").drop("e")
-    member = " OR ".join(f"substring(sha, {4 * r + 1}, 4) < bound" for r in range(SUBSETS))
-    each = each.where(f"level = 0 OR {member}")
+    rows = rows.withColumns({f"b{i}": F.expr(_by_level(_BOUNDS, f"l{i}")) for i in numbers} | {f"c{i}": F.expr(_by_level(_BOUNDS, f"l{i} + 1")) for i in numbers})
+    facts = [f"{c}{i}" for c in "lbc" for i in numbers]
+    # One more text without terms keeps the rows that have none.
+    every = [f"struct({i} AS text, {_by_level(_ANY, f'l{i}')} AS member, w{i} AS terms)" for i in numbers] + ["struct(-1 AS text, '' AS member, array(CAST(NULL AS STRING)) AS terms)"]
+    each = rows.select(*keys, "_own", *facts, F.explode(F.expr(f"array({', '.join(every)})")).alias("e"))
+    each = each.select(*keys, "_own", *facts, "e.text", "e.member", F.explode("e.terms").alias("term")).withColumn("sha", F.sha2("term", 256))
+    each = each.where("text = -1 OR sha RLIKE member")
     known = known.select(F.col("term").alias("_term"))
     found = each.join(F.broadcast(known) if known.count() <= BROADCAST else known, F.col("term") == F.col("_term"), "left")
     picked = lambda i: F.sort_array(F.collect_list(F.when((F.col("text") == i) & F.col("term").isNotNull(), F.struct("term", "sha", F.col("_term").isNotNull().alias("known")))))
-    found = found.groupBy(*keys).agg(F.first("_own").alias("_own"), *(F.first(f"l{i}").alias(f"l{i}") for i in numbers), *(picked(i).alias(f"p{i}") for i in numbers))
-    return found.select(*keys, "_own", *(F.expr(_hashed(f"p{i}", f"l{i}")).alias(f"f{i}") for i in numbers))
+    found = found.groupBy(*keys).agg(F.first("_own").alias("_own"), *(F.first(c).alias(c) for c in facts), *(picked(i).alias(f"p{i}") for i in numbers))
+    return found.select(*keys, "_own", *(F.expr(_hashed(f"p{i}", f"l{i}", f"b{i}", f"c{i}")).alias(f"f{i}") for i in numbers))
 
 
 def written(fingerprint: str) -> Column:
@@ -166,8 +169,7 @@ def op13_document_fingerprints(spark, sf_dir):
 
 def _sql() -> str:
     words = rf"list_filter(list_distinct(regexp_extract_all(translate(t, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')), lambda x: x <> '')"
-    bound = lambda level: f"['{"', '".join(f'{1 << 16 - i:04x}' for i in range(1, LEVELS + 1))}'][{level}]"
-    inside = lambda level: f"({level} = 0 OR substr(sha, 4 * n + 1, 4) < {bound(level)})"
+    inside = lambda level: f"substr(sha, 4 * n + 1, 4) < {_BOUNDS}[{level} + 1]"
     hashed = lambda level: f"coalesce(left(md5(string_agg(term, ' ' ORDER BY term) FILTER ({inside(level)})), {DIGITS}), '')"
     text = lambda f: f"coalesce({f}.level || ':' || array_to_string({f}.coarse, ',') || ';' || array_to_string({f}.fine, ','), '')"
     pairs = lambda a, b: f"CASE {a}.level - {b}.level WHEN 0 THEN list_zip({a}.fine, {b}.fine) WHEN -1 THEN list_zip({a}.fine, {b}.coarse) WHEN 1 THEN list_zip({a}.coarse, {b}.fine) ELSE [] END"
@@ -180,7 +182,7 @@ e AS MATERIALIZED (SELECT d.r, d.doc_id, d.n, d.t, d.total, left(d.t, d.n - d.n
 w AS (SELECT r, which, {words} AS w FROM (SELECT r, 0 AS which, t FROM e UNION ALL SELECT r, 1, edited FROM e)),
 l AS MATERIALIZED (SELECT r, which, greatest(0, least({LEVELS - 1}, length(bin(len(w))) - 2)) AS level, unnest(w) AS term FROM w WHERE len(w) > 0),
 k AS (SELECT term, true AS known FROM l WHERE which = 0 GROUP BY term HAVING count(*) >= {LEAST_SHARE!r}::DOUBLE * (SELECT count(*) FROM d) AND count(*) <= {MOST_SHARE!r}::DOUBLE * (SELECT count(*) FROM d)),
-s AS (SELECT r, which, level, term, sha256(term) || md5(term) AS sha, coalesce(known, false) AS known FROM l LEFT JOIN k USING (term)),
+s AS (SELECT r, which, level, term, sha256(term) AS sha, coalesce(known, false) AS known FROM l LEFT JOIN k USING (term)),
 p AS (SELECT * FROM s WHERE len(list_filter(range({SUBSETS}), lambda n: {inside('level')})) > 0),
 q AS (SELECT *, unnest(range({SUBSETS})) AS n FROM (SELECT *, bool_or(known) OVER (PARTITION BY r, which) AS any_known FROM p) WHERE known OR NOT any_known),
 h AS (SELECT r, which, level, n, {hashed('level')} AS c, {hashed('level + 1')} AS f FROM q GROUP BY r, which, level, n),

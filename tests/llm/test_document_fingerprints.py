@@ -20,7 +20,7 @@ def brute(text, known):
     if not own:
         return None
     level = max(0, min(LEVELS - 1, len(own).bit_length() - 2))
-    code = {t: hashlib.sha256(t.encode()).hexdigest() + hashlib.md5(t.encode()).hexdigest() for t in own}
+    code = {t: hashlib.sha256(t.encode()).hexdigest() for t in own}
     inside = lambda t, n, at: at == 0 or int(code[t][4 * n : 4 * n + 4], 16) < 1 << 16 - at
     picked = {t for t in own if any(inside(t, n, level) for n in range(SUBSETS))}
     picked = picked & known or picked
