@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from motifspark.operators import hamming, index, prepare, shaping, store
+from motifspark.operators.corpus_index import CorpusIndex
 from motifspark.operators.search import kmismatch, multi_pattern_scan
 from motifspark.operators.tables import shared_dir
 from motifspark.streaming.chunks import chunked_search, stream_events
@@ -406,6 +407,18 @@ def lcp_array(spark, sf_dir):
     return index.lcp_array(index.suffix_array(_parts(spark, sf_dir)))
 
 
+_CORPUS = """SELECT rank, text_id, pos, CASE WHEN before IS NULL THEN 0 ELSE {agree} END AS lcp FROM (
+  SELECT p_partkey AS text_id, pos, suffix, row_number() OVER w - 1 AS rank, lag(suffix) OVER w AS before
+  FROM (SELECT p_partkey, pos, substr(p_name, pos + 1) AS suffix FROM (SELECT p_partkey, p_name, unnest(range(0, length(p_name))) AS pos FROM part))
+  WINDOW w AS (ORDER BY suffix, p_partkey, pos))""".format(agree=_AGREE.format(a="suffix", b="before"))
+
+
+@query(f"SELECT rank, text_id, CAST(pos AS INTEGER) AS pos, CAST(lcp AS INTEGER) AS lcp FROM ({_CORPUS})")
+def corpus_suffix_array(spark, sf_dir):
+    """All suffixes of all part names in one order, and how far each agrees with the one before it."""
+    return CorpusIndex(_parts(spark, sf_dir)).lcp_array()
+
+
 def _longest(texts):
     return texts.agg(F.coalesce(F.max(F.length("text")), F.lit(1))).first()[0]
 
