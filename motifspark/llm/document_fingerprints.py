@@ -26,7 +26,7 @@ from motifspark.llm.common import cut, packed, table, unpacked
 #: The band: terms that stand in at least and at most these shares of all texts.
 LEAST_SHARE, MOST_SHARE = 1 / 1000, 1 / 2
 #: Subsets of a level, and levels; each subset has four hexadecimal digits of a term's sha256.
-SUBSETS, LEVELS = 12, 16
+SUBSETS, LEVELS = 14, 16
 #: Hexadecimal digits of a subset's hash, and terms of a lexicon that is broadcast.
 DIGITS, BROADCAST = 6, 1_000_000
 
