@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +42,49 @@ def walk(store: DataFrame, prefix: str) -> DataFrame:
     return rows.groupBy(symbol).agg(F.count("*").alias("keys"), F.max((F.length("key") == len(prefix) + 1).cast("int")).cast("boolean").alias("terminal"))
 
 
-def save(store: DataFrame, path: str) -> None:
-    store.select("key", "value").write.mode("overwrite").parquet(path)
-
-
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("key", "value")
+def _folder(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of a saved store that have been committed, ascending."""
+    files, log = _folder(spark, f"{path}/log")
+    return sorted(int(f.getPath().getName()) for f in files.listStatus(log)) if files.exists(log) else []
+
+
+def save(store: DataFrame, path: str, keep: int = 2) -> int:
+    """A new version of the store at path, whose number is returned; the last `keep` versions stay.
+
+    Its files are written first, each a range of sorted keys, so that a filter on a prefix reads the files of
+    that prefix only. Then one small file, created only if it is not there, makes the version the
+    current one: a run that dies before that leaves the one before it, readers see whole versions, and of two
+    savers at once the second raises. So what was loaded from path may be saved to it."""
+    if keep < 1:
+        raise ValueError("keep must be positive")
+    spark = store.sparkSession
+    before = versions(spark, path)
+    number = before[-1] + 1 if before else 0
+    name = f"data/{number:012d}-{uuid.uuid4().hex}"
+    store.select("key", "value").repartitionByRange("key").sortWithinPartitions("key").write.parquet(f"{path}/{name}")
+    files, pointer = _folder(spark, f"{path}/log/{number:012d}")
+    out = files.create(pointer, False)
+    out.write(bytearray(name.encode()))
+    out.close()
+    for old in before[: max(0, len(before) + 1 - keep)]:
+        data = _folder(spark, f"{path}/{_name(spark, path, old)}")[1]
+        files.delete(_folder(spark, f"{path}/log/{old:012d}")[1], False)
+        files.delete(data, True)
+    return number
+
+
+def _name(spark: SparkSession, path: str, version: int) -> str:
+    return spark.read.text(f"{path}/log/{version:012d}").first()[0]
+
+
+def load(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The current version of a saved store, or one of those that are kept."""
+    found = versions(spark, path)
+    if not found or version not in (None, *found):
+        raise ValueError("there is no such store or version")
+    return spark.read.parquet(f"{path}/{_name(spark, path, found[-1] if version is None else version)}").select("key", "value")
