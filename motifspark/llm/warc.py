@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +31,11 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 BUNDLES = "bundle string, data binary, index array<struct<id:string,frame:int,offset:long>>"
 
 
+def _quoted(text: str) -> str:
+    """Blanks, control characters, % and > as their bytes in hexadecimal, so that no identifier breaks a header."""
+    return "".join(c if c > " " and c not in "%>\x7f\x85\u2028\u2029" else "".join(f"%{b:02X}" for b in c.encode()) for c in text)
+
+
 def record(page, url, payload: bytes, digest: str, refers) -> bytes:
     """One WARC record. A revisit has the digest and size of the payload but not the payload."""
     block = HTTP if refers is not None else HTTP + payload
@@ -38,12 +44,12 @@ def record(page, url, payload: bytes, digest: str, refers) -> bytes:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page is None else page}>",
+        f"WARC-Record-ID: <urn:page:{'' if page is None else _quoted(str(page))}>",
         f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {uri}"] if uri else []),
         f"WARC-Payload-Digest: sha256:{digest}",
         f"X-Payload-Length: {len(payload)}",
-        *([] if refers is None else [f"WARC-Refers-To: <urn:page:{refers}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
+        *([] if refers is None else [f"WARC-Refers-To: <urn:page:{_quoted(str(refers))}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -150,7 +156,7 @@ def read_bundles(bundles: DataFrame, id_type: str = "long") -> DataFrame:
     identifier without any characters is null."""
 
     def identifier(text):
-        return text.removeprefix("<urn:page:").removesuffix(">") or None
+        return unquote(text.removeprefix("<urn:page:").removesuffix(">")) or None
 
     def read(batches):
         kinds = [("page_id", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("url", pa.string()), ("payload", pa.binary())]

@@ -18,3 +18,14 @@ def test_round_trip_revisits_and_seeks(spark):
     named = pages.selectExpr("concat('p', page_id) AS page_id", "url", "html")
     assert {(r["page_id"], r["refers_to"]) for r in warc.read_bundles(warc.write_bundles(named), "string").collect()} == {(None if i is None else f"p{i}", "p3" if h == long and i != 3 else None) for i, _, h, _ in rows}
     assert warc.read_bundles(warc.write_bundles(pages.limit(0))).count() == 0
+
+
+def test_identifiers_of_any_characters_and_repeated_rows(spark):
+    names = ["a\r\nWARC-Type: revisit", "50% > 40%", " blank ", "é 日本", "%41", "plain"]
+    same = "<p>" + "x" * 200
+    rows = [(n, f"http://a/{i}", same, n, b"x") for i, n in enumerate(names)] * 2 + [("zero", None, None, "z", b"y")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string, data string, bundle binary")
+    found = warc.read_bundles(warc.write_bundles(pages), "string").select("page_id", "record_type", "refers_to", "payload_bytes").collect()
+    first = min(names)
+    want = [(n, "response" if n == first else "revisit", None if n == first else first, 203) for n in names] * 2 + [("zero", "response", None, 0)]
+    assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
