@@ -360,7 +360,7 @@ def _thresholds(patterns: DataFrame, k: int | None) -> DataFrame:
     return patterns.select("pattern_id", "pattern", own.alias("k")).where("length(pattern) > 0 AND k IS NOT NULL")
 
 
-def _broadcast(texts: DataFrame, wanted: Patterns, names: pa.Array, kind: str, block_size: int, range_size: int, stop: int | None, by_end: bool) -> DataFrame:
+def _broadcast(texts: DataFrame, wanted: Patterns, names: pa.Array, kind: str, block_size: int, range_size: int | None, stop: int | None, by_end: bool) -> DataFrame:
     """(row, text_id, pattern_id, pos, distance, rotation, size) by one pass over the texts."""
     shared = texts.sparkSession.sparkContext.broadcast((wanted, names))
 
@@ -385,9 +385,9 @@ def _broadcast(texts: DataFrame, wanted: Patterns, names: pa.Array, kind: str, b
                 yield pa.RecordBatch.from_arrays(columns, ["row", "text_id", "pattern_id", "pos", "distance", "rotation", "size"])
 
     schema = f"row long, text_id {texts.schema['text_id'].dataType.simpleString()}, pattern_id {kind}, {COLUMNS}"
-    short = spread(texts.where(f"length(text) <= {range_size}")).select(F.lit(None).cast("long").alias("row"), "text_id", F.lit(0).cast("long").alias("base"), F.length("text").cast("long").alias("owned"), "text")
-    long = texts.where(f"length(text) > {range_size}")
-    if long.isEmpty():
+    short = spread(texts if range_size is None else texts.where(f"length(text) <= {range_size}")).select(F.lit(None).cast("long").alias("row"), "text_id", F.lit(0).cast("long").alias("base"), F.length("text").cast("long").alias("owned"), "text")
+    long = None if range_size is None else texts.where(f"length(text) > {range_size}")
+    if long is None or long.isEmpty():
         return short.mapInArrow(run, schema)
     long = long.withColumn("row", F.monotonically_increasing_id())
     parts = texts.sparkSession.sparkContext.defaultParallelism
@@ -404,8 +404,8 @@ def _stopped(found: DataFrame, stop: int | None, by_end: bool) -> DataFrame:
     return found.withColumn("turn", F.dense_rank().over(Window.partitionBy("row").orderBy(place))).where(f"turn <= {stop}").drop("turn")
 
 
-def _matches(texts: DataFrame, patterns: DataFrame, k: int | None, circular: bool, block_size: int, strategy: str, range_size: int, stop: int | None = None, by_end: bool = False) -> DataFrame:
-    if (k is not None and k < 0) or block_size < 1 or range_size < 1 or strategy not in ("seeds", "scan", "join") or (stop is not None and stop < 1):
+def _matches(texts: DataFrame, patterns: DataFrame, k: int | None, circular: bool, block_size: int, strategy: str, range_size: int | None, stop: int | None = None, by_end: bool = False) -> DataFrame:
+    if (k is not None and k < 0) or block_size < 1 or (range_size is not None and range_size < 1) or strategy not in ("seeds", "scan", "join") or (stop is not None and stop < 1):
         raise ValueError("k must not be negative, sizes and stop_after must be positive and strategy seeds, scan or join")
     texts, patterns = encoded(texts.select("text_id", "text"), patterns)
     patterns, texts = _thresholds(patterns, k), texts.where("length(text) > 0")
@@ -436,7 +436,7 @@ def _matches(texts: DataFrame, patterns: DataFrame, k: int | None, circular: boo
     return out
 
 
-def kmismatch(texts: DataFrame, patterns: DataFrame, k: int | None, circular: bool = False, block_size: int = BLOCK, strategy: str = "seeds", range_size: int = RANGE, stop_after: int | None = None) -> DataFrame:
+def kmismatch(texts: DataFrame, patterns: DataFrame, k: int | None, circular: bool = False, block_size: int = BLOCK, strategy: str = "seeds", range_size: int | None = RANGE, stop_after: int | None = None) -> DataFrame:
     """Rows (text_id, pattern_id, pos, distance[, rotation]) of every start at which a pattern (circular:
     a rotation of it) occurs with at most k mismatches; of several rotations the best, then smallest.
 
@@ -450,14 +450,14 @@ def kmismatch(texts: DataFrame, patterns: DataFrame, k: int | None, circular: bo
     candidates only; "join" joins seeds of patterns and texts by a shuffle, as "seeds" does by itself for
     patterns of more than PATTERN_CHARS characters. Rows are the same for every strategy, block_size,
     the number of starts that a task looks at together, and range_size, the number of starts of a text that
-    go to one task; a pattern longer than block_size raises ValueError, as does a negative k. With
+    go to one task (None: no text is cut, nor looked at for its length first); a pattern longer than block_size raises ValueError, as does a negative k. With
     stop_after=n a text is read until its nth start with a match: rows of its first n such starts.
     """
     found = _matches(texts, patterns, k, circular, block_size, strategy, range_size, stop_after)
     return found.select("text_id", "pattern_id", "pos", "distance", *(["rotation"] if circular else []))
 
 
-def multi_pattern_scan(texts: DataFrame, patterns: DataFrame, block_size: int = BLOCK, strategy: str = "seeds", range_size: int = RANGE, stop_after: int | None = None) -> DataFrame:
+def multi_pattern_scan(texts: DataFrame, patterns: DataFrame, block_size: int = BLOCK, strategy: str = "seeds", range_size: int | None = RANGE, stop_after: int | None = None) -> DataFrame:
     """(text_id, pattern_id, pos, end_pos) of every exact occurrence of every pattern, suffixes of other
     patterns included; end_pos is exclusive. With stop_after=n, those that end at a text's first n places
     at which any ends, and the text is read no further. All else as kmismatch."""

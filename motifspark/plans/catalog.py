@@ -12,12 +12,15 @@ from motifspark.operators import hamming, index, prepare, shaping, store
 from motifspark.operators.corpus_index import CorpusIndex
 from motifspark.operators.search import kmismatch, multi_pattern_scan
 from motifspark.operators.tables import shared_dir
+from motifspark.sources.split_files import kmismatch_files
 from motifspark.streaming.chunks import chunked_search, stream_events
 
 #: Mismatches of the searches, block of the blocked ones, and the longest part name that it allows.
 K, SMALL_BLOCK = 2, 64
 #: Starts of a range of the search in ranges; most documents are longer.
 SMALL_RANGE = 500
+#: Bytes of a file that a task reads in the search in files.
+SMALL_SPLIT = 2 << 20
 #: Long words have at least this many characters.
 LONG_WORD = 10
 
@@ -186,6 +189,18 @@ def byte_scan(spark, sf_dir):
     return multi_pattern_scan(texts.withColumn("text", F.col("text").cast("binary")), patterns.withColumn("pattern", F.col("pattern").cast("binary")))
 
 
+@query(f"SELECT pattern_id, count(*) AS n FROM ({_in_documents(_LONG, 0, False, LONG_WORD)}) GROUP BY pattern_id")
+def file_search(spark, sf_dir):
+    """How often the long words of the benchmark stand in all documents, which are written as text files;
+    tasks read these in ranges of bytes."""
+    path = f"{shared_dir(spark)}/texts/{uuid.uuid4().hex}"
+    _documents(spark, sf_dir).select(F.coalesce("text", F.lit(""))).write.text(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    found = kmismatch_files(spark, path, _long_words(spark, sf_dir), 0, split_bytes=SMALL_SPLIT, row_bytes=SMALL_SPLIT // 8)
+    return found.groupBy("pattern_id").agg(F.count("*").alias("n"))
+
+
 _SYMBOLS = "string_split(text, ' ')"
 
 
