@@ -104,29 +104,36 @@ class SplitText(DataSource):
         return _Reader(self.options)
 
 
-def read_pieces(spark: SparkSession, path: str | list[str], overlap: int, split_bytes: int = SPLIT_BYTES, row_bytes: int = ROW_BYTES) -> DataFrame:
-    """(text_id, base, owned, text) of the pieces of files in UTF-8, or of the files of folders, text_id being
-    the file's path. A piece begins at character `base` of its file, owns its first `owned` characters,
-    which no other piece owns, and has up to `overlap` more. One line feed at a file's end is no data; an
-    empty file gives no row; bytes that are no UTF-8 become U+FFFD. Files are read twice, the first time to
-    count characters; only a row a piece is sorted for that. A path that is not there raises."""
+def _pieces(spark: SparkSession, path: str | list[str], overlap: int, split_bytes: int, row_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """Pieces (text_id, start, owned, text) and their places (text_id, start, base), which need no text."""
     if overlap < 0 or split_bytes < 1 or row_bytes < CHAR_BYTES:
         raise ValueError(f"overlap must not be negative, split_bytes positive and row_bytes at least {CHAR_BYTES}")
     spark.dataSource.register(SplitText)
     uris = json.dumps([path] if isinstance(path, str) else list(path))
     source = spark.read.format("split_text").options(uris=uris, overlap=overlap, split_bytes=split_bytes, row_bytes=row_bytes)
     before = Window.partitionBy("text_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = source.option("only", "sizes").load().select("text_id", "start", F.coalesce(F.sum("owned").over(before), F.lit(0)).alias("base"))
-    # Pieces stay where they are read where their places fit a broadcast, which Spark decides.
-    return source.option("only", "all").load().join(sizes, ["text_id", "start"]).select("text_id", "base", "owned", "text")
+    places = source.option("only", "sizes").load().select("text_id", "start", F.coalesce(F.sum("owned").over(before), F.lit(0)).alias("base"))
+    return source.option("only", "all").load(), places
+
+
+def read_pieces(spark: SparkSession, path: str | list[str], overlap: int, split_bytes: int = SPLIT_BYTES, row_bytes: int = ROW_BYTES) -> DataFrame:
+    """(text_id, base, owned, text) of the pieces of files in UTF-8, or of the files of folders, text_id being
+    the file's path. A piece begins at character `base` of its file, owns its first `owned` characters,
+    which no other piece owns, and has up to `overlap` more. One line feed at a file's end is no data; an
+    empty file gives no row; bytes that are no UTF-8 become U+FFFD. Files are read twice, the first time to
+    count characters; only a row a piece is sorted for that. A path that is not there raises."""
+    pieces, places = _pieces(spark, path, overlap, split_bytes, row_bytes)
+    return pieces.join(places, ["text_id", "start"]).select("text_id", "base", "owned", "text")
 
 
 def kmismatch_files(spark: SparkSession, path: str | list[str], patterns: DataFrame, k: int | None, circular: bool = False, split_bytes: int = SPLIT_BYTES, row_bytes: int = ROW_BYTES) -> DataFrame:
     """As operators.search.kmismatch, over files that are read in ranges: (text_id, pattern_id, pos, distance
-    [, rotation]), positions in characters of the file. A match over the edges of ranges is found once."""
+    [, rotation]), positions in characters of the file. A match over the edges of ranges is found once.
+    Pieces are searched where they are read; only matches meet the places of their pieces."""
     longest = patterns.agg(F.max(F.length("pattern"))).first()[0] or 1
-    pieces = read_pieces(spark, path, longest - 1, split_bytes, row_bytes)
-    texts = pieces.select(F.struct("text_id", "base", "owned").alias("text_id"), "text")
+    pieces, places = _pieces(spark, path, longest - 1, split_bytes, row_bytes)
+    texts = pieces.select(F.struct("text_id", "start", "owned").alias("text_id"), "text")
     found = kmismatch(texts, patterns, k, circular, range_size=None).where("pos < text_id.owned")
-    place = (F.col("pos") + F.col("text_id.base")).alias("pos")
-    return found.select("text_id.text_id", "pattern_id", place, "distance", *(["rotation"] if circular else []))
+    columns = ["distance", *(["rotation"] if circular else [])]
+    found = found.select("text_id.text_id", "text_id.start", "pattern_id", "pos", *columns).join(places, ["text_id", "start"])
+    return found.select("text_id", "pattern_id", (F.col("pos") + F.col("base")).alias("pos"), *columns)
