@@ -1,8 +1,11 @@
 import math
 import random
 import time
+from collections import defaultdict
 
-from motifspark.llm.html_extraction import Page, extract, style_trees, text_of
+import pytest
+
+from motifspark.llm.html_extraction import GAMMA, LEAST_PAGES, LEAST_IMPORTANCE, Page, extract, leaf, style_trees, text_of
 
 
 def test_article_text():
@@ -86,3 +89,82 @@ def test_deep_and_long_pages_take_time_in_proportion():
         Page("<x>" * n + "</y>" * n + "<p>" * n)
     assert took[1] < 12 * took[0] + 0.5
     assert text_of("<article>" + "<p>word</p>" * 50_000 + "</article>", set()).count("word") == 50_000
+
+
+def _templated(i):
+    menu = "".join(f"<li><a href=/{n}>{n}</a></li>" for n in ("Home", "World", "Sport"))
+    article = "".join(f"<p>Text {i} {j} <b>bold</b></p>" for j in range(1 + i % 3))
+    return (
+        f"<html><head><style>p{{margin:0}}</style><script>track()</script></head><body><header><h2>Site</h2></header><nav><ul>{menu}</ul></nav>"
+        f"<div class=ad><p>Buy now</p></div><div class=story><h1>Title {i}</h1>{article}</div>"
+        "<div id=comments><form>Say something</form></div><footer>All rights</footer></body></html>"
+    )
+
+
+def test_the_tree_alone_gives_the_articles_of_templated_pages(spark):
+    rows = [(i, "http://a.b/x", _templated(i)) for i in range(24)]
+    out = extract(spark.createDataFrame(rows, "page_id long, url string, html string"), names=False).collect()
+    for r in out:
+        i = r["page_id"]
+        assert r["text"] == " ".join([f"Title {i}", *(f"Text {i} {j} bold" for j in range(1 + i % 3))])
+        # Style, script, heading, three items of the menu, advert, form and footer.
+        assert (r["by_tree"], r["by_name"], r["blocks"]) == (9, 0, 11 + i % 3)
+    # Of one page there is no tree, and names decide.
+    one = extract(spark.createDataFrame(rows[:1], "page_id long, url string, html string")).first()
+    assert (one["text"], one["by_tree"], one["by_name"]) == ("Title 0 Text 0 0 bold", 0, 9)
+
+
+def _brute_tree(htmls):
+    """{node: (n, importance, low)} of one host's pages, in plain loops: the pages, or articles, of each value."""
+    holders = defaultdict(lambda: defaultdict(set))
+    for number, html in enumerate(htmls):
+        page = Page(html)
+        article = tuple(text for _, _, text, main in page.blocks if main)
+        for path, inner, text, main in page.every:
+            who = article if main and page.main else number
+            for value in (("look", inner), ("content", text), "page"):
+                holders[path, True][value].add(who)
+        for path, children, main in page.branches:
+            for value in (("look", children), "page"):
+                holders[path, False][value].add(article if main and page.main else number)
+
+    def importance(values, feature, n):
+        sizes = [len(who) for value, who in values.items() if value[0] == feature]
+        return 1 - sum(c * math.log(c) for c in sizes) / sum(sizes) / math.log(n) if n > 1 else 1.0
+
+    leaves, below = {}, {}
+    for (path, own), values in holders.items():
+        n = len(values["page"])
+        if own:
+            leaves[path] = (n, max(importance(values, "look", n), importance(values, "content", n)))
+        else:
+            below[path] = (n, importance(values, "look", n), len(values) - 1)
+    inside = lambda path, at: path == at or path.startswith(at + " ")
+    out = {leaf(path): (n, x, n >= LEAST_PAGES and x < LEAST_IMPORTANCE) for path, (n, x) in leaves.items()}
+    branches = {}
+    for path, (n, share, styles) in below.items():
+        under = [v for k, v in leaves.items() if inside(k, path)]
+        if under:
+            mean = sum(n * x for n, x in under) / sum(n for n, _ in under)
+            branches[path] = (n, (1 - GAMMA**styles) * share + GAMMA**styles * mean, max(x for _, x in under))
+    for path, (n, own, top) in branches.items():
+        highest = max(top, *(x for k, (_, x, _) in branches.items() if inside(k, path)), own)
+        out[path] = (n, own, n >= LEAST_PAGES and highest < LEAST_IMPORTANCE)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trees_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+
+    def element(depth):
+        tag = rng.choice(("div", "div class=x", "p", "nav", "article", "footer", "ul", "div class=ad"))
+        inside = rng.choice(("same", "same", f"other {rng.randint(0, 3)}", "<b>bold</b> text"))
+        return f"<{tag}>{inside}{''.join(element(depth + 1) for _ in range(rng.randint(0, 2 if depth < 3 else 0)))}</{tag.split()[0]}>"
+
+    htmls = [f"<body>{element(0)}{element(0)}<div class=box>same<p>all</p></div></body>" for _ in range(40)]
+    want = _brute_tree(htmls)
+    found = {r["node"]: (r["n"], r["importance"], r["low"]) for r in style_trees(spark.createDataFrame([("h", t) for t in htmls], "host string, html string")).collect()}
+    assert found.keys() == want.keys() and any(low for *_, low in want.values())
+    for node, (n, importance, low) in want.items():
+        assert found[node][0] == n and found[node][2] == low and abs(found[node][1] - importance) < 1e-9, node
