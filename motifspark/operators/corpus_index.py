@@ -3,7 +3,8 @@
 Prefix doubling: the label of 2^(l+1) characters at a place follows from the labels of 2^l characters there
 and 2^l places on. Different pairs of labels are sorted over range partitions, and what numbers them in that
 order is the next label; labels keep the order and need not be dense, so no task counts all rows. Each
-level is a written table (t, pos, label), spread by place, so one long text is many tasks' work.
+level is a written table (t, pos, label), spread by place, so one long text is many tasks' work. Tables of
+places are joined by shuffles, however small their files are; labels are broadcast while they are few.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifspark.operators.tables import written
+from motifspark.operators.tables import joinable, shuffled, written
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -31,7 +32,7 @@ def _labelled(pairs: DataFrame) -> DataFrame:
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = pairs.select("a", "b").distinct().repartitionByRange(parts, "a", "b").sortWithinPartitions("a", "b")
     names = written(names.withColumn("label", F.monotonically_increasing_id()))
-    return written(pairs.join(names, ["a", "b"]).select("t", "pos", "label"))
+    return written(pairs.join(joinable(names), ["a", "b"]).select("t", "pos", "label"))
 
 
 class CorpusIndex:
@@ -50,25 +51,25 @@ class CorpusIndex:
             here, step = self.levels[-1], 1 << (len(self.levels) - 1)
             on = here.select("t", (F.col("pos") - step).alias("pos"), F.col("label").alias("b"))
             # What has ended comes first.
-            pairs = here.withColumnRenamed("label", "a").join(on.where("pos >= 0"), ["t", "pos"], "left")
+            pairs = here.withColumnRenamed("label", "a").join(shuffled(on.where("pos >= 0")), ["t", "pos"], "left")
             self.levels.append(_labelled(pairs.select("t", "pos", "a", F.coalesce("b", F.lit(-1)).alias("b"))))
 
     def suffix_array(self) -> DataFrame:
         """(rank, t, text_id, pos): all suffixes of all texts in their order; equal ones by text, then pos."""
-        rows = self.levels[-1].join(self.texts.select("t", "text_id"), "t")
+        rows = self.levels[-1].join(shuffled(self.texts.select("t", "text_id")), "t")
         return numbered(rows.select("label", "text_id", "pos", "t"), ["label", "text_id", "pos", "t"], "rank").select("rank", "t", "text_id", "pos")
 
     def common_extension(self, pairs: DataFrame) -> DataFrame:
         """pairs (t, i, u, j, ...) with `lce`, how far the suffixes at place i of text t and at j of u agree: from
         the largest level down, equal labels move both places on. Two joins a level, whatever the lengths;
         places outside of the texts give 0, null ones null."""
-        size = lambda t: self.texts.select(F.col("t").alias(t), F.col("size").alias(f"_{t}"))
+        size = lambda t: shuffled(self.texts.select(F.col("t").alias(t), F.col("size").alias(f"_{t}")))
         rows = pairs.join(size("t"), "t", "left").join(size("u"), "u", "left").withColumn("_n", F.lit(0))
         for level in range(len(self.levels) - 1, -1, -1):
             step, labels = 1 << level, self.levels[level]
             first = labels.select("t", F.col("pos").alias("_x"), F.col("label").alias("_a"))
             second = labels.select(F.col("t").alias("u"), F.col("pos").alias("_y"), F.col("label").alias("_b"))
-            rows = rows.withColumns({"_x": F.expr("i + _n"), "_y": F.expr("j + _n")}).join(first, ["t", "_x"], "left").join(second, ["u", "_y"], "left")
+            rows = rows.withColumns({"_x": F.expr("i + _n"), "_y": F.expr("j + _n")}).join(shuffled(first), ["t", "_x"], "left").join(shuffled(second), ["u", "_y"], "left")
             # Labels tell no end from another's beginning beyond it, so a step is taken inside both texts only.
             inside = F.expr(f"_a = _b AND i + _n + {step} <= _t AND j + _n + {step} <= _u")
             rows = rows.withColumn("_n", F.col("_n") + F.when(inside, step).otherwise(0)).drop("_x", "_y", "_a", "_b")
@@ -78,5 +79,5 @@ class CorpusIndex:
         """(rank, text_id, pos, lcp): how far each suffix agrees with the one ranked before it; 0 for the first."""
         order = written(self.suffix_array())
         before = order.select((F.col("rank") + 1).alias("rank"), F.col("t").alias("u"), F.col("pos").alias("j"))
-        pairs = order.select("rank", "text_id", "t", F.col("pos").alias("i")).join(before, "rank", "left")
+        pairs = order.select("rank", "text_id", "t", F.col("pos").alias("i")).join(shuffled(before), "rank", "left")
         return self.common_extension(pairs).select("rank", "text_id", F.col("i").alias("pos"), F.coalesce("lce", F.lit(0)).alias("lcp"))

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +29,18 @@ def written(df: DataFrame) -> DataFrame:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table that a join may broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as one side of a join that is never broadcast: Spark goes by the size of compressed files, and rows
+    of numbers that ascend or repeat take a hundred times that in the driver's memory."""
+    return df.hint("merge")
+
+
+def joinable(table: DataFrame) -> DataFrame:
+    """A written table as one side of a join: its rows, not its files' size, tell whether it is broadcast."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else shuffled(table)
