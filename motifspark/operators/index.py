@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motifspark.operators.search import codes, spread
+from motifspark.operators.tables import shuffled
 
 #: Rows of a batch that leaves a task.
 ROWS = 1 << 18
@@ -121,8 +122,8 @@ def range_minimum(values: DataFrame, ranges: DataFrame, longest: int | None = No
     size = F.col("high") - F.col("low") + 1
     exponent = F.floor(F.log2(size.cast("double")) + 1e-9).cast("int")
     asked = ranges.withColumn("_l", F.when(size > longest, F.raise_error(F.lit("a range is longer than `longest`")).cast("int")).when(size > 0, exponent))
-    first = table.withColumnRenamed("_least", "_a")
-    second = table.withColumnRenamed("_least", "_b")
+    first = shuffled(table.withColumnRenamed("_least", "_a"))
+    second = shuffled(table.withColumnRenamed("_least", "_b"))
     own = lambda at: F.expr(f"text_id <=> _t AND _l = _level AND _r = {at}")
     asked = asked.join(first, own("low"), "left").drop("_t", "_r", "_level")
     asked = asked.join(second, own("high - CAST(shiftleft(1, _l) AS INT) + 1"), "left").drop("_t", "_r", "_level", "_l")

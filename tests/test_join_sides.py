@@ -30,3 +30,11 @@ def test_labels_are_broadcast_by_their_rows(spark, monkeypatch):
     assert "BroadcastHashJoin" in plan(rows.join(tables.joinable(labels), "id"))
     monkeypatch.setattr(tables, "BROADCAST_ROWS", 10)
     assert "SortMergeJoin" in plan(rows.join(tables.joinable(labels), "id"))
+
+
+def test_range_minimum(spark, texts):
+    suffixes = tables.written(index.suffix_array(texts))
+    ranges = spark.createDataFrame([(0, 1, 4), (1, 0, 5), (0, 3, 2)], "text_id long, low int, high int")
+    found = index.range_minimum(index.lcp_array(suffixes), tables.written(ranges), 6)
+    assert "Broadcast" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 4, 0), (0, 3, 2, None), (1, 0, 5, 0)]
