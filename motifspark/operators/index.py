@@ -134,9 +134,9 @@ def common_extension(suffixes: DataFrame, pairs: DataFrame, longest: int | None
     """pairs (text_id, i, j) with `lce`, how far the suffixes at i and j agree: the least lcp between their
     ranks, or the rest of the text for i = j. Places outside of the text give 0; null places null.
     suffixes are suffix_array's rows, of ids that do not repeat; `longest` as range_minimum."""
-    at = lambda name: suffixes.select(F.col("text_id").alias(f"_{name}t"), F.col("pos").alias(f"_{name}p"), F.col("rank").alias(f"_{name}r"))
+    at = lambda name: shuffled(suffixes.select(F.col("text_id").alias(f"_{name}t"), F.col("pos").alias(f"_{name}p"), F.col("rank").alias(f"_{name}r")))
     sizes = suffixes.groupBy(F.col("text_id").alias("_n")).agg(F.count("*").cast("int").alias("_size"))
-    rows = pairs.join(at("a"), F.expr("text_id <=> _at AND i = _ap"), "left").join(at("b"), F.expr("text_id <=> _bt AND j = _bp"), "left").join(sizes, F.expr("text_id <=> _n"), "left")
+    rows = pairs.join(at("a"), F.expr("text_id <=> _at AND i = _ap"), "left").join(at("b"), F.expr("text_id <=> _bt AND j = _bp"), "left").join(shuffled(sizes), F.expr("text_id <=> _n"), "left")
     rows = rows.withColumns({"low": F.least("_ar", "_br") + 1, "high": F.greatest("_ar", "_br")})
     found = range_minimum(lcp_array(suffixes), rows, longest)
     lce = F.expr("CASE WHEN i IS NULL OR j IS NULL THEN NULL WHEN _ar IS NULL OR _br IS NULL THEN 0 WHEN i = j THEN _size - i ELSE least END")

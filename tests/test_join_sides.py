@@ -38,3 +38,11 @@ def test_range_minimum(spark, texts):
     found = index.range_minimum(index.lcp_array(suffixes), tables.written(ranges), 6)
     assert "Broadcast" not in plan(found)
     assert sorted(map(tuple, found.collect())) == [(0, 1, 4, 0), (0, 3, 2, None), (1, 0, 5, 0)]
+
+
+def test_common_extension(spark, texts):
+    suffixes = tables.written(index.suffix_array(texts))
+    pairs = spark.createDataFrame([(0, 1, 3), (1, 0, 2), (1, 4, 4), (3, 0, 9)], "text_id long, i int, j int")
+    found = index.common_extension(suffixes, tables.written(pairs), 6)
+    assert "Broadcast" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 3, 3), (1, 0, 2, 3), (1, 4, 4, 2), (3, 0, 9, 0)]
