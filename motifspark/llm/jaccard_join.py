@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifspark.llm.common import cut, discard, lookup, release, sliced, table
+from motifspark.llm import common
+from motifspark.llm.common import discard, lookup, release, sliced, table
 
 SHINGLE, PERCENT = 4, 85
 #: Longest word in bytes that is hashed together with others, eight bytes of each at a time.
@@ -35,10 +36,21 @@ LONG_WORD = 256
 SEEN = 300_000
 #: The first round takes this multiple of the share of shingles in which linked sets may differ.
 SAMPLE = 1.75
+#: Rows of pivots that a round may broadcast.
+FEW = 50_000
 #: Factors of the mixing steps.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """common.cut() of a table that grows with the input: joins shuffle it. Spark would broadcast it by its
+    files' size, and what is made of it by the size before its arrays are exploded."""
+    table = common.cut(df)
+    out = table.hint("merge")
+    out._cut = table._cut
+    return out
+
+
 def _mixed(values):
     import numpy as np
 
@@ -253,7 +265,7 @@ def _linked(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame | Non
         named = rows.withColumn("comp", F.col("key")) if comps is None else rows.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         cells = named.groupBy("cell").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), short.alias("short"), F.count("side").alias("sided"), F.min(F.expr("IF(side = 0, d, NULL)")).alias("near"), F.max(F.expr("IF(side = 1, d, NULL)")).alias("far"))
         cells = cells.where(f"size > 1 AND c0 <> c1 AND short AND (sided = 0 OR far >= near - {t}D)").select("cell", "near", "far")
-        here = named.join(cells, "cell").where(f"side IS NULL OR side = 1 AND d >= near - {t}D OR side = 0 AND d <= far + {t}D").drop("near", "far")
+        here = named.join(cells.hint("merge"), "cell").where(f"side IS NULL OR side = 1 AND d >= near - {t}D OR side = 0 AND d <= far + {t}D").drop("near", "far")
         here = cut(here)
         if here.isEmpty():
             discard(here, *tables)
@@ -263,7 +275,7 @@ def _linked(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame | Non
         bucket = F.pmod(F.xxhash64("key", F.lit(-turn)), F.lit(count)).alias("bucket")
         chosen = here.groupBy("cell", bucket).agg(F.min_by(F.struct("key", "n", "i", "side", "d", "comp"), order).alias("x"))
         pivots = cut(chosen.select("cell", *(F.col(f"x.{c}").alias(f"p{c}") for c in ("key", "n", "i", "side", "d", "comp"))).withColumnRenamed("pkey", "p"))
-        met = here.join(pivots, "cell").where(f"key <> p AND ({whole} OR {part})").select("cell", "key", "p", "side", "comp", "pcomp")
+        met = here.join(F.broadcast(pivots) if pivots.count() <= FEW else pivots, "cell").where(f"key <> p AND ({whole} OR {part})").select("cell", "key", "p", "side", "comp", "pcomp")
         met = cut(met)
         # Each pair of sets is measured once, whatever regions it stands in.
         left = met.select("key", "p").distinct().join(sets.select("key", F.col("hashes").alias("a")), "key")
@@ -319,9 +331,9 @@ def jaccard_join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     discard(wanted, sets, counts, kept, tokens)
     named = classes.select("key", "first", "copies", F.col("key").alias("comp")) if comps is None else classes.join(comps, "key", "left").select("key", "first", "copies", F.coalesce("comp", "key").alias("comp"))
     least = named.groupBy("comp").agg(F.min("first").alias("component_id"), F.count("*").alias("keys"))
-    ids = lookup(named, least, "comp", "keys", classes.count()).select("key", "copies", "component_id")
+    ids = lookup(named, least.hint("merge"), "comp", "keys", classes.count()).select("key", "copies", "component_id")
     members = members.select("id", "n", "key")
-    out = lookup(members, ids, "key", "copies", members.count())
+    out = lookup(members, ids.hint("merge"), "key", "copies", members.count())
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
