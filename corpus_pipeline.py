@@ -45,7 +45,7 @@ def near_duplicates(spark, docs, sf_dir):
     key = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     groups = jaccard_join(rows.select(key.alias("key"), "text"), shingle=NEAR_SHINGLE, percent=NEAR_PERCENT, id_col="key")
     first = groups.where("key.row = component_id.row").select("key.row")
-    return rows.join(first, "row", "left_semi").select(*(F.col("_own")[c].alias(c) for c in docs.columns))
+    return rows.join(first.hint("merge"), "row", "left_semi").select(*(F.col("_own")[c].alias(c) for c in docs.columns))
 
 
 def decontamination(spark, docs, sf_dir):
