@@ -192,15 +192,15 @@ def _blocks(anchors: DataFrame, count: int) -> DataFrame:
     return anchors.groupBy(block).agg(F.sort_array(F.collect_list(F.struct("row", "label", "v", "wanted"))).alias("anchors"))
 
 
-def _met(tiles: DataFrame, blocks: DataFrame, count: int, quantiser: Quantiser, size: int, keep: int, share: tuple[int, int] | None) -> DataFrame:
+def _met(tiles: DataFrame, blocks: DataFrame, count: int, quantiser: Quantiser, size: int, keep: int, share: tuple[int, int] | None, places: int) -> DataFrame:
     """(anchor, high, score, id, other) of the rows that each task finds best: without share the rows of
     the anchor's own label, else those of other labels whose score is within the share of one wanted, which is high."""
     import numpy as np
 
     spark = tiles.sparkSession
     shared = spark.sparkContext.broadcast(quantiser)
-    # Each tile meets a block in one of these places, so that few blocks fill many tasks.
-    places = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Each tile meets a block in one of the places, so that few blocks fill many tasks. Copies of the blocks
+    # take far more than Spark expects, which would broadcast them.
     left = tiles.withColumn("place", F.pmod(F.monotonically_increasing_id(), F.lit(places))).withColumn("block", F.explode(F.expr(f"sequence(0L, {count - 1}L)")))
     right = blocks.withColumn("place", F.explode(F.expr(f"sequence(0L, {places - 1}L)")))
 
@@ -267,7 +267,7 @@ def _met(tiles: DataFrame, blocks: DataFrame, count: int, quantiser: Quantiser,
         for x in held.values():
             yield out(*x)
 
-    found = left.join(right, ["block", "place"]).drop("place").mapInArrow(run, "anchor long, high long, score long, id long, other long")
+    found = left.join(right.hint("merge"), ["block", "place"]).drop("place").mapInArrow(run, "anchor long, high long, score long, id long, other long")
     first = Window.partitionBy("anchor", "high").orderBy(F.desc("score"), F.asc_nulls_last("id"), "other")
     return found.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= keep)
 
@@ -310,15 +310,17 @@ def mine(vectors: DataFrame, anchors: str, positives: int = 5, negatives: int =
     if not count:
         discard(rows)
         return spark.createDataFrame([], _OUT)
+    # No more places than there are tiles, or cores twice over.
+    places = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(2 * spark.sparkContext.defaultParallelism, -(-n // TILE)))
     tiles, none = _tiles(rows), F.expr("CAST(array() AS array<long>)")
-    near = _met(tiles, _blocks(chosen.withColumn("wanted", none), count), count, quantiser, size, positives, None)
+    near = _met(tiles, _blocks(chosen.withColumn("wanted", none), count), count, quantiser, size, positives, None, places)
     near = cut(near.select("anchor", F.col("score").alias("high"), "id", "other"))
     wanted = near.groupBy("anchor").agg(F.collect_set("high").alias("wanted")).withColumnRenamed("anchor", "row")
     common = gcd(low_percent, 100)
-    far = _met(tiles, _blocks(chosen.join(wanted, "row"), count), count, quantiser, size, negatives, (low_percent // common, 100 // common))
+    far = _met(tiles, _blocks(chosen.join(wanted.hint("merge"), "row"), count), count, quantiser, size, negatives, (low_percent // common, 100 // common), places)
     names = chosen.select(F.col("row").alias("anchor"), F.col("id").alias("anchor_id"))
-    positive = near.select("anchor", "high", F.col("id").alias("positive_id")).join(names, "anchor")
-    out = far.select("anchor", "high", "rank", F.col("score").alias("negative_score"), F.col("id").alias("negative_id")).join(positive, ["anchor", "high"])
+    positive = near.select("anchor", "high", F.col("id").alias("positive_id")).join(names.hint("merge"), "anchor")
+    out = far.select("anchor", "high", "rank", F.col("score").alias("negative_score"), F.col("id").alias("negative_id")).join(positive.hint("merge"), ["anchor", "high"])
     return out.select("anchor_id", "positive_id", "rank", "negative_id", F.col("high").alias("positive_score"), "negative_score")
 
 
