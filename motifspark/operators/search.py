@@ -312,8 +312,8 @@ class Patterns:
         return np.concatenate(out, axis=1)
 
 
-def _slices(batches):
-    """Batches of rows whose texts take about SLICE_BYTES, or of one row."""
+def _slices(batches, most: int = SLICE_BYTES):
+    """Batches of rows whose texts take about `most` bytes, or of one row."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -322,7 +322,7 @@ def _slices(batches):
         start = 0
         while start < len(sizes):
             before = sizes[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(sizes, before + SLICE_BYTES, "right")))
+            stop = max(start + 1, int(np.searchsorted(sizes, before + most, "right")))
             yield batch.slice(start, stop - start)
             start = stop
 
@@ -340,13 +340,22 @@ def ranges(texts: DataFrame, size: int, behind: int, columns: list[str]) -> Data
     kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                text, own = batch["text"][i].as_py() or "", batch.slice(i, 1)
-                for base in range(0, len(text), size):
-                    piece = pa.array([text[base : base + size + behind]])
-                    place = [pa.array([base], pa.int64()), pa.array([min(size, len(text) - base)], pa.int64()), piece]
-                    yield pa.RecordBatch.from_arrays([*(own[c] for c in columns), *place], [*columns, "base", "owned", "text"])
+        def out(batch, rows):
+            which, bases, owned, pieces = zip(*rows)
+            place = [pa.array(bases, pa.int64()), pa.array(owned, pa.int64()), pa.array(pieces)]
+            return pa.RecordBatch.from_arrays([*(batch[c].take(pa.array(which)) for c in columns), *place], [*columns, "base", "owned", "text"])
+
+        for batch in _slices(batches):
+            rows, held = [], 0
+            for i, text in enumerate(batch["text"].to_pylist()):
+                for base in range(0, len(text or ""), size):
+                    rows.append((i, base, min(size, len(text) - base), text[base : base + size + behind]))
+                    held += len(rows[-1][-1])
+                    if held >= SLICE_BYTES:
+                        yield out(batch, rows)
+                        rows, held = [], 0
+            if rows:
+                yield out(batch, rows)
 
     return texts.select(*columns, "text").mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", base long, owned long, text string")
 

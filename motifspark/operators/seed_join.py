@@ -4,7 +4,7 @@
    a fixed size, is all that reaches the driver.
 2. Texts are cut into ranges. Each place whose hash passes the filter is a text seed.
 3. Seeds join by hash. Each hash has SALTS places: a text seed goes to one of them, a pattern's seed to
-   all, so a hash that very many texts hold is no one task's.
+   all, so a hash that very many texts hold is no one task's. At most BROADCAST_ROWS seeds are broadcast.
 4. A hit is a diagonal of pattern against text. Different diagonals, once each, join the patterns and the
    ranges that they stand in, and the stretches are compared.
 """
@@ -15,13 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifspark.operators.search import CELLS, Hasher, codes, ranges, seeds_of
-from motifspark.operators.tables import written
+from motifspark.operators import tables
+from motifspark.operators.search import CELLS, Hasher, _slices, codes, ranges, seeds_of
+from motifspark.operators.tables import joinable, shuffled, written
 
 #: log2 of the bits of the filter of seed hashes, and places of each hash in the join.
 FILTER_BITS, SALTS = 25, 16
 #: Starts of a range at least; longer patterns need longer ranges.
 RANGE = 4096
+#: Bytes of the ranges that a task hashes at once.
+SLICE_BYTES = 1 << 20
 
 
 def _pattern_seeds(patterns: DataFrame, circular: bool) -> DataFrame:
@@ -66,17 +69,25 @@ def _text_seeds(pieces: DataFrame, sizes: list[int], bits) -> DataFrame:
     shared = pieces.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        for batch in batches:
-            for t, base, owned, text in zip(*(batch[c].to_pylist() for c in ("t", "base", "owned", "text"))):
-                sums = Hasher.sums(codes(text))
-                for size in sizes:
-                    if len(sums) <= size:
-                        continue
-                    hashes = Hasher.windows(sums, size)[:owned]
-                    place = hashes >> np.uint64(64 - FILTER_BITS)
-                    at = np.flatnonzero(shared.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
-                    columns = [pa.array(np.full(len(at), size, np.int32)), pa.array(hashes[at].view(np.int64)), pa.array(np.full(len(at), t, np.int64)), pa.array(at + base)]
-                    yield pa.RecordBatch.from_arrays(columns, ["size", "hash", "t", "pos"])
+        for batch in _slices(batches, SLICE_BYTES):
+            # Ranges stand one after the other; a window is inside of one and begins at what it owns.
+            texts = batch["text"].to_pylist()
+            lengths = np.array([len(x) for x in texts], np.int64)
+            ends = np.cumsum(lengths)
+            t, base, owned = (batch[c].to_numpy() for c in ("t", "base", "owned"))
+            sums = Hasher.sums(codes("".join(texts)))
+            for size in sizes:
+                if len(sums) <= size:
+                    continue
+                hashes = Hasher.windows(sums, size)
+                place = hashes >> np.uint64(64 - FILTER_BITS)
+                at = np.flatnonzero(shared.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+                own = np.searchsorted(ends, at, "right")
+                pos = at - (ends - lengths)[own]
+                inside = (pos < owned[own]) & (at + size <= ends[own])
+                at, own, pos = at[inside], own[inside], pos[inside]
+                columns = [pa.array(np.full(len(at), size, np.int32)), pa.array(hashes[at].view(np.int64)), pa.array(t[own]), pa.array(pos + base[own])]
+                yield pa.RecordBatch.from_arrays(columns, ["size", "hash", "t", "pos"])
 
     return pieces.select("t", "base", "owned", "text").mapInArrow(run, "size int, hash long, t long, pos long")
 
@@ -102,10 +113,11 @@ def _compare(rows: DataFrame, circular: bool) -> DataFrame:
                     # Code points are below 2^21, so what is no text equals nothing.
                     text = np.full((len(part), length), 1 << 21, np.uint32)
                     own = np.empty((len(part), length), np.uint32)
-                    for row, j in enumerate(part):
-                        stretch = codes(windows[j])
-                        text[row, lead[j] : lead[j] + len(stretch)] = stretch
-                        own[row] = codes(patterns[j] + patterns[j][:-1] if circular else patterns[j])
+                    there = [windows[j] for j in part]
+                    counts = np.array([len(x) for x in there], np.int64)
+                    column = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - lead[part], counts)
+                    text[np.repeat(np.arange(len(part)), counts), column] = codes("".join(there))
+                    own[:] = codes("".join(patterns[j] + patterns[j][:-1] if circular else patterns[j] for j in part)).reshape(own.shape)
                     sums = np.zeros((len(part), length + 1), np.int32)
                     np.cumsum(text != own, axis=1, out=sums[:, 1:])
                     distance = sums[:, size:] - sums[:, :-size]
@@ -131,14 +143,19 @@ def seed_join(texts: DataFrame, patterns: DataFrame, circular: bool, longest: in
     cut = ranges(texts.withColumn("t", F.monotonically_increasing_id()), span, 2 * longest - 1 if circular else longest - 1, ["t", "text_id"])
     pieces = written(cut)
     seeds = _pattern_seeds(patterns, circular)
-    sizes = sorted(r[0] for r in seeds.select("size").distinct().collect())
-    hits = _text_seeds(pieces, sizes, _filter(seeds)).withColumn("salt", F.pmod(F.xxhash64("t", "pos"), F.lit(SALTS)))
-    seeds = seeds.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-    met = hits.join(seeds, ["size", "hash", "salt"]).select("t", "p", (F.col("pos") - F.col("off")).alias("a"))
+    counts = dict(map(tuple, seeds.groupBy("size").count().collect()))
+    hits = _text_seeds(pieces, sorted(counts), _filter(seeds))
+    if sum(counts.values()) <= tables.BROADCAST_ROWS:
+        met = hits.join(F.broadcast(seeds), ["size", "hash"])
+    else:
+        hits = hits.withColumn("salt", F.pmod(F.xxhash64("t", "pos"), F.lit(SALTS)))
+        seeds = seeds.withColumn("salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
+        met = hits.join(shuffled(seeds), ["size", "hash", "salt"])
+    met = met.select("t", "p", (F.col("pos") - F.col("off")).alias("a"))
     met = (met if circular else met.where("a >= 0")).distinct()
-    met = met.join(patterns, "p").withColumn("base", F.expr(f"greatest(a, 0L) div {span} * {span}"))
+    met = met.join(joinable(patterns), "p").withColumn("base", F.expr(f"greatest(a, 0L) div {span} * {span}"))
     length = "2 * length(pattern) - 1" if circular else "length(pattern)"
-    rows = met.join(pieces.drop("owned"), ["t", "base"]).withColumn("lead", F.expr("CAST(greatest(0L, -a) AS INT)"))
+    rows = met.join(shuffled(pieces.drop("owned")), ["t", "base"]).withColumn("lead", F.expr("CAST(greatest(0L, -a) AS INT)"))
     rows = rows.withColumn("stretch", F.expr(f"substring(text, CAST(greatest(a, 0L) - base AS INT) + 1, {length} - lead)")).drop("text", "base")
     found = _compare(rows, circular)
     if circular:

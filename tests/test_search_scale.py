@@ -222,3 +222,28 @@ def test_arguments(spark):
     for wrong in ({"range_size": 0}, {"strategy": "guess"}, {"k": -1}):
         with pytest.raises(ValueError):
             kmismatch(a, b, **({"k": 1} | wrong))
+
+
+def test_seed_join_works_on_many_texts_at_once():
+    import pyarrow as pa
+
+    from motifspark.operators.search import ranges
+    from motifspark.operators.seed_join import _text_seeds
+
+    class Rows:
+        """Stands for a DataFrame: keeps the function that maps its batches."""
+
+        def __init__(self):
+            self.schema, self.sparkSession = [], self
+            self.sparkContext = self
+
+        select = lambda self, *_: self
+        broadcast = lambda self, value: type("Shared", (), {"value": value})
+        mapInArrow = lambda self, run, kinds: run
+
+    batch = pa.RecordBatch.from_pydict({"t": list(range(900)), "text": ["abcdefgh"] * 900})
+    cut = list(ranges(Rows(), 4, 3, [])([batch]))
+    assert len(cut) == 1 and cut[0].num_rows == 1800
+    pieces = pa.RecordBatch.from_pydict({"t": list(range(900)), "base": [0] * 900, "owned": [8] * 900, "text": ["abcdefgh"] * 900})
+    found = list(_text_seeds(Rows(), [4], np.full(1 << 22, 255, np.uint8))([pieces]))
+    assert len(found) == 1 and found[0].num_rows == 900 * 5 and set(found[0]["pos"].to_pylist()) == set(range(5))
