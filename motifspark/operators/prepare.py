@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of fragments that a task groups; small files hold very many, so tasks go by rows and not by bytes.
+TASK_ROWS = 500_000
+
 
 def fragments(patterns: DataFrame, count: int) -> DataFrame:
     """(pattern_id, frag_id, off, fragment): each pattern cut into `count` contiguous, nearly equal
@@ -20,8 +23,8 @@ def fragments(patterns: DataFrame, count: int) -> DataFrame:
 
 def equal_fragments(pieces: DataFrame) -> DataFrame:
     """(pattern_id, frag_id, first_equal): the first fragment of the pattern that is equal, itself if none is before it."""
-    least = pieces.groupBy("pattern_id", "fragment").agg(F.min("frag_id").alias("first_equal"))
-    return pieces.join(least, ["pattern_id", "fragment"]).select("pattern_id", "frag_id", "first_equal")
+    own = Window.partitionBy("pattern_id", "fragment")
+    return dealt(pieces, "pattern_id", "fragment").select("pattern_id", "frag_id", F.min("frag_id").over(own).alias("first_equal"))
 
 
 def fragment_counts(pieces: DataFrame) -> DataFrame:
@@ -29,6 +32,12 @@ def fragment_counts(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("pattern_id").agg(F.count("*").alias("fragments"), F.countDistinct("fragment").alias("distinct_fragments"))
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt out by keys to as many tasks as TASK_ROWS asks for, or as there are cores."""
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    return rows.repartition(parts, *keys)
+
+
 def fragment_groups(pieces: DataFrame) -> DataFrame:
     """(fragment, members, places) of the equal, non-empty fragments of all patterns: places holds each
     fragment's (pattern_id, frag_id, off), ascending, so a scan has to look for each fragment once."""
