@@ -29,7 +29,7 @@ def equal_fragments(pieces: DataFrame) -> DataFrame:
 
 def fragment_counts(pieces: DataFrame) -> DataFrame:
     """(pattern_id, fragments, distinct_fragments) of fragments' rows."""
-    return pieces.groupBy("pattern_id").agg(F.count("*").alias("fragments"), F.countDistinct("fragment").alias("distinct_fragments"))
+    return dealt(pieces, "pattern_id").groupBy("pattern_id").agg(F.count("*").alias("fragments"), F.countDistinct("fragment").alias("distinct_fragments"))
 
 
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
