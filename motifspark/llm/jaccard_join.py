@@ -36,8 +36,10 @@ LONG_WORD = 256
 SEEN = 300_000
 #: The first round takes this multiple of the share of shingles in which linked sets may differ.
 SAMPLE = 1.75
-#: Rows of pivots that a round may broadcast.
+#: Rows, by count, of a table that may be broadcast.
 FEW = 50_000
+#: A round compares all that is left if its regions hold at most so many pairs, of which as many may link.
+MEETINGS, PAIRS = 1 << 24, 200_000
 #: Factors of the mixing steps.
 MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9)
 
@@ -51,6 +53,11 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def few(df: DataFrame, n: int) -> DataFrame:
+    """df of n rows, to be broadcast if they are few."""
+    return F.broadcast(df) if n <= FEW else df
+
+
 def _mixed(values):
     import numpy as np
 
@@ -223,10 +230,11 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("key"), F.least("a", "m").alias("comp"))
     labels = cut(labels)
+    n = labels.count()
     while True:
-        near = both.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("comp").alias("near"))
+        near = both.join(few(labels.withColumnRenamed("key", "b"), n), "b").groupBy(F.col("a").alias("key")).agg(F.min("comp").alias("near"))
         hop = labels.select(F.col("key").alias("comp"), F.col("comp").alias("far"))
-        new = cut(labels.join(near, "key").join(hop, "comp").select("key", F.col("comp").alias("old"), F.least("comp", "near", "far").alias("comp")))
+        new = cut(labels.join(few(near, n), "key").join(few(hop, n), "comp").select("key", F.col("comp").alias("old"), F.least("comp", "near", "far").alias("comp")))
         done = new.where("old <> comp").isEmpty()
         discard(labels)
         labels = new
@@ -237,9 +245,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _merged(comps: DataFrame, links: DataFrame) -> DataFrame:
     """comps (key, comp) after the components `links` (key, comp) of components, which may be single keys."""
-    moved = links.select(F.col("key").alias("comp"), F.col("comp").alias("to"))
+    moved = few(links.select(F.col("key").alias("comp"), F.col("comp").alias("to")), links.count())
     old = comps.join(moved, "comp", "left").select("key", F.coalesce("to", "comp").alias("comp"))
-    return cut(old.unionByName(links.join(comps, "key", "left_anti").select("key", "comp")))
+    return cut(old.unionByName(links.join(few(comps.select("key"), comps.count()), "key", "left_anti").select("key", "comp")))
 
 
 #: Pivots of a region in its first round, and how many times more there are in each further one.
@@ -258,11 +266,30 @@ def _linked(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame | Non
     sized = "100 * least(n, pn) >= {0} * greatest(n, pn)"
     whole = sized.format(wide) + " AND side IS NULL"
     ring = f"(side = 1 AND d >= pd - {t}D OR side = 0 AND d <= pd + {t}D)"
-    part = f"side <> pside AND comp <> pcomp AND {ring} AND {sized.format(percent)} AND {100 + percent} * least(n - i, pn - pi) >= {percent} * (n + pn)"
+    near = f"comp <> pcomp AND {sized.format(percent)} AND {100 + percent} * least(n - i, pn - pi) >= {percent} * (n + pn)"
+    part = f"side <> pside AND {ring} AND {near}"
+    every = f"(side IS NULL AND pside IS NULL OR side <> pside AND {ring}) AND {near} AND (key < p OR pcomp = most)"
     rows = tokens.select(F.col("token").alias("cell"), "key", "n", "i", "w", F.lit(None).cast("int").alias("side"), F.lit(None).cast("double").alias("d"))
     comps, turn, count, tables = None, 0, PIVOTS, []
+
+    def measure(met):
+        """(key, p, same, all) of pairs, each measured once, whatever regions it stands in."""
+        left = met.select("key", "p").distinct().join(sets.select("key", F.col("hashes").alias("a")), "key")
+        both = left.join(sets.select(F.col("key").alias("p"), F.col("hashes").alias("b")), "p")
+        same = both.select("key", "p", F.size(F.array_intersect("a", "b")).alias("same"), (F.size("a") + F.size("b")).alias("sum"))
+        return same.select("key", "p", "same", (F.col("sum") - F.col("same")).alias("all"))
+
+    def joined(comps, found):
+        """comps and the components of the linked ones of found (comp, pcomp, linked)."""
+        edges = cut(found.where("linked AND comp <> pcomp").select(F.col("comp").alias("a"), F.col("pcomp").alias("b")).distinct())
+        if not edges.isEmpty():
+            links = components(edges)
+            comps = links if comps is None else _merged(comps, links)
+        discard(edges)
+        return comps
+
     while True:
-        named = rows.withColumn("comp", F.col("key")) if comps is None else rows.join(comps, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        named = rows.withColumn("comp", F.col("key")) if comps is None else rows.join(few(comps, comps.count()), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         cells = named.groupBy("cell").agg(F.count("*").alias("size"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), short.alias("short"), F.count("side").alias("sided"), F.min(F.expr("IF(side = 0, d, NULL)")).alias("near"), F.max(F.expr("IF(side = 1, d, NULL)")).alias("far"))
         cells = cells.where(f"size > 1 AND c0 <> c1 AND short AND (sided = 0 OR far >= near - {t}D)").select("cell", "near", "far")
         here = named.join(cells.hint("merge"), "cell").where(f"side IS NULL OR side = 1 AND d >= near - {t}D OR side = 0 AND d <= far + {t}D").drop("near", "far")
@@ -270,6 +297,22 @@ def _linked(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame | Non
         if here.isEmpty():
             discard(here, *tables)
             return comps
+        # After the first round few parts are left: the sets outside of a region's largest part meet all in it.
+        # If too many, further rounds divide them.
+        if turn:
+            parts = here.groupBy("cell", "comp").agg(F.count("*").alias("size"))
+            parts = cut(parts.groupBy("cell").agg(F.max_by("comp", "size").alias("most"), F.max("size").alias("top"), F.sum("size").alias("size")))
+            n, meetings = parts.agg(F.count("*"), F.expr("sum(size * (size - top))")).first()
+            if meetings <= MEETINGS:
+                apart = here.join(few(parts.select("cell", "most"), n), "cell").where("comp <> most")
+                others = here.select("cell", F.col("key").alias("p"), *(F.col(c).alias(f"p{c}") for c in ("n", "i", "side", "d", "comp")))
+                met = cut(apart.join(others, "cell").where(every).select("key", "p", "comp", "pcomp").limit(PAIRS + 1))
+                if met.count() <= PAIRS:
+                    comps = joined(comps, met.join(measure(met), ["key", "p"]).withColumn("linked", linked))
+                    discard(here, parts, met, *tables)
+                    return comps
+                discard(met)
+            discard(parts)
         # First the set that differs least from others; then more, in another order each round.
         order = F.struct("w", "key") if turn == 0 else F.struct(F.xxhash64("key", F.lit(turn)), "key")
         bucket = F.pmod(F.xxhash64("key", F.lit(-turn)), F.lit(count)).alias("bucket")
@@ -277,16 +320,9 @@ def _linked(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame | Non
         pivots = cut(chosen.select("cell", *(F.col(f"x.{c}").alias(f"p{c}") for c in ("key", "n", "i", "side", "d", "comp"))).withColumnRenamed("pkey", "p"))
         met = here.join(F.broadcast(pivots) if pivots.count() <= FEW else pivots, "cell").where(f"key <> p AND ({whole} OR {part})").select("cell", "key", "p", "side", "comp", "pcomp")
         met = cut(met)
-        # Each pair of sets is measured once, whatever regions it stands in.
-        left = met.select("key", "p").distinct().join(sets.select("key", F.col("hashes").alias("a")), "key")
-        both = left.join(sets.select(F.col("key").alias("p"), F.col("hashes").alias("b")), "p")
-        same = both.select("key", "p", F.size(F.array_intersect("a", "b")).alias("same"), (F.size("a") + F.size("b")).alias("sum"))
-        measured = cut(same.select("key", "p", "same", (F.col("sum") - F.col("same")).alias("all")).where(f"100 * same >= {wide} * all"))
+        measured = cut(measure(met).where(f"100 * same >= {wide} * all"))
         found = cut(met.join(measured, ["key", "p"]).select("cell", "key", "p", "side", "comp", "pcomp", (1 - F.col("same") / F.col("all")).alias("e"), linked.alias("linked")))
-        edges = cut(found.where("linked AND comp <> pcomp").select(F.col("comp").alias("a"), F.col("pcomp").alias("b")).distinct())
-        if not edges.isEmpty():
-            links = components(edges)
-            comps = links if comps is None else _merged(comps, links)
+        comps = joined(comps, found)
         # Regions of the next round: in a pivot's own region, what it owns against its boundary; in the old
         # one what no pivot owns; in one that has sides, all but the pivots.
         owned = found.where("linked AND side IS NULL").groupBy("cell", "key").agg(F.min(F.struct("e", "p")).alias("o")).select("cell", "key", "o.p", F.col("o.e").alias("e"))
@@ -296,9 +332,9 @@ def _linked(sets: DataFrame, tokens: DataFrame, percent: int) -> DataFrame | Non
         inside = inner.select("cell", "key", "p", "e", "to").unionByName(outer).join(facts, ["cell", "key"])
         inside = inside.select(F.xxhash64("cell", "p").alias("cell"), "key", "n", "i", "w", F.col("to").alias("side"), F.col("e").alias("d"))
         gone = owned.select("cell", "key").unionByName(pivots.select("cell", F.col("p").alias("key")))
-        rest = here.join(gone, ["cell", "key"], "left_anti").select(*rows.columns)
-        rows = cut(rest.unionByName(inside.select(*rows.columns)))
-        discard(here, pivots, met, measured, found, edges, *tables)
+        stay = here.join(gone, ["cell", "key"], "left_anti").select(*rows.columns)
+        rows = cut(stay.unionByName(inside.select(*rows.columns)))
+        discard(here, pivots, met, measured, found, *tables)
         release(rows.sparkSession)
         tables, turn, count = [rows], turn + 1, count * MORE
 

@@ -74,3 +74,24 @@ def test_words_of_all_lengths_have_hashes_of_their_own():
     joined = Shingler(1).hashes(pa.array([" ".join(words).upper().replace("É", "é")]))[0]
     apart = {x for w in words for x in Shingler(1).hashes(pa.array([w]))[0].tolist()}
     assert set(joined.tolist()) == apart
+
+
+def test_few_unconnected_sets_take_no_more_rounds(spark, monkeypatch):
+    from motifspark.llm import jaccard_join as module
+
+    rng, texts = random.Random(3), []
+    words = [f"w{i}" for i in range(60)]
+    for _ in range(60):
+        # Copies with edits of one text: neither all of them link nor none.
+        texts.append(" ".join(f"v{rng.randrange(99)}" if rng.random() < 0.02 else w for w in words))
+    rounds, own, docs = [], module.release, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(module, "release", lambda session: (rounds.append(1), own(session)))
+    assert sorted(map(tuple, jaccard_join(docs).collect())) == brute(texts)
+    # One before the first round and one after it.
+    assert len(rounds) <= 2
+    for name in ("MEETINGS", "PAIRS"):
+        rounds.clear()
+        with monkeypatch.context() as changed:
+            changed.setattr(module, name, -1)
+            assert sorted(map(tuple, jaccard_join(docs).collect())) == brute(texts)
+        assert len(rounds) > 2
