@@ -2,11 +2,12 @@
 
 1. The patterns' seeds are a relation (hash, p, off), made by tasks; a filter of which hashes there are, of
    a fixed size, is all that reaches the driver.
-2. Texts are cut into ranges. Each place whose hash passes the filter is a text seed.
+2. Equal texts are searched once. Texts are cut into ranges. Each place whose hash passes the filter is a text seed.
 3. Seeds join by hash. Each hash has SALTS places: a text seed goes to one of them, a pattern's seed to
    all, so a hash that very many texts hold is no one task's. At most BROADCAST_ROWS seeds are broadcast.
 4. A hit is a diagonal of pattern against text. Different diagonals, once each, join the patterns and the
    ranges that they stand in, and the stretches are compared.
+5. Each row joins what was found in its text. Texts of very many rows are dealt to SALTS places.
 """
 
 from __future__ import annotations
@@ -16,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifspark.operators import tables
-from motifspark.operators.search import CELLS, Hasher, _slices, codes, ranges, seeds_of
+from motifspark.operators.search import CELLS, Hasher, _slices, codes, ranges, seeds_of, spread
 from motifspark.operators.tables import joinable, shuffled, written
 
 #: log2 of the bits of the filter of seed hashes, and places of each hash in the join.
 FILTER_BITS, SALTS = 25, 16
 #: Starts of a range at least; longer patterns need longer ranges.
 RANGE = 4096
+#: A text with at least 1/HOT of all rows is dealt out; there are at most HOT of them.
+HOT = 1000
 #: Bytes of the ranges that a task hashes at once.
 SLICE_BYTES = 1 << 20
 
@@ -134,17 +137,43 @@ def _compare(rows: DataFrame, circular: bool) -> DataFrame:
     return rows.mapInArrow(run, f"t long, text_id {kinds['text_id']}, p long, pattern_id {kinds['pattern_id']}, pos long, distance int, rotation int, size int")
 
 
+def _key():
+    return F.unhex(F.sha2("text", 256))
+
+
+def _members(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of texts as (text_id, text_key, place), and the keys of texts that very many rows have: for
+    these, place is one of SALTS, else 0."""
+    rows = written(texts.select("text_id", _key().alias("text_key"), F.monotonically_increasing_id().alias("row")))
+    bound = max(1, -(-rows.count() // HOT))
+    hot = rows.groupBy("text_key").count().where(f"count >= {max(2, bound)}").select("text_key", F.lit(True).alias("hot"))
+    hot = F.broadcast(written(hot))
+    place = F.when(F.col("hot"), F.pmod(F.xxhash64("row"), F.lit(SALTS))).otherwise(0)
+    return rows.join(hot, "text_key", "left").select("text_id", "text_key", place.alias("place")), hot
+
+
+def _for_all(found: DataFrame, members: DataFrame, hot: DataFrame) -> DataFrame:
+    """The rows of found, whose text_id is a text's key, for each of members."""
+    found = found.withColumnRenamed("text_id", "text_key").join(hot, "text_key", "left")
+    places = F.when(F.col("hot"), F.expr(f"sequence(0L, {SALTS - 1}L)")).otherwise(F.expr("array(0L)"))
+    found = found.withColumn("place", F.explode(places)).drop("hot")
+    return found.join(shuffled(members), ["text_key", "place"]).drop("text_key", "place")
+
+
 def seed_join(texts: DataFrame, patterns: DataFrame, circular: bool, longest: int) -> DataFrame:
     """(text_id, pattern_id, pos, distance, rotation, size) of texts (text_id, text) and patterns
-    (pattern_id, pattern, k) of more than k and at most `longest` characters. Both tables are written with a
-    number for each row, so that repeated and null ids are rows of their own and lost executors change none."""
+    (pattern_id, pattern, k) of more than k and at most `longest` characters. Patterns and
+    different texts are written with a number for each, and the texts' rows with theirs, so that repeated and
+    null ids are rows of their own and lost executors change none."""
     span = max(RANGE, longest)
     patterns = written(patterns.withColumn("p", F.monotonically_increasing_id()))
-    cut = ranges(texts.withColumn("t", F.monotonically_increasing_id()), span, 2 * longest - 1 if circular else longest - 1, ["t", "text_id"])
+    members, hot = _members(texts)
+    unique = texts.select("text").distinct().select(_key().alias("text_id"), "text", F.monotonically_increasing_id().alias("t"))
+    cut = ranges(unique, span, 2 * longest - 1 if circular else longest - 1, ["t", "text_id"])
     pieces = written(cut)
     seeds = _pattern_seeds(patterns, circular)
     counts = dict(map(tuple, seeds.groupBy("size").count().collect()))
-    hits = _text_seeds(pieces, sorted(counts), _filter(seeds))
+    hits = _text_seeds(spread(pieces), sorted(counts), _filter(seeds))
     if sum(counts.values()) <= tables.BROADCAST_ROWS:
         met = hits.join(F.broadcast(seeds), ["size", "hash"])
     else:
@@ -162,4 +191,4 @@ def seed_join(texts: DataFrame, patterns: DataFrame, circular: bool, longest: in
         best = F.min(F.struct("distance", "rotation")).alias("best")
         found = found.groupBy("t", "p", "pos").agg(best, *(F.first(c).alias(c) for c in ("text_id", "pattern_id", "size")))
         found = found.select("text_id", "pattern_id", "pos", "best.distance", "best.rotation", "size")
-    return found.select("text_id", "pattern_id", "pos", "distance", "rotation", "size")
+    return _for_all(found, members, hot).select("text_id", "pattern_id", "pos", "distance", "rotation", "size")

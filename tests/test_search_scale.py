@@ -247,3 +247,16 @@ def test_seed_join_works_on_many_texts_at_once():
     pieces = pa.RecordBatch.from_pydict({"t": list(range(900)), "base": [0] * 900, "owned": [8] * 900, "text": ["abcdefgh"] * 900})
     found = list(_text_seeds(Rows(), [4], np.full(1 << 22, 255, np.uint8))([pieces]))
     assert len(found) == 1 and found[0].num_rows == 900 * 5 and set(found[0]["pos"].to_pylist()) == set(range(5))
+
+
+@pytest.mark.parametrize("circular", [False, True])
+def test_seed_join_searches_equal_texts_once(spark, monkeypatch, circular):
+    compared, own = [], seed_join._text_seeds
+    monkeypatch.setattr(seed_join, "_text_seeds", lambda pieces, *how: (compared.append(pieces.count()), own(pieces, *how))[1])
+    texts, patterns = ["abcabd", "xabx"] * 40 + ["abab", None, ""], ["abd", "abx", "bca"]
+    want = brute(texts, patterns, [1] * 3, circular)
+    # The two repeated texts are dealt out, or none is.
+    for hot in (10, 1):
+        monkeypatch.setattr(seed_join, "HOT", hot)
+        assert rows(kmismatch(*frames(spark, texts, patterns), 1, circular=circular, strategy="join")) == want and want
+    assert compared == [3, 3]
